@@ -32,6 +32,8 @@ MOST_BITS = 1 << 28
 #: Documents for one fragment at least, and words that a task gathers at a time.
 DOCS_EACH = 4000
 BATCH_WORDS = 2_000_000
+#: Bytes of the positions to cut up to which they are broadcast to the texts; beyond, both are shuffled by document.
+BROADCAST_BYTES = 32 << 20
 MASK40 = np.uint64((1 << 40) - 1)
 #: Low bits of a document's order key for the place of a window in it.
 PLACE_BITS = 32
@@ -250,6 +252,8 @@ def _with_starts(df: DataFrame, rows: DataFrame, window: int) -> DataFrame:
     n_bits = min(MOST_BITS, 1 << max(16, int(size // 5).bit_length()))
     bitmap = find_hits(rows, n_frag, n_bits, window)
     found = cut(repeated(rows, bitmap, n_frag, window), "substring-starts").withColumnRenamed("starts", "cut_starts")
+    if (found.agg(F.sum(F.octet_length("cut_starts") + 40)).first()[0] or 0) <= BROADCAST_BYTES:
+        found = F.broadcast(found)
     return df.join(found, df["doc_id"] == F.col("cut_id"), "left").drop("cut_id")
 
 
