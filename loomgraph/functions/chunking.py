@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 SENTENCE_ENDS = (". ", "! ", "? ", "\n")
 
 
-def sentence_chunks(text: str, size: int = 512, overlap: int = 50) -> list[str]:
-    """Windows of ``size`` characters cut after a sentence end.
+def sentence_spans(text: str, size: int = 512, overlap: int = 50) -> list[tuple[int, int]]:
+    """(start, end) of windows of ``size`` characters cut after a sentence end.
 
     The last occurrence of the first kind of end that occurs in the window
     decides.  The next window starts ``overlap`` before the cut.  A cut that
@@ -19,7 +19,7 @@ def sentence_chunks(text: str, size: int = 512, overlap: int = 50) -> list[str]:
     its full size), so the walk ends and skips no character.
     """
     if len(text) <= size:
-        return [text]
+        return [(0, len(text))]
     out, start = [], 0
     while start < len(text):
         end = start + size
@@ -30,13 +30,19 @@ def sentence_chunks(text: str, size: int = 512, overlap: int = 50) -> list[str]:
                     if at + len(mark) - overlap > start:
                         end = at + len(mark)
                     break
-        piece = text[start:end].strip()
-        if piece:
-            out.append(piece)
+        out.append((start, min(end, len(text))))
         start = end - overlap
     return out
 
 
+def sentence_chunks(text: str, size: int = 512, overlap: int = 50) -> list[str]:
+    """Stripped texts of the windows that are not blank; a short text is one chunk as it is."""
+    if len(text) <= size:
+        return [text]
+    pieces = (text[a:b].strip() for a, b in sentence_spans(text, size, overlap))
+    return [p for p in pieces if p]
+
+
 def sentence_chunks_column(text: Column, size: int = 512, overlap: int = 50) -> Column:
     """Array of chunks; null for null."""
     if not 0 <= overlap < size:
