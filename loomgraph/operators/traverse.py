@@ -217,3 +217,8 @@ def graph_statistics(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     n = F.col("num_nodes")
     one = deg.crossJoin(m).crossJoin(comp)  # one row each
     return one.withColumn("density", F.when(n > 1, F.col("num_edges") / (n * (n - 1))).otherwise(0.0)).withColumn("is_connected", F.col("num_components") == 1)
+
+
+def combined_statistics(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """One row: counts of the schema and of the graph."""
+    return G.schema_statistics(node_rows, edge_rows).crossJoin(graph_statistics(node_rows, edge_rows))  # one row each

@@ -89,3 +89,21 @@ def read_schema(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def clear(folder: str, like: DataFrame) -> None:
     """Empty a table, keeping its schema."""
     like.limit(0).write.mode("overwrite").parquet(folder)
+
+
+#: Data source of the separate connector; it is not bundled, and these two functions are not tested here.
+NEO4J = "org.neo4j.spark.DataSource"
+
+
+def read_neo4j(spark: SparkSession, url: str, label: str = "Concept", **options: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a label and the relations among them, where the connector is on the class path."""
+    n = spark.read.format(NEO4J).option("url", url).options(**options).option("labels", label).load()
+    e = spark.read.format(NEO4J).option("url", url).options(**options).option("query", f"MATCH (a:{label})-[r]->(b:{label}) RETURN a.id AS src, b.id AS dst, r.relation AS relation, r.confidence AS confidence").load()
+    return n, e
+
+
+def write_neo4j(nodes: DataFrame, edges: DataFrame, url: str, label: str = "Concept", **options: str) -> None:
+    """Merge nodes by id and edges by (src, dst, relation)."""
+    nodes.write.format(NEO4J).mode("overwrite").option("url", url).options(**options).option("labels", label).option("node.keys", "id").save()
+    query = f"MERGE (a:{label} {{id: event.src}}) MERGE (b:{label} {{id: event.dst}}) MERGE (a)-[r:RELATED {{relation: event.relation}}]->(b) SET r.confidence = event.confidence"
+    edges.write.format(NEO4J).mode("overwrite").option("url", url).options(**options).option("query", query).save()

@@ -62,6 +62,15 @@ def grow(spark: SparkSession, landing: str, folder: str, checkpoint: str) -> Str
     return found.writeStream.foreachBatch(merge_into(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest(spark: SparkSession, folder: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the last version that the stream has committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath().getName() for s in system.listStatus(path)]
+    last = max(int(n) for n in done if n.isdigit())
+    return spark.read.parquet(f"{folder}/v{last}/nodes"), spark.read.parquet(f"{folder}/v{last}/edges")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Sessions of users (user_id, ts) that end after ``gap`` without an event."""
     return events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", "session_window.start", "session_window.end", "n")
