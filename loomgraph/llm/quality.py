@@ -67,11 +67,12 @@ def log_weights(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = WordHashes(), sent.value
         for batch in batches:
-            found = [grams(t, hashes) if t else np.empty(0, np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(g) for g in found], pa.int64()), pa.array([float(table[g].sum()) for g in found], pa.float64())],
-                names=["doc_id", "n_grams", "log_weight"],
-            )
+            sizes, sums = [], []
+            for text in batch.column("text"):
+                g = grams(text.as_py(), hashes) if text.is_valid else np.empty(0, np.int64)
+                sizes.append(len(g))
+                sums.append(float(table[g].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
 
     return rows.mapInArrow(score, "doc_id long, n_grams long, log_weight double")
 
