@@ -34,7 +34,7 @@ PERCENT = 75
 #: Hubs of a prefix shingle in one star round, and star rounds.
 HUBS, ROUNDS = 3, 2
 #: Vertical fragments of the overlap count.
-VERTICAL = 4
+VERTICAL = 2
 #: Documents for one fragment of the shingle order at least.
 DOCS_EACH = 4000
 #: Shingles that a task gathers before it sends them to their fragments.
@@ -181,19 +181,24 @@ def _possible(x: str, y: str, percent: int):
     return F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos")) >= need(nx, ny, percent)
 
 
-def overlaps(pairs: DataFrame, shared: DataFrame, n_bucket: int) -> DataFrame:
-    """(x, y, nx, ny, overlap) of pairs (x, y, nx, ny).
+def overlaps(pairs: DataFrame, shared: DataFrame, n_bucket: int, percent: int = PERCENT) -> DataFrame:
+    """(x, y, nx, ny, overlap) of those pairs (x, y, nx, ny) that can link.
 
     Each pair is counted in ``VERTICAL`` fragments of the shingle order
-    separately; the partial counts are summed per pair.
+    separately; the partial counts are summed per pair.  A fragment whose
+    count, with all that the others could hold, stays under the overlap that
+    is needed sends nothing: the sum is then too small, as it should be.
     """
     pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("x"), F.lit(n_bucket)).cast("int"))
     wanted = pairs.select("bucket", F.col("x").alias("node")).unionByName(pairs.select("bucket", F.col("y").alias("node"))).distinct()
     part = F.explode(F.sequence(F.lit(0), F.lit(VERTICAL - 1)))
-    segments = shared.select("node", "tokens", part.alias("part")).select(
-        "node", "part", F.filter("tokens", lambda t: F.pmod(t, F.lit(VERTICAL)) == F.col("part")).alias("tokens")
-    )
-    left = wanted.join(segments, "node").select("bucket", "part", "node", "tokens")
+
+    def of(p):
+        return F.filter("tokens", lambda t: F.pmod(t, F.lit(VERTICAL)) == p)
+
+    sizes = F.array(*[F.size(of(F.lit(p))) for p in range(VERTICAL)])
+    segments = shared.withColumn("sizes", sizes).select("node", "sizes", "tokens", part.alias("part")).select("node", "sizes", "part", of(F.col("part")).alias("tokens"))
+    left = wanted.join(segments, "node").select("bucket", "part", "node", "sizes", "tokens")
     right = pairs.select(F.col("bucket").alias("r_bucket"), part.alias("r_part"), "x", "y", "nx", "ny")
 
     def count(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
@@ -202,16 +207,16 @@ def overlaps(pairs: DataFrame, shared: DataFrame, n_bucket: int) -> DataFrame:
         names = nodes["node"].to_numpy(np.int64)
         order = np.argsort(names)
         arrays = [np.sort(nodes["tokens"].iat[i]) for i in order]
-        names = names[order]
-        sizes = np.array([len(a) for a in arrays])
+        every = np.array([nodes["sizes"].iat[i] for i in order], np.int64)
+        names, here = names[order], int(nodes["part"].iat[0])
+        sizes = every[:, here]
         bounds = np.r_[0, np.cumsum(sizes)]
         # tokens numbered by value, so that (node, token) is one sorted number
-        flat = np.concatenate(arrays) if len(arrays) else np.empty(0, np.int64)
-        known, code = np.unique(flat, return_inverse=True)
+        known, code = np.unique(np.concatenate(arrays), return_inverse=True)
         keys = np.repeat(np.arange(len(names)), sizes) * (len(known) + 1) + code
         x, y = np.searchsorted(names, pairs["x"].to_numpy(np.int64)), np.searchsorted(names, pairs["y"].to_numpy(np.int64))
         partial = np.zeros(len(pairs), np.int64)
-        step = max(1, 4_000_000 // max(1, int(sizes.max(initial=1))))
+        step = max(1, 2_000_000 // max(1, int(sizes.max(initial=1))))
         for at in range(0, len(pairs), step):
             xs, ys = x[at : at + step], y[at : at + step]
             lens = sizes[xs]
@@ -220,7 +225,10 @@ def overlaps(pairs: DataFrame, shared: DataFrame, n_bucket: int) -> DataFrame:
             where = np.minimum(np.searchsorted(keys, probe), max(0, len(keys) - 1))
             hit = keys[where] == probe if len(keys) else np.zeros(len(probe), bool)
             partial[at : at + step] = np.bincount(np.repeat(np.arange(len(xs)), lens), weights=hit, minlength=len(xs))
-        return pairs[["x", "y", "nx", "ny"]].assign(partial=partial)
+        most = np.minimum(every[x], every[y])
+        total = pairs["nx"].to_numpy(np.int64) + pairs["ny"].to_numpy(np.int64)
+        can = (partial + most.sum(1) - most[:, here]) * (100 + percent) >= percent * total
+        return pairs[["x", "y", "nx", "ny"]].assign(partial=partial)[can & (partial > 0)]
 
     parts = left.groupBy("bucket", "part").cogroup(right.groupBy("r_bucket", "r_part")).applyInPandas(count, "x long, y long, nx long, ny long, partial long")
     return parts.groupBy("x", "y", "nx", "ny").agg(F.sum("partial").alias("overlap"))
@@ -229,7 +237,7 @@ def overlaps(pairs: DataFrame, shared: DataFrame, n_bucket: int) -> DataFrame:
 def links(shared: DataFrame, n_bucket: int, percent: int = PERCENT) -> DataFrame | None:
     """(node, root): components of the sets under ``links`` of the threshold."""
     posts = cut(prefixes(shared, percent), "join-posts")
-    labels, edges, tested = None, None, None
+    labels, edges = None, None
     for turn in range(ROUNDS + 1):
         here = posts
         if labels is None:
@@ -244,17 +252,14 @@ def links(shared: DataFrame, n_bucket: int, percent: int = PERCENT) -> DataFrame
             hubs = cut(hubs, "join-hubs")  # both sides of the join are then plain shuffles, which can be split
             met = here.alias("a").join(hubs.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", percent))
         else:
-            mixed = here.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
-            mixed = cut(mixed, "join-mixed")
-            here = here.join(mixed, "token", "left_semi")
-            met = here.alias("a").join(here.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & _possible("a", "b", percent))
+            # a pair of different roots has a member outside the commonest root of its shingle
+            roots = here.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
+            major = roots.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "root"))["root"].alias("major")).where("k > 1").select("token", "major")
+            major = cut(major, "join-major")
+            minor = cut(here.join(major, "token").where("root != major"), "join-minor")
+            met = minor.alias("a").join(here.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("a.major")) | (F.col("a.root") < F.col("b.root"))) & _possible("a", "b", percent))
         pairs = met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
-        if tested is not None:
-            same = tested.select(F.col("x").alias("tx"), F.col("y").alias("ty"))
-            same = same.unionByName(same.select(F.col("ty").alias("tx"), F.col("tx").alias("ty")))
-            pairs = pairs.join(same, (F.col("x") == F.col("tx")) & (F.col("y") == F.col("ty")), "left_anti")
-        done = cut(overlaps(pairs, shared, n_bucket), "join-overlaps")
-        tested = done.select("x", "y") if tested is None else tested.unionByName(done.select("x", "y"))
+        done = cut(overlaps(pairs, shared, n_bucket, percent), "join-overlaps")
         good = done.where(F.col("overlap") * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("overlap"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
         edges = good if edges is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good)
         labels = cut(components(edges), "join-labels")
