@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd multipliers of the 64-bit mixers.
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +58,22 @@ def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame, **wanted: str) -> DataFrame:
+    """Columns of ``df`` by exact name under the names of the keywords; other
+    columns, whatever they are called, cannot clash with them."""
+    names = df.columns
+    safe = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return safe.select(*[F.col(f"c{names.index(source)}").alias(name) for name, source in wanted.items()])
+
+
+def shield(df: DataFrame, *known: str):
+    """``df`` with all columns but ``known`` under names that operators do not
+    use, and a function that gives a result its columns back."""
+    names = df.columns
+    inner = [n if n in known else f"other_{i}" for i, n in enumerate(names)]
+    return df.toDF(*inner), lambda out: out.select(*inner).toDF(*names)
+
+
 def fragments(spark: SparkSession, n_rows: int, rows_each: int) -> int:
     """How many hash fragments to cut work into: grows with the input, at
     least one for each shuffle partition."""

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import columns, shield
+
 #: Lengths of the character n-grams.
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -56,14 +58,14 @@ def held_out(id_col: str = "doc_id"):
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities: languages x (buckets + 1), the last the prior)."""
-    known = df.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = known.groupBy(F.col(label_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    known = columns(df, doc_id=id_col, text=text_col, lang=label_col).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     total = sum(r["n"] for r in sizes)
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return [], np.zeros((0, BUCKETS + 1), np.float32)
     share = min(1.0, train_rows / total)
-    picked = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1) if share < 1 else known
+    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1) if share < 1 else known
     index = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +79,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         yield pd.DataFrame({"i": i.astype(np.int32), "bucket": b.astype(np.int32), "n": held[i, b]})
 
     got = (
-        picked.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
+        picked.select("lang", "text")
         .mapInPandas(count, "i int, bucket int, n long")
         .groupBy("i", "bucket").agg(F.sum("n").alias("n")).toPandas()
     )
@@ -89,15 +91,15 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     return langs, np.c_[logs, np.log(prior / prior.sum())].astype(np.float32)
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """doc_id, lang_pred, score (posterior probability) for every row, and the
-    columns ``keep``.
+def predict(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """``rows`` (column text_ and others) with lang_pred and score (posterior
+    probability) instead of the text.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing
     was learned.  Ties go to the language that sorts first.
     """
     langs, logs = model
-    sent = df.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs.T)))
+    sent = rows.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs.T)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = sent.value
@@ -120,8 +122,6 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
             arrays = [rows_in.column(n) for n in kept] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "lang_pred", "score"])
 
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text_"), *keep]
-    rows = df.select(*cols)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text_")
     return rows.mapInArrow(score, f"{schema}, lang_pred string, score double")
 
@@ -134,16 +134,14 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     very long texts are counted in slices; an empty table gives none.
     """
     model = train(df, id_col, text_col, label_col, train_rows)
-    out = predict(df, model, id_col, text_col, keep=(held_out(id_col).alias("held_out"),))
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    rows = columns(df, doc_id=id_col, text_=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text_")
+    return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep_identified(df: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``df`` (same columns) whose language is found: those without
     text or letters, or with a posterior under ``least``, go."""
     model = train(df)
-    fields = [f for f in df.schema.fields]
-    names = [f"keep_{i}" for i in range(len(fields))]
-    kept = tuple(F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names, strict=True))
-    out = predict(df, model, keep=kept).where((F.col("lang_pred") != UND) & (F.col("score") >= least))
-    return out.select(*[F.col(n).alias(f.name) for f, n in zip(fields, names, strict=True)])
+    inner, restore = shield(df, "text")
+    out = predict(inner.withColumn("text_", F.col("text")), model)
+    return restore(out.where((F.col("lang_pred") != UND) & (F.col("score") >= least)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut
+from loomgraph.llm.common import columns, cut
 
 #: Bytes of a chunk: none shorter (but a file's last) or longer, about AVERAGE + LEAST.
 LEAST, AVERAGE_BITS, MOST = 1024, 12, 16384
@@ -123,7 +123,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     n_bytes, media_sha256, chunks (digest, bytes or null if another document
     or an earlier place holds them, salts: over 0 if shared), borrows.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = columns(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     index = cut(chunk_index(rows), "media-index")
     # a struct, as its nulls sort first: a row without an id may hold chunks too
     refs = index.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("holder"), F.max(F.struct("doc_id")).alias("other"), F.count(F.lit(1)).alias("n"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut
+from loomgraph.llm.common import columns, cut, shield
 
 #: Words are runs of characters other than these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,10 +105,10 @@ def mix(df: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int =
     columns are fine: each row counts.  Chance comes from a hash of
     the id, the size and ``seed``, so reruns agree.  An empty table gives none.
     """
-    rows = df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    rows = columns(df, doc_id=id_col, source=source_col, text=text_col).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     rows = cut(rows, "mix-rows")
     targets = cut(source_targets(rows, weights, most), "mix-sources")
@@ -154,6 +154,7 @@ def apply_mix(df: DataFrame, seed: int = 1) -> DataFrame:
     a copy that ends early counting as one if it holds half the words or more.
     Rows without words carry none and stay as they are.  Same columns as ``df``.
     """
+    df, restore = shield(df, "doc_id", "text", "source")
     plan = mix(df, seed=seed)
     times = F.col("copies") + F.when(F.col("words") * 2 >= F.col("size"), 1).otherwise(0)
     times = F.when(F.col("size") == 0, 1).otherwise(times)
@@ -163,4 +164,4 @@ def apply_mix(df: DataFrame, seed: int = 1) -> DataFrame:
     order = Window.partitionBy("mix_id", "mix_size").orderBy(F.xxhash64(*df.columns))
     joined = df.withColumn("mix_size", size).join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_nr", F.row_number().over(order))
     times = F.get(F.filter("mix_plan", lambda x: x["size"] == F.col("mix_size")), F.col("mix_nr") - 1)["times"]
-    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*df.columns)
+    return restore(joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times))))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHashes, cut, fragment_of, fragments, rolling, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
+from loomgraph.llm.common import WordHashes, columns, cut, fragment_of, fragments, rolling, shield, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from loomgraph.llm.components import components
 
 WORDS = 5
@@ -277,7 +277,7 @@ def similar(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
     Very long texts are whole sets.  An empty table gives none.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = columns(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n_frag = fragments(spark, df.count(), DOCS_EACH)
     docs = cut(sets(rows, k), "join-docs")
     shared = cut(shared_shingles(rows, n_frag, k, percent), "join-shared")
@@ -292,7 +292,8 @@ def similar(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
 def keep_first(df: DataFrame) -> DataFrame:
     """The rows of ``df`` (columns doc_id, text and others) whose id is the
     smallest of its component; repeated rows with that id become one."""
+    df, restore = shield(df, "doc_id", "text")
     found = similar(df).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
     kept = df.join(found, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     with_id = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where(F.col("doc_id").isNull()))
+    return restore(with_id.unionByName(kept.where(F.col("doc_id").isNull())))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import tokens
+from loomgraph.llm.common import columns
 
 ROOM = 2048
 END_ID = 1
@@ -84,7 +85,7 @@ def pack(df: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: str =
     text is cut into whole sequences and a remainder.  Sequence ids are unique
     across partitions, not gapless.  An empty table gives no pieces.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = columns(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHashes, cut, mix, rolling
+from loomgraph.llm.common import WordHashes, columns, cut, mix, rolling
 
 BUCKETS = 1 << 15
 #: Labelled target rows that the target model is fitted on, about: a hash of the id picks that share beyond.
@@ -54,11 +54,12 @@ def _counts(df: DataFrame) -> np.ndarray:
 def log_weights(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> DataFrame:
     """doc_id, n_grams, log_weight for every row; 0 for texts without words."""
     spark = df.sparkSession
+    labels = columns(labels, doc_id="doc_id", quality="quality", toxic="toxic")
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good_id")).distinct()
     n = good.count()
     share = min(1.0, target_rows / max(1, n))
     good = good.where(F.pmod(F.xxhash64("good_id", F.lit(23)), F.lit(1 << 30)) <= int(share * (1 << 30)))  # at most about target_rows ids
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = columns(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     target = _counts(rows.join(F.broadcast(good), F.col("doc_id") == F.col("good_id")).select("text"))
     raw = _counts(rows.select("text"))
     ratio = np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum())

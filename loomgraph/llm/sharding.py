@@ -16,6 +16,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import columns
+
 #: Virtual nodes of each shard.
 VNODES = 128
 #: Positions on the ring.
@@ -82,9 +84,9 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     """
     nodes = ring(shards, vnodes)
     spots, owners = [p for p, _ in nodes], [s for _, s in nodes]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(
-        F.col(id_col).alias("doc_id"),
+    text = F.coalesce("text", F.lit(""))
+    rows = columns(df, doc_id=id_col, text=text_col).select(
+        "doc_id",
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )

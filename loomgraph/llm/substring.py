@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import MULT, MULT2, WordHashes, cut, fragment_of, fragments, rolling, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
+from loomgraph.llm.common import MULT, MULT2, WordHashes, columns, cut, fragment_of, fragments, rolling, shield, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 
 WINDOW = 20
 #: Most bits of the bitmap of hits (32 MB).  A fuller bitmap lets more runs
@@ -268,7 +268,7 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     gives none.
     """
     first = -(1 << 63)
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(first)).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = columns(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(first)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,6 +296,8 @@ def strip_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``df`` (columns doc_id, text, n_chars and others) without
     repeated words: a changed text is its kept words joined by one space; a
     text with nothing left goes, one with nothing removed stays as it is."""
+    had, schema = df.columns, df.schema
+    df, restore = shield(df, "doc_id", "text", "n_chars")
     rows = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     keyed = df.withColumn("strip_id", F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     marked = _with_starts(keyed, rows, window)
@@ -320,4 +322,6 @@ def strip_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
     names = [c for c in df.columns]
     marked = marked.select(*[c for c in names if c != "doc_id"], "strip_id", "cut_starts")
     out = marked.mapInArrow(keep, marked.schema).withColumn("doc_id", F.col("strip_id")).select(*names)
-    return out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in names else out
+    if "n_chars" in had:
+        out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
+    return restore(out)

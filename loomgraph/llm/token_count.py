@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import tokens
-from loomgraph.llm.common import fragments, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
+from loomgraph.llm.common import columns, fragments, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 
 LIMIT = 2048
 #: Pre-token occurrences that a batch gathers before it is packed.
@@ -41,7 +41,7 @@ def count_tokens(df: DataFrame, tokenizer: str = "word_bpe_49k.json", folder: st
     """
     spark = df.sparkSession
     n = fragments(spark, df.count(), DOCS_EACH)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = columns(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import columns
+
 #: Queries of one pass: the broadcast holds at most this many vectors.
 PASS_ROWS = 8192
 #: Most numbers in the dense score array of a block.
@@ -29,11 +31,11 @@ SCORES = 1 << 22
 def quantised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v): components as floor(256 * x), x as double; rows with a null
     id, a null vector or a null or non-finite component are left out."""
-    x = F.col(vec_col)
+    x = F.col("x")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
     return (
-        df.where(F.col(id_col).isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)))
-        .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * 256)).alias("v"))
+        columns(df, id=id_col, x=vec_col).where(F.col("id").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)))
+        .select(F.col("id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * 256)).alias("v"))
     )
 
 
