@@ -7,6 +7,8 @@ expressions gives the same values.  Nulls give null unless stated otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is used
+    (in lambdas an expression from outside is evaluated for every element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """Drop NUL characters, then join all white space to single spaces and strip."""
     return F.trim(F.regexp_replace(F.translate(text, "\0", ""), SPACE + "+", " "))
@@ -31,16 +39,23 @@ def fixed_chunks(text: Column, size: int = 512, overlap: int = 50) -> Column:
     within the text; a text of at most ``size`` is one chunk, as is an empty one."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and under size")
-    starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(size - overlap))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))))
+
+    def cut(t: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.length(t) - 1, F.lit(size - overlap))
+        return F.when(F.length(t) <= size, F.array(t)).otherwise(F.transform(starts, lambda s: F.substring(t, s + 1, F.lit(size))))
+
+    return let(text, cut)
 
 
 def word_chunks(text: Column, size: int = 300, least: int = 50, most: int = 10) -> Column:
     """Windows of ``size`` words; of those with more than ``least`` words the first ``most``."""
-    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda s: F.slice(words, s + 1, F.lit(size)))
-    return F.transform(F.slice(F.filter(windows, lambda w: F.size(w) > least), 1, most), lambda w: F.array_join(w, " "))
+
+    def cut(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        windows = F.transform(starts, lambda s: F.slice(words, s + 1, F.lit(size)))
+        return F.transform(F.slice(F.filter(windows, lambda w: F.size(w) > least), 1, most), lambda w: F.array_join(w, " "))
+
+    return let(F.filter(F.split(text, SPACE + "+"), lambda w: w != ""), cut)
 
 
 def section(text: Column, marker: str) -> Column:
@@ -68,8 +83,7 @@ def entity_text(name: Column) -> Column:
 
 def entity(name: Column) -> Column:
     """Entity name as of ``entity_text``; null if shorter than two characters."""
-    done = entity_text(name)
-    return F.when(F.length(done) > 1, done)
+    return let(entity_text(name), lambda done: F.when(F.length(done) > 1, done))
 
 
 def relation(name: Column) -> Column:
@@ -171,9 +185,9 @@ def front_matter(text: Column) -> Column:
     lines = F.filter(F.split(block, "\n"), lambda x: F.instr(x, ":") > 0)
     pairs = F.transform(lines, lambda x: F.struct(F.concat(F.lit("fm_"), F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
     # the last of equal keys wins
-    unique = F.filter(F.transform(pairs, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda q: ~F.exists(F.slice(pairs, q["i"] + 2, F.size(pairs)), lambda z: z["key"] == q["p"]["key"]))
+    unique = let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda z: z["key"] == p["key"])))
     has = text.startswith("---") & (F.size(F.split(text, "---", 3)) >= 3)
-    return F.when(has, F.map_from_entries(F.transform(unique, lambda q: q["p"]))).otherwise(F.create_map().cast("map<string,string>"))
+    return F.when(has, F.map_from_entries(unique)).otherwise(F.create_map().cast("map<string,string>"))
 
 
 def safe_filename(name: Column) -> Column:

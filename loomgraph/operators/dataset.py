@@ -26,7 +26,7 @@ def examples(chunk_rows: DataFrame, source: str, least: int = 2) -> DataFrame:
     """(doc_id, chunk_index, input, output, source): chunks with ``least``
     triples or more, the triples joined by line ends."""
     raw = extract.computed(chunk_rows, raw=extract.pattern_matches(F.col("chunk"))).where(F.size("raw") >= least)
-    kept = extract.computed(extract.refined(raw), t=F.col("kept")).where(F.size("t") >= least)
+    kept = extract.refined(raw).withColumnRenamed("kept", "t").where(F.size("t") >= least)
     lines = F.transform("t", lambda x: T.format_triple(x["subject"], x["relation"], x["object"]))
     return kept.select("doc_id", "chunk_index", F.col("chunk").alias("input"), F.array_join(lines, "\n").alias("output"), F.lit(source).alias("source"))
 

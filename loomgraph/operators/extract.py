@@ -64,14 +64,16 @@ def chunks(docs: DataFrame, method: str = "fixed", size: int = 512, overlap: int
     ``fixed`` strides by characters, ``sentence`` cuts at sentence ends.  A
     null text gives no chunks, an empty one a single empty chunk.
     """
-    cleaned = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", T.clean(F.col("text")).alias("t")).where("t IS NOT NULL")
-    parts = T.fixed_chunks(F.col("t"), size, overlap) if method == "fixed" else sentence_chunks_column(F.col("t"), size, overlap)
-    rows = cleaned.select("doc_id", parts.alias("parts"))
+    rows = spread(docs.select("doc_id", "text").where("text IS NOT NULL"), "doc_id")
+    cut = T.fixed_chunks if method == "fixed" else sentence_chunks_column
+    rows = computed(rows, parts=cut(T.clean(F.col("text")), size, overlap))
     return rows.select("doc_id", F.size("parts").alias("total_chunks"), F.posexplode("parts").alias("chunk_index", "chunk")).select("doc_id", "chunk_index", "total_chunks", "chunk")
 
 
-def pattern_matches(chunk: Column) -> Column:
-    """All matches of all patterns in a chunk, in pattern and text order."""
+def pattern_matches(chunk: Column, folded: Column | None = None) -> Column:
+    """All matches of all patterns in a chunk, in pattern and text order;
+    ``folded`` is the chunk in lower case, where it is there already."""
+    folded = F.lower(chunk) if folded is None else folded
 
     def ends(p: str, rel: str) -> Callable[[Column], Column]:
         return lambda m: F.struct(T.entity_text(F.regexp_extract(m, p, 1)).alias("subject"), F.lit(rel).alias("relation"), T.entity_text(F.regexp_extract(m, p, 2)).alias("object"))
@@ -80,7 +82,7 @@ def pattern_matches(chunk: Column) -> Column:
     for (p, rel), hints in zip(PATTERNS, HINTS, strict=True):
         hits = F.regexp_extract_all(chunk, F.lit(f"(?i){p}"), 0)
         if hints:
-            possible = reduce(lambda x, y: x | y, [F.contains(F.lower(chunk), F.lit(h)) for h in hints])
+            possible = reduce(lambda x, y: x | y, [F.contains(folded, F.lit(h)) for h in hints])
             hits = F.when(possible, hits).otherwise(F.array().cast("array<string>"))
         found.append(F.transform(hits, ends(f"(?i){p}", rel)))
     return F.transform(F.flatten(F.array(*found)), lambda x, i: F.struct(
@@ -107,7 +109,7 @@ def refined(rows: DataFrame, raw: str = "raw", least: float = 0.5, most: int = 1
     rows = computed(rows, keys=F.transform("good", lambda x: F.concat_ws("\x1f", F.lower(x["subject"]), x["relation"], F.lower(x["object"]))))
     first = F.filter("good", lambda x, i: F.array_position("keys", F.get("keys", i)) == i + 1)
     ordered = F.array_sort(F.transform(first, lambda x: F.struct((-x["confidence"]).alias("c"), x["ord"].alias("ord"), x.alias("x"))))
-    return rows.withColumn("kept", F.transform(F.slice(ordered, 1, most), lambda z: z["x"])).drop("good", "keys")
+    return computed(rows, kept=F.transform(F.slice(ordered, 1, most), lambda z: z["x"])).drop("good", "keys")
 
 
 def triples(chunk_rows: DataFrame, least: float = 0.5, most: int = 10, more: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -118,11 +120,11 @@ def triples(chunk_rows: DataFrame, least: float = 0.5, most: int = 10, more: Cal
     follow those of the patterns.  ``triple_seq`` orders triples by document,
     chunk and rank within the chunk.
     """
-    raw = pattern_matches(F.col("chunk"))
+    raw = pattern_matches(F.col("chunk"), F.col("_folded"))
     if more is not None:
         raw = F.transform(F.concat(raw, more(F.col("chunk"))), lambda x, i: F.struct(
             i.cast("int").alias("ord"), *[x[c].alias(c) for c in ("subject", "relation", "object", "confidence", "method")]))
-    found = computed(chunk_rows, raw=raw).select("doc_id", "chunk_index", "raw").where(F.size("raw") > 0)
+    found = computed(computed(chunk_rows.select("doc_id", "chunk_index", "chunk"), _folded=F.lower("chunk")), raw=raw).select("doc_id", "chunk_index", "raw").where(F.size("raw") > 0)
     rows = refined(found, "raw", least, most).select("doc_id", "chunk_index", F.posexplode("kept").alias("rank", "t"))
     seq = F.col("doc_id") * DOC_STEP + F.col("chunk_index") * CHUNK_STEP + F.col("rank")
     return rows.select("doc_id", "chunk_index", seq.alias("triple_seq"), "t.subject", "t.relation", "t.object", "t.confidence", "t.method")

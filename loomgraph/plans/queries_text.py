@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.functions.chunking import sentence_chunks_column
 from loomgraph.operators import capture, dataset, extract
 from loomgraph.plans import inputs as I
 from loomgraph.plans.registry import query, table
@@ -33,8 +32,7 @@ def f3_fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def f4_sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", sentence_chunks_column(T.clean(c("text"))).alias("p"))
-    return rows.select("doc_id", F.posexplode("p").alias("chunk_index", "chunk"))
+    return extract.chunks(table(spark, d, "documents"), "sentence").select("doc_id", "chunk_index", "chunk")
 
 
 @query(f"""
