@@ -27,8 +27,10 @@ def work_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends here,
-    and executors can be lost afterwards without recomputing it."""
-    path = f"{work_dir(df.sparkSession)}/loop-{uuid.uuid4().hex}"
+    and executors can be lost afterwards without recomputing it.  All tables of
+    an application lie below one folder, which can go when it has ended."""
+    app = df.sparkSession.sparkContext.applicationId
+    path = f"{work_dir(df.sparkSession)}/loomgraph-{app}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -280,6 +280,18 @@ def test_pairs_in_blocks(spark, monkeypatch):
         assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
 
 
+def test_approximate_pairs_find_most(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    x = np.repeat(centres, 5, axis=0) + 0.15 * rng.normal(size=(100, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    want = {(r.a, r.b) for r in link.similar_pairs(df, 0.9).collect()}
+    got = {(r.a, r.b) for r in link.approximate_pairs(df, 0.9).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_search_scores(spark):
     import math
 
