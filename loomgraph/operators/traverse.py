@@ -106,10 +106,10 @@ def pagerank(node_rows: DataFrame, edge_rows: DataFrame, rounds: int = 20, dampi
         return node_rows.select("id", F.lit(0.0).alias("rank")).limit(0)
     state = settle(base.withColumn("rank", F.lit(1.0 / n)))
     for _ in range(rounds):
-        lost = state.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        lost = state.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
         gain = hops.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
-        fixed = (1 - damping) / n + damping * lost / n
-        state = settle(base.join(gain, "id", "left").select("id", "dangling", (F.lit(fixed) + damping * F.coalesce("gain", F.lit(0.0))).alias("rank")))
+        fixed = (1 - damping) / n + damping / n * F.col("lost")
+        state = settle(base.join(gain, "id", "left").crossJoin(F.broadcast(lost)).select("id", "dangling", (fixed + damping * F.coalesce("gain", F.lit(0.0))).alias("rank")))
     return state.select("id", "rank")
 
 
