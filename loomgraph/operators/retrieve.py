@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import graph as G
-from loomgraph.operators.link import dot, encode
+from loomgraph.operators.link import encode
 
 
 def index_rows(docs: DataFrame) -> DataFrame:
@@ -26,35 +30,62 @@ def build_index(rows: DataFrame, dimension: int = 384) -> DataFrame:
     return rows.select(key.alias("id"), "text", encode(F.col("text"), dimension).alias("vec"), meta.alias("metadata"))
 
 
-def score(a: Column, b: Column, metric: str = "l2sq") -> Column:
-    """1 - distance: squared Euclidean (2 cos - 1 on unit vectors) or cosine."""
-    if metric == "l2sq":
-        gap = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-        return 1.0 - gap
-    norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+#: Queries of one search; their block is broadcast.
+MOST_QUERIES = 1000
+#: Rows of the index compared at a time.
+BLOCK = 4096
 
 
-#: Queries of one search; each is compared with every row, so their block is kept small.
-MOST_QUERIES = 1000
+def scores(rows: np.ndarray, asked: np.ndarray, metric: str = "l2sq") -> np.ndarray:
+    """1 - distance (rows x queries): squared Euclidean (2 cos - 1 on unit
+    vectors) or cosine, 0 for a null vector."""
+    products = rows @ asked.T
+    if metric == "l2sq":
+        return 1 - ((rows * rows).sum(1)[:, None] - 2 * products + (asked * asked).sum(1)[None, :])
+    norms = np.sqrt((rows * rows).sum(1)[:, None] * (asked * asked).sum(1)[None, :])
+    return np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
 
 
-def search(index: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "l2sq", where: Column | None = None, tie: str = "id") -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "l2sq", where: Column | None = None, key: str = "id") -> DataFrame:
     """(query_id, id, score, rank) of the ``top_k`` rows for each query
     (query_id, qvec).  ``where`` filters the index before ranking.
 
     At most ``MOST_QUERIES`` queries are broadcast; more are refused, to be
-    searched in blocks.  Ranks are cut per partition before the shuffle.
+    searched in blocks.  Blocks of rows are compared with all queries by a
+    matrix product, exactly; ties go to the smaller id; only ``top_k`` rows a
+    query and partition are shuffled.
     """
     n = queries.count()
     if n > MOST_QUERIES:
         raise ValueError(f"{n} queries; search them in blocks of {MOST_QUERIES}")
-    rows = index if where is None else index.where(where)
-    # a block of queries of checked size meets every row once
-    met = rows.select(F.col(tie).alias("id"), "vec").join(F.broadcast(queries.select("query_id", "qvec")), F.lit(True))
-    scored = met.select("query_id", "id", score(F.col("vec"), F.col("qvec"), metric).alias("score"))
+    rows = (index if where is None else index.where(where)).select(F.col(key).alias("id"), "vec").where("vec IS NOT NULL")
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": rows.schema["id"].dataType.simpleString()}
+    asked = queries.select("query_id", "qvec").where("qvec IS NOT NULL").toPandas()
+    sent = index.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), np.array(asked["qvec"].tolist(), np.float64)))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, block = sent.value
+        held: list[pd.DataFrame] = [pd.DataFrame() for _ in names]
+        for pdf in batches:
+            for at in range(0, len(pdf) if len(names) else 0, BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                got = scores(np.array(part["vec"].tolist(), np.float64), block, metric)
+                ids = part["id"].to_numpy()
+                for q in range(len(names)):
+                    own = got[:, q]
+                    if len(own) > top_k:  # all that tie with the last place stay for the ids to decide
+                        near = np.flatnonzero(own >= np.partition(own, len(own) - top_k)[len(own) - top_k] - 1e-12)
+                    else:
+                        near = np.arange(len(own))
+                    both = pd.concat([held[q], pd.DataFrame({"id": ids[near], "score": own[near]})], ignore_index=True)
+                    held[q] = both.sort_values(["score", "id"], ascending=[False, True]).head(top_k)
+        for q, found in zip(names, held, strict=True):
+            if len(found):
+                yield found.assign(query_id=q)[["query_id", "id", "score"]]
+
+    found = rows.mapInPandas(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 
 def retrieve(index: DataFrame, queries: DataFrame, top_k: int = 5, least: float = 0.7, metric: str = "l2sq", where: Column | None = None) -> DataFrame:
