@@ -10,13 +10,15 @@ Sets that meet in a prefix shingle are compared with a few hubs of that
 shingle first: that needs a number of pairs linear in the group.  Linked
 sets form components; only sets of different components that meet in a
 prefix are then compared pair by pair, so no link is lost and no group of
-copies is expanded.  A comparison counts partial overlaps in each vertical
+copies is expanded.  Parity signatures bound the overlap of a pair from above
+and spare most comparisons of pairs that cannot link.  A comparison counts partial overlaps in each vertical
 fragment of the two sets separately and sums them per pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,20 +27,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHashes, columns, cut, fragment_of, fragments, rolling, shield, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
+from loomgraph.llm.common import WordHashes, columns, cut, fragment_of, fragments, mix, rolling, shield, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from loomgraph.llm.components import components
 
 WORDS = 5
 #: Similarity threshold in percent.
 PERCENT = 75
 #: Hubs of a prefix shingle in one star round, and star rounds.
-HUBS, ROUNDS = 3, 2
+HUBS, ROUNDS = 2, 1
 #: Vertical fragments of the overlap count.
-VERTICAL = 2
+VERTICAL = 4
+#: Words of the parity signature of a set.
+SIGNATURE = 8
+SIGNS = tuple(f"s{i}" for i in range(SIGNATURE))
+#: Those of them that go along with prefix shingles (fewer let more pairs through to the next step).
+FEW = SIGNS
+#: Rows (of two or three numbers) up to which a side is broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+#: Pairs that one task counts, about; with them come at most twice as many sets.
+PAIRS_EACH = 20_000
 #: Documents for one fragment of the shingle order at least.
 DOCS_EACH = 4000
 #: Shingles that a task gathers before it sends them to their fragments.
-BATCH_SHINGLES = 2_000_000
+BATCH_SHINGLES = 1_000_000
 LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -69,8 +80,9 @@ def sets(df: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(node, n, tokens sorted by (document frequency, token)) of the sets
-    that share at least ``percent`` of their shingles with other sets."""
+    """(node, n, m, tokens, s0...) of the sets that share at least ``percent``
+    of their shingles with other sets: size, number of shared shingles, those
+    sorted by (document frequency, token), and their parity signature."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -131,10 +143,30 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
         node, size, token = node[order], size[order], token[order].view(np.int64)
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         counts = np.diff(np.r_[first, len(node)])
-        out = [(int(node[a]), int(size[a]), token[a : a + c]) for a, c in zip(first, counts, strict=True) if 100 * int(c) >= percent * int(size[a])]
-        return pd.DataFrame(out, columns=["node", "n", "tokens"])
+        kept = [(int(a), int(c)) for a, c in zip(first, counts, strict=True) if 100 * int(c) >= percent * int(size[a])]
+        out = [(int(node[a]), int(size[a]), c, token[a : a + c], *signature(token[a : a + c])) for a, c in kept]
+        return pd.DataFrame(out, columns=["node", "n", "m", "tokens", *SIGNS])
 
-    return back.groupBy("home").applyInPandas(gather, "node long, n long, tokens array<long>")
+    return back.groupBy("home").applyInPandas(gather, "node long, n long, m long, tokens array<long>, " + ", ".join(f"{s} long" for s in SIGNS))
+
+
+def signature(tokens: np.ndarray) -> list[int]:
+    """Parity of the number of tokens in each of 64 * SIGNATURE classes.  Bits
+    in which two signatures differ each stand for a token of one set alone."""
+    classes = (mix(tokens.view(np.uint64)) % np.uint64(64 * SIGNATURE)).astype(np.int64)
+    odd = np.bincount(classes, minlength=64 * SIGNATURE) & 1
+    return [int(x) for x in np.packbits(odd.astype(np.uint8)).view(np.int64)]
+
+
+def _small(side: DataFrame) -> DataFrame:
+    """``side`` (a written table) to be broadcast, if it has few rows."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def _alike(x: str, y: str, percent: int, signs: tuple[str, ...] = SIGNS):
+    """The overlap that two signatures leave possible is enough for a link."""
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in signs])
+    return F.col(f"{x}.m") + F.col(f"{y}.m") - differ >= 2 * need(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
 
 
 def _send(held: dict[int, np.ndarray], n_frag: int) -> pa.RecordBatch:
@@ -166,12 +198,12 @@ def need(a, b, percent: int = PERCENT):
 
 
 def prefixes(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, node, n, pos): the shared shingles within the prefix; ``pos``
-    counts the set's own shingles, which come first in the order."""
-    alone = F.col("n") - F.size("tokens")
+    """(token, node, n, pos, m, s0...): the shared shingles within the prefix;
+    ``pos`` counts the set's own shingles, which come first in the order."""
+    alone = F.col("n") - F.col("m")
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - alone
-    return shared.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("tokens", 1, length.cast("int"))).alias("i", "token")).select(
-        "token", "node", "n", (F.col("alone") + F.col("i")).alias("pos")
+    return shared.select("node", "n", "m", *FEW, alone.alias("alone"), F.posexplode(F.slice("tokens", 1, length.cast("int"))).alias("i", "token")).select(
+        "token", "node", "n", (F.col("alone") + F.col("i")).alias("pos"), "m", *FEW
     )
 
 
@@ -181,7 +213,7 @@ def _possible(x: str, y: str, percent: int):
     return F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos")) >= need(nx, ny, percent)
 
 
-def overlaps(pairs: DataFrame, shared: DataFrame, n_bucket: int, percent: int = PERCENT) -> DataFrame:
+def overlaps(pairs: DataFrame, shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(x, y, nx, ny, overlap) of those pairs (x, y, nx, ny) that can link.
 
     Each pair is counted in ``VERTICAL`` fragments of the shingle order
@@ -189,8 +221,11 @@ def overlaps(pairs: DataFrame, shared: DataFrame, n_bucket: int, percent: int =
     count, with all that the others could hold, stays under the overlap that
     is needed sends nothing: the sum is then too small, as it should be.
     """
+    pairs = cut(pairs, "join-pairs")
+    n_bucket = max(8, -(-pairs.count() // PAIRS_EACH))
     pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("x"), F.lit(n_bucket)).cast("int"))
     wanted = pairs.select("bucket", F.col("x").alias("node")).unionByName(pairs.select("bucket", F.col("y").alias("node"))).distinct()
+    wanted = _small(cut(wanted, "join-wanted"))
     part = F.explode(F.sequence(F.lit(0), F.lit(VERTICAL - 1)))
 
     def of(p):
@@ -234,16 +269,17 @@ def overlaps(pairs: DataFrame, shared: DataFrame, n_bucket: int, percent: int =
     return parts.groupBy("x", "y", "nx", "ny").agg(F.sum("partial").alias("overlap"))
 
 
-def links(shared: DataFrame, n_bucket: int, percent: int = PERCENT) -> DataFrame | None:
-    """(node, root): components of the sets under ``links`` of the threshold."""
+def links(shared: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """(node, root, weight): components of the sets, and their sizes, under ``links`` of the threshold."""
     posts = cut(prefixes(shared, percent), "join-posts")
+    sketch = shared.select("node", "n", "m", *SIGNS)
     labels, edges = None, None
     for turn in range(ROUNDS + 1):
         here = posts
         if labels is None:
             here = here.withColumn("root", F.col("node"))
         else:
-            here = here.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            here = here.join(_small(labels), "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("weight", F.coalesce("weight", F.lit(1)))
         if turn < ROUNDS:
             pick = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + h)).alias("k"), "node", "n", "pos", "root")).alias(f"h{h}") for h in range(HUBS)]
             hubs = here.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *pick).where("m > 1")
@@ -252,17 +288,22 @@ def links(shared: DataFrame, n_bucket: int, percent: int = PERCENT) -> DataFrame
             hubs = cut(hubs, "join-hubs")  # both sides of the join are then plain shuffles, which can be split
             met = here.alias("a").join(hubs.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", percent))
         else:
-            # a pair of different roots has a member outside the commonest root of its shingle
-            roots = here.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
-            major = roots.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "root"))["root"].alias("major")).where("k > 1").select("token", "major")
-            major = cut(major, "join-major")
-            minor = cut(here.join(major, "token").where("root != major"), "join-minor")
-            met = minor.alias("a").join(here.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("a.major")) | (F.col("a.root") < F.col("b.root"))) & _possible("a", "b", percent))
+            # a pair of different roots has a member outside any one root of its shingle: the largest is left out
+            major = here.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("weight", "root"))["root"].alias("major"))
+            major = cut(major.where("r0 != r1").select("token", "major"), "join-major")
+            minor = cut(here.select("token", "node", "n", "pos", "root").join(major, "token").where("root != major"), "join-minor")
+            minor = minor.join(sketch.select("node", "m", *FEW), "node")
+            met = minor.alias("a").join(here.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("a.major")) | (F.col("a.root") < F.col("b.root"))) & _possible("a", "b", percent) & _alike("a", "b", percent, FEW))
         pairs = met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
-        done = cut(overlaps(pairs, shared, n_bucket, percent), "join-overlaps")
+        one = pairs.alias("p").join(sketch.alias("a"), F.col("p.x") == F.col("a.node")).select("p.*", *[F.col(f"a.{k}") for k in ("n", "m", *SIGNS)])
+        both = one.alias("a").join(sketch.alias("b"), (F.col("a.y") == F.col("b.node")) & _alike("a", "b", percent))
+        pairs = both.select("a.x", "a.y", "a.nx", "a.ny")
+        done = cut(overlaps(pairs, shared, percent), "join-overlaps")
         good = done.where(F.col("overlap") * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("overlap"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
         edges = good if edges is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good)
-        labels = cut(components(edges), "join-labels")
+        found = cut(components(edges), "join-roots")
+        weights = found.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
+        labels = cut(found.join(weights, "root").select("node", "root", "weight"), "join-labels")
     return labels
 
 
@@ -281,8 +322,8 @@ def similar(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
     n_frag = fragments(spark, df.count(), DOCS_EACH)
     docs = cut(sets(rows, k), "join-docs")
     shared = cut(shared_shingles(rows, n_frag, k, percent), "join-shared")
-    labels = links(shared, max(4, n_frag // VERTICAL), percent)
-    named = docs.where("n > 0").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labels = links(shared, percent)
+    named = docs.where("n > 0").join(labels.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "join-groups")
     linked = named.join(groups, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("node").alias("class_node"))
     alone = docs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_node"))
