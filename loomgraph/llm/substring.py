@@ -104,15 +104,20 @@ def find_hits(rows: DataFrame, n_frag: int, n_bits: int, window: int = WINDOW) -
         several = np.diff(np.r_[first, len(h)]) > 1
         any_flag = np.bitwise_or.reduceat(flags, first)
         hit = (any_flag >= 2) & (several | (any_flag & 1 > 0))
-        bits = np.unique(_bit(_whole(h[first][hit], f, n_frag), n_bits))
-        return pd.DataFrame({"frag": [f], "bits": [squeeze_sorted(bits.astype(np.uint64)) if len(bits) else b""]})
+        bits = _bit(_whole(h[first][hit], f, n_frag), n_bits).astype(np.int64)
+        if not len(bits):
+            return pd.DataFrame({"start": [0], "part": [b""]})
+        start = int(bits.min()) // 8 * 8
+        part = np.zeros(int(bits.max()) + 1 - start, np.uint8)
+        part[bits - start] = 1
+        return pd.DataFrame({"start": [start // 8], "part": [squeeze(np.packbits(part, bitorder="little"))]})
 
     bitmap = np.zeros(n_bits // 8, np.uint8)
-    # at most n_bits positions in all, packed
-    for row in sent.groupBy("frag").applyInPandas(join, "frag int, bits binary").collect():
-        if row["bits"]:
-            at = unsqueeze_sorted(bytes(row["bits"]), np.uint64)
-            np.bitwise_or.at(bitmap, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+    # fragments are ranges of hashes, so their parts make up the bitmap once: n_bits / 8 bytes at most
+    for row in sent.groupBy("frag").applyInPandas(join, "start long, part binary").collect():
+        if row["part"]:
+            part = unsqueeze(bytes(row["part"]), np.uint8)
+            bitmap[row["start"] : row["start"] + len(part)] |= part
     return bitmap
 
 
