@@ -47,10 +47,11 @@ def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 
     Ends the lineage: a lost executor later re-reads files instead of
     recomputing what led to them, and a result used twice is computed once.
-    ``by`` names a column to partition the files by.
+    All tables of an application lie below one folder, which can go when the
+    application has ended.  ``by`` names a column to partition the files by.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if by:
         writer = writer.partitionBy(by)
@@ -83,7 +84,7 @@ def fragments(spark: SparkSession, n_rows: int, rows_each: int) -> int:
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered up to a fixed number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

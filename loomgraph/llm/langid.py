@@ -24,7 +24,7 @@ BUCKETS = 1 << 15
 #: Labelled rows that the model is fitted on, about: beyond, a hash of the id picks that share.
 TRAIN_ROWS = 60_000
 #: Languages of the model: the most frequent ones, beyond that number.
-LANGUAGES = 512
+LANGUAGES = 256
 #: Characters handled at a time within a batch.
 SLICE = 2_000_000
 LETTER = regex.compile(r"\p{L}")
