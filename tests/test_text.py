@@ -32,7 +32,7 @@ def test_fixed_chunks(spark, n, sizes):
 
 def test_chunk_sizes_are_checked():
     with pytest.raises(ValueError):
-        T.fixed_chunks(F.lit("x") if False else None, 10, 10)
+        T.fixed_chunks(None, 10, 10)
 
 
 def test_word_chunks(spark):
@@ -91,7 +91,7 @@ def test_metadata_round_trip(spark):
     assert one(spark, kept) == {"a": "42", "b": "None", "c": "True"}
     back = T.sniff_metadata(kept)
     assert one(spark, F.try_variant_get(back["a"], "$", "int")) == 42
-    assert one(spark, F.to_json(F.lit(None) if False else F.struct(F.lit(1)))) == '{"col1":1}'
+    assert one(spark, F.try_variant_get(back["c"], "$", "string")) == "True"
 
 
 def test_names_words_and_levels(spark):
