@@ -208,7 +208,7 @@ def stringify_metadata(meta: Column) -> Column:
 
 def sniff_metadata(meta: Column) -> Column:
     """Values read back: JSON where they parse as such, else the string itself, as VARIANT."""
-    return F.transform_values(meta, lambda k, v: F.coalesce(F.try_parse_json(v), F.parse_json(F.to_json(F.struct(v.alias("v")))).cast("variant")))
+    return F.transform_values(meta, lambda k, v: F.coalesce(F.try_parse_json(v), F.variant_get(F.parse_json(F.to_json(F.struct(v.alias("v")))), "$.v", "variant")))
 
 
 def prompt(instruction: Column, text: Column) -> Column:
