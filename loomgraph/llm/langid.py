@@ -1,30 +1,34 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts (language, bucket) pairs natively summed from batches; the
-matrix of log probabilities (languages x buckets, both bounded) is broadcast;
-documents are scored sparsely in numpy, a batch at a time.
+matrix of log probabilities (languages x buckets) is broadcast in blocks of
+languages; documents are scored sparsely in numpy, a batch at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomgraph.llm.common import columns, shield
+from loomgraph.llm.common import columns, cut, shield
 
 #: Lengths of the character n-grams.
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Labelled rows that the model is fitted on, about: beyond, a hash of the id picks that share.
 TRAIN_ROWS = 60_000
-#: Languages of the model: the most frequent ones, beyond that number.
+#: Languages of one block of the model; there are as many blocks as it takes.
 LANGUAGES = 256
+#: Counts of texts held at a time while the blocks of the model change.
+HELD = 2_000_000
 #: Characters handled at a time within a batch.
 SLICE = 2_000_000
 LETTER = regex.compile(r"\p{L}")
@@ -56,68 +60,108 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities: languages x (buckets + 1), the last the prior)."""
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(languages, log probabilities: languages x (buckets + 1), the last the
+    prior) of every language that is not held out."""
     known = columns(df, doc_id=id_col, text=text_col, lang=label_col).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    total = sum(r["n"] for r in sizes)
-    langs = sorted(r["lang"] for r in sizes)
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(sizes.values())
+    langs = sorted(sizes)
     if not langs:
-        return [], np.zeros((0, BUCKETS + 1), np.float32)
+        return
     share = min(1.0, train_rows / total)
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1) if share < 1 else known
-    index = {lang: i for i, lang in enumerate(langs)}
+
+    def picked(shares: dict[int, float]) -> DataFrame:
+        """(i, text): of each language (its number) about that share of its rows."""
+        bounds = df.sparkSession.createDataFrame([(langs[i], i, int(x * (1 << 30)) + 1) for i, x in shares.items()], T.StructType([T.StructField("lang", known.schema["lang"].dataType), T.StructField("i", T.IntegerType()), T.StructField("bound", T.LongType())]))
+        return known.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.col("bound")).select("i", "text")
+
+    def pairs(held: dict[int, np.ndarray]) -> pd.DataFrame:
+        found = [(i, np.flatnonzero(n)) for i, n in held.items()]
+        i = np.repeat(np.array([i for i, _ in found], np.int32), [len(b) for _, b in found])
+        b = np.concatenate([b for _, b in found]) if found else np.empty(0, np.int64)
+        n = np.concatenate([held[i][b] for i, b in found]) if found else np.empty(0, np.int64)
+        return pd.DataFrame({"i": i, "bucket": b.astype(np.int32), "n": n})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((len(index), BUCKETS), np.int64)
+        held: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                if lang in index:
-                    for at in range(0, len(text), SLICE):
-                        held[index[lang]] += np.bincount(buckets(text[at : at + SLICE]), minlength=BUCKETS)
-        i, b = np.nonzero(held)
-        yield pd.DataFrame({"i": i.astype(np.int32), "bucket": b.astype(np.int32), "n": held[i, b]})
-
-    got = (
-        picked.select("lang", "text")
-        .mapInPandas(count, "i int, bucket int, n long")
-        .groupBy("i", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    )
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[got["i"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    counts += 0.5
-    logs = np.log(counts) - np.log(counts.sum(1, keepdims=True))
-    prior = np.array([next(r["n"] for r in sizes if r["lang"] == x) for x in langs], float)
-    return langs, np.c_[logs, np.log(prior / prior.sum())].astype(np.float32)
-
-
-def predict(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+            for i, text in zip(pdf["i"], pdf["text"], strict=True):
+                if i not in held:
+                    if len(held) == LANGUAGES:
+                        yield pairs(held)
+                        held = {}
+                    held[i] = np.zeros(BUCKETS, np.int64)
+                for at in range(0, len(text), SLICE):
+                    held[i] += np.bincount(buckets(text[at : at + SLICE]), minlength=BUCKETS)
+        yield pairs(held)
+
+    def counted(shares: dict[int, float]) -> DataFrame:
+        return picked(shares).mapInPandas(count, "i int, bucket int, n long").groupBy("i", "bucket").agg(F.sum("n").alias("n"))
+
+    got = counted(dict.fromkeys(range(len(langs)), share))
+    if len(langs) > LANGUAGES:
+        got = cut(got, "langid")
+    else:
+        got = got.toPandas()
+    for first in range(0, len(langs), LANGUAGES):
+        names = langs[first : first + LANGUAGES]
+        here = got if len(langs) <= LANGUAGES else got.where(F.col("i").between(first, first + len(names) - 1)).toPandas()
+        counts = np.zeros((len(names), BUCKETS))
+        counts[here["i"].to_numpy() - first, here["bucket"].to_numpy()] = here["n"].to_numpy()
+        counts += 0.5
+        logs = np.log(counts) - np.log(counts.sum(1, keepdims=True))
+        prior = np.array([sizes[x] for x in names], float)
+        yield names, np.c_[logs, np.log(prior / total)].astype(np.float32)
+
+
+def _loaded(sent: Broadcast, keep: bool) -> tuple[list[str], np.ndarray]:
+    """A block of the model.  Unless to ``keep``, it is read anew from the
+    broadcast's file, so that a worker holds one block at a time."""
+    return sent.value if keep or sent._path is None else sent.load_from_path(sent._path)
+
+
+def predict(rows: DataFrame, model: Iterable[tuple[list[str], np.ndarray]]) -> DataFrame:
     """``rows`` (column text_ and others) with lang_pred and score (posterior
     probability) instead of the text.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing
-    was learned.  Ties go to the language that sorts first.
+    was learned.  Ties go to the language that sorts first.  The blocks of the
+    model are gone through in turn, with the best and the mass of each text
+    carried along.
     """
-    langs, logs = model
-    sent = rows.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs.T)))
+    sent = [rows.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs.T))) for langs, logs in model]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = sent.value
         for rows_in in batches:
-            preds, scores = [], []
-            for text in rows_in.column("text_").to_pylist():
-                if text is None or not names or not LETTER.search(text):
-                    preds.append(UND)
-                    scores.append(0.0)
+            preds, top, mass = [UND] * len(rows_in), np.full(len(rows_in), -np.inf), np.zeros(len(rows_in))
+
+            def settle(held: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+                for block in sent:
+                    names, table = _loaded(block, len(sent) == 1)
+                    for row, seen, n in held:
+                        sums = table[BUCKETS].astype(np.float64) + n @ table[seen].astype(np.float64)
+                        best = int(np.argmax(sums))
+                        if sums[best] > top[row]:
+                            mass[row] *= np.exp(top[row] - sums[best])
+                            top[row], preds[row] = sums[best], names[best]
+                        mass[row] += np.exp(sums - top[row]).sum()
+
+            held, entries = [], 0
+            for row, text in enumerate(rows_in.column("text_").to_pylist()):
+                if text is None or not sent or not LETTER.search(text):
                     continue
-                sums = table[BUCKETS].astype(np.float64)
+                n = np.zeros(BUCKETS, np.int64)
                 for at in range(0, len(text), SLICE):
-                    n = np.bincount(buckets(text[at : at + SLICE]), minlength=0)
-                    seen = np.flatnonzero(n)
-                    sums = sums + n[seen] @ table[seen].astype(np.float64)
-                best = int(np.argmax(sums))
-                preds.append(names[best])
-                scores.append(float(1 / np.exp(sums - sums[best]).sum()))
+                    n += np.bincount(buckets(text[at : at + SLICE]), minlength=BUCKETS)
+                seen = np.flatnonzero(n)
+                held.append((row, seen, n[seen]))
+                entries += len(seen)
+                if len(sent) == 1 or entries > HELD:
+                    settle(held)
+                    held, entries = [], 0
+            settle(held)
+            scores = np.divide(1.0, mass, out=np.zeros(len(mass)), where=mass > 0)
             kept = [n for n in rows_in.schema.names if n != "text_"]
             arrays = [rows_in.column(n) for n in kept] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "lang_pred", "score"])

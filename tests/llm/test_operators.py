@@ -423,6 +423,17 @@ def test_language_edges(spark, empty):
     assert {r.doc_id for r in kept.collect()} <= {1, 3, None, 8}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than a block of the model has: predictions do not change."""
+    said = {"cs": "žluťoučký kůň", "en": "the cat sat on the mat", "fr": "le chat du château", "ja": "ぁあぃいぅうぇえ", "ru": "быстрая лиса"}
+    df = spark.createDataFrame([(10 * i + j, text, lang, None, 0) for i, (lang, text) in enumerate(said.items()) for j in range(6)], DOCS)
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df).collect()}
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df).collect()}
+    assert {d: x for d, (x, _) in got.items()} == {10 * i + j: lang for i, lang in enumerate(said) for j in range(6)}
+    assert got == {d: (x, pytest.approx(s)) for d, (x, s) in whole.items()}
+
+
 # all --------------------------------------------------------------------
 
 def test_empty_tables_give_empty_results(spark, empty):
