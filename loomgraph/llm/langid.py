@@ -23,8 +23,11 @@ from loomgraph.llm.common import columns, cut, shield
 #: Lengths of the character n-grams.
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: Labelled rows that the model is fitted on, about: beyond, a hash of the id picks that share.
+#: Labelled rows that the model is fitted on, about: beyond, a hash of the id picks that share of each language, or
+#: LANGUAGE_ROWS of it where the share is less.
 TRAIN_ROWS = 60_000
+#: Labelled rows up to which a language is learned from all of them, about.
+LANGUAGE_ROWS = 1_000
 #: Languages of one block of the model; there are as many blocks as it takes.
 LANGUAGES = 256
 #: Counts of texts held at a time while the blocks of the model change.
@@ -99,11 +102,18 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     def counted(shares: dict[int, float]) -> DataFrame:
         return picked(shares).mapInPandas(count, "i int, bucket int, n long").groupBy("i", "bucket").agg(F.sum("n").alias("n"))
 
-    got = counted(dict.fromkeys(range(len(langs)), share))
+    got = counted({i: min(1.0, max(share, LANGUAGE_ROWS / sizes[x])) for i, x in enumerate(langs)})
     if len(langs) > LANGUAGES:
         got = cut(got, "langid")
+        seen = {r["i"] for r in got.select("i").distinct().collect()}
     else:
         got = got.toPandas()
+        seen = set(got["i"])
+    # rows of one id are picked together, or none of them
+    missed = [i for i in range(len(langs)) if i not in seen]
+    if missed:
+        more = counted(dict.fromkeys(missed, 1.0))
+        got = pd.concat([got, more.toPandas()]) if len(langs) <= LANGUAGES else got.unionByName(cut(more, "langid"))
     for first in range(0, len(langs), LANGUAGES):
         names = langs[first : first + LANGUAGES]
         here = got if len(langs) <= LANGUAGES else got.where(F.col("i").between(first, first + len(names) - 1)).toPandas()

@@ -434,6 +434,14 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert got == {d: (x, pytest.approx(s)) for d, (x, s) in whole.items()}
 
 
+def test_rare_languages_are_learned(spark):
+    """The sample takes few rows among many whole, those of one id too."""
+    rows = [(i, "the cat sat on the mat", "en", None, 0) for i in range(0, 6000, 2)] + [(10_001 + 2 * i, "žluťoučký kůň", "cs", None, 0) for i in range(4)]
+    rows += [(None, "ぁあぃいぅうぇえ", "ja", None, 0)] * 3
+    got = {(r.doc_id or 0) > 10_000 and "cs" or (r.doc_id is None and "ja" or "en"): r.lang_pred for r in langid.identify(spark.createDataFrame(rows, DOCS), train_rows=30).collect()}
+    assert got == {"cs": "cs", "en": "en", "ja": "ja"}
+
+
 # all --------------------------------------------------------------------
 
 def test_empty_tables_give_empty_results(spark, empty):
