@@ -7,6 +7,7 @@ lineage does not grow and no state is lost with an executor.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -14,42 +15,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
-from loomgraph.plans.iterate import settle, until_stable
-
-MOST_ROUNDS = 100
+from loomgraph.plans.iterate import settle
 
 
 def components(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """(id, component): weakly connected, named by the smallest id.
 
-    Smallest labels spread along edges, then every node jumps to the label of
-    its label, so the number of rounds is about the logarithm of the diameter.
+    Star contraction: larger neighbours of a node move to its smallest one,
+    then smaller ones to the smallest of them, until nothing changes; the
+    number of rounds is about a logarithm of the number of nodes.
     """
-    sym = settle(edge_rows.where("src != dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")).select("e.*").distinct())
-
-    def step(state: DataFrame, _: int) -> DataFrame:
-        near = sym.join(state.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        low = state.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = low.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        return low.join(jump, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"))
-
-    start = node_rows.select("id", F.col("id").alias("component"))
-    return until_stable(start, step, lambda s: s.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0], MOST_ROUNDS)
+    ids = node_rows.select("id")
+    ends = edge_rows.where("src != dst").select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct()
+    work = settle(ends.join(ids.withColumnRenamed("id", "lo"), "lo", "left_semi").join(ids.withColumnRenamed("id", "hi"), "hi", "left_semi").select("lo", "hi"))
+    seen = None
+    while True:
+        now = work.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
+        sym = work.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(work.select(F.col("hi").alias("a"), F.col("lo").alias("b")))
+        low = settle(sym.groupBy("a").agg(F.min("b").alias("m"))).select("a", F.least("a", "m").alias("m"))
+        down = settle(sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+        low = settle(down.groupBy("a").agg(F.min("b").alias("m")))
+        small = down.join(low, "a").where("m != b").select(F.col("m").alias("lo"), F.col("b").alias("hi"))
+        work = settle(small.unionByName(low.select(F.col("m").alias("lo"), F.col("a").alias("hi"))).distinct())
+    return ids.join(work.select(F.col("hi").alias("id"), F.col("lo").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def bfs(edge_rows: DataFrame, starts: DataFrame, most: int = MOST_ROUNDS, directed: bool = True) -> DataFrame:
+def bfs(edge_rows: DataFrame, starts: DataFrame, most: int | None = None, directed: bool = True) -> DataFrame:
     """(start, id, d, parent): fewest edges from each start to each node it
-    reaches; the parent is the first in adjacency order of those at d - 1."""
+    reaches, within ``most`` steps where that is given; the parent is the
+    first in adjacency order of those at d - 1."""
     hops = G.pairs(edge_rows).select("src", "dst", "adj_seq")
     if not directed:
         hops = hops.unionByName(hops.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "adj_seq")).groupBy("src", "dst").agg(F.min("adj_seq").alias("adj_seq"))
     hops = settle(hops.where("src != dst"))
     seen = settle(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("d"), F.lit(None).cast("string").alias("parent")))
-    for d in range(1, most + 1):
+    for d in count(1) if most is None else range(1, most + 1):
         front = seen.where(F.col("d") == d - 1)
         reach = front.join(hops, front["id"] == hops["src"]).groupBy("start", "dst").agg(F.min_by("src", F.struct("adj_seq", "src")).alias("parent"))
         new = settle(reach.select("start", F.col("dst").alias("id"), F.lit(d).alias("d"), "parent").join(seen.select("start", "id"), ["start", "id"], "left_anti"))

@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,16 +32,3 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/loomgraph-{app}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def until_stable(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], measure: Callable[[DataFrame], object], most: int) -> DataFrame:
-    """Apply ``step`` until ``measure`` (an action on the state) repeats, ``most`` times at most."""
-    state = settle(state)
-    seen = measure(state)
-    for i in range(most):
-        state = settle(step(state, i))
-        now = measure(state)
-        if now == seen:
-            break
-        seen = now
-    return state

@@ -181,6 +181,18 @@ def test_pagerank_sums_to_one(spark):
     assert top.id == "hub"
 
 
+def test_long_chains(spark):
+    """Ids in the order 1, n, n - 1, ..., 2; and a path of more than 100 steps."""
+    order = [1, *range(300, 1, -1)]
+    ids = spark.createDataFrame([(i,) for i in [*order, 999]], "id long")
+    hops = spark.createDataFrame(list(zip(order, order[1:], strict=False)) + [(999, 12345)], "src long, dst long")
+    got = {r.id: r.component for r in traverse.components(ids, hops).collect()}
+    assert got == {i: 1 for i in order} | {999: 999}
+    n, e = graph(spark, [(f"A{i:03}", "R1", f"A{i + 1:03}") for i in range(102)])
+    far = traverse.bfs(e, n.where("id = 'a000'")).agg({"d": "max"}).first()[0]
+    assert far == 102
+
+
 def test_simple_paths_and_ego(spark):
     n, e = graph(spark, [("A1", "R1", "B1"), ("A1", "R2", "B1"), ("B1", "R1", "C1"), ("C1", "R1", "A1"), ("A1", "R1", "C1"), ("C1", "R1", "D1")])
     got = sorted("/".join(r.path) for r in traverse.simple_paths(e, "a1", "c1").collect())
