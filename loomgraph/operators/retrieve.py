@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as T
 from loomgraph.operators import graph as G
 from loomgraph.operators.link import encode
+from loomgraph.plans.iterate import settle
 
 
 def index_rows(docs: DataFrame) -> DataFrame:
@@ -50,8 +52,8 @@ def search(index: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "
     """(query_id, id, score, rank) of the ``top_k`` rows for each query
     (query_id, qvec).  ``where`` filters the index before ranking.
 
-    At most ``MOST_QUERIES`` queries are broadcast; more are refused, to be
-    searched in blocks.  Blocks of rows are compared with all queries by a
+    At most ``MOST_QUERIES`` queries are broadcast; more are refused, for
+    ``search_blocks`` to take.  Blocks of rows are compared with all queries by a
     matrix product, exactly; ties go to the smaller id; only ``top_k`` rows a
     query and partition are shuffled.
     """
@@ -88,9 +90,28 @@ def search(index: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 
+def search_blocks(index: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "l2sq", where: Column | None = None, key: str = "id") -> DataFrame:
+    """As ``search``, for any number of queries: each block of ``MOST_QUERIES``
+    is one pass over the index, and its result is written before the next."""
+    if queries.count() <= MOST_QUERIES:
+        return search(index, queries, top_k, metric, where, key)
+    asked = settle(queries.select("query_id", "qvec").where("qvec IS NOT NULL"))
+    left = asked.toLocalIterator()
+    found = None
+    while True:
+        block = list(islice(left, MOST_QUERIES))
+        if not block and found is not None:
+            break
+        part = settle(search(index, asked.sparkSession.createDataFrame(block, asked.schema), top_k, metric, where, key))
+        found = part if found is None else found.unionByName(part)
+    # a query_id may be in several blocks
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+
+
 def retrieve(index: DataFrame, queries: DataFrame, top_k: int = 5, least: float = 0.7, metric: str = "l2sq", where: Column | None = None) -> DataFrame:
-    """As ``search``, then only what scores ``least`` or more."""
-    return search(index, queries, top_k, metric, where).where(F.col("score") >= least)
+    """As ``search_blocks``, then only what scores ``least`` or more."""
+    return search_blocks(index, queries, top_k, metric, where).where(F.col("score") >= least)
 
 
 def context(results: DataFrame, node_rows: DataFrame, edge_rows: DataFrame, concepts: int = 5, near: int = 3) -> DataFrame:

@@ -124,7 +124,7 @@ _L2 = "1 - list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), CAST(qv
 
 @query(f"WITH {_ASK}, s AS (SELECT query_id, vec_id AS id, {_L2} AS score FROM embeddings, q) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
 def c24_w12_search(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.search(I.vectors(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 6))
+    return retrieve.search_blocks(I.vectors(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_ASK}, s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qvec AS DOUBLE[])) AS score FROM embeddings, q WHERE label >= 2) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5 AND score >= 0.25")

@@ -318,6 +318,14 @@ def test_search_scores(spark):
         retrieve.search(index, spark.range(1001).selectExpr("id as query_id", "array(1d, 0d) as qvec"))
 
 
+def test_search_in_blocks(spark, monkeypatch):
+    index = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 9)], "id long, vec array<double>")
+    asked = spark.createDataFrame([(q, [1.0, q / 10]) for q in range(20)] + [(0, [0.0, 1.0]), (99, None)], "query_id long, qvec array<double>")
+    want = retrieve.search(index, asked, 3, "cosine").collect()
+    monkeypatch.setattr(retrieve, "MOST_QUERIES", 7)
+    assert sorted(retrieve.retrieve(index, asked, 3, -1.0, "cosine").collect()) == sorted(want) and len(want) == 60
+
+
 def test_hashed_vectors():
     a, b, c = (link.hashed_vector(t) for t in ("neural network", "neural networks", "zzz"))
     dot = lambda x, y: sum(p * q for p, q in zip(x, y))
