@@ -278,6 +278,24 @@ def test_clusters(spark):
     assert {r.linkage for r in monkey.where("id = 1").collect()} == {"single"}
 
 
+def test_average_linkage_of_large_components(spark, monkeypatch):
+    """Rounds of nearest clusters in blocks give what merging the closest two in turn gives."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + rng.normal(size=(30, 8)) * 0.6 for c in rng.normal(size=(5, 8))])
+    df = spark.createDataFrame([(i * 7 % 151, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    ids = np.array([i * 7 % 151 for i in range(len(x))])
+    order = np.argsort(ids)
+    want = dict(zip(ids[order].tolist(), link.average_linkage(x[order], ids[order], 0.4).tolist(), strict=True))
+    assert 5 < len(set(want.values())) < 60
+    monkeypatch.setattr(link, "BLOCK", 40)
+    for most in (4000, 60, 0):
+        monkeypatch.setattr(link, "MOST_MEMBERS", most)
+        got = link.agglomerative(df, 0.4).collect()
+        assert {r.id: r.cluster for r in got} == want and {r.linkage for r in got} == {"average"}
+
+
 def test_pairs_in_blocks(spark, monkeypatch):
     import numpy as np
 
