@@ -13,6 +13,7 @@ class Config:
     triples_per_chunk: int = 10
     edge_confidence: float = 0.6
     link_similarity: float = 0.85
+    clustering: str = "agglomerative"
     min_cluster_size: int = 2
     top_k: int = 5
     similarity: float = 0.7

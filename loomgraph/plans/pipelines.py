@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import extract, reason, recommend, retrieve
+from loomgraph.operators import extract, link, reason, recommend, retrieve
 from loomgraph.operators import graph as G
 from loomgraph.plans.config import Config
 from loomgraph.plans.iterate import settle
@@ -24,13 +24,18 @@ def extract_documents(docs: DataFrame, config: Config = Config()) -> DataFrame:
     return extract.triples(rows, config.extract_confidence, config.triples_per_chunk)
 
 
+def resolve(triples: DataFrame, config: Config = Config(), known: DataFrame | None = None) -> DataFrame:
+    """Triples under the canonical names of their entities, or of those of ``known`` triples."""
+    return link.link(triples, config.link_similarity, config.clustering, config.min_cluster_size, known)
+
+
 def build(triples: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges, written once as several analyses read them."""
     return settle(G.nodes(triples)), settle(G.edges(triples, config.edge_confidence))
 
 
 def analyse(triples: DataFrame, topic: str | None = None, config: Config = Config()) -> dict[str, DataFrame]:
-    nodes, edges = build(triples, config)
+    nodes, edges = build(settle(resolve(settle(triples), config)), config)
     out = reason.analyse(nodes, edges, config)
     return out | {"nodes": nodes, "edges": edges, "recommendations": recommend.recommend(nodes, edges, topic, most=config.recommendations)}
 

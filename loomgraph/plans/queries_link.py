@@ -48,6 +48,13 @@ def j7_w3_p5_relinked(spark: SparkSession, d: str) -> DataFrame:
     return link.relink(t, mapping).select("triple_seq", "subject", "relation", "object")
 
 
+@query()
+def c20_j7_linked(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of entity linking: the names of half of the documents are encoded and clustered, those of the others go to the nearest."""
+    t = I.settle(I.doc_triples(spark, d))
+    return link.link(t, known=t.where("doc_id % 2 = 0")).select("triple_seq", "subject", "relation", "object")
+
+
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 _NEAR = f"SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= {COSINE}"
 

@@ -260,6 +260,35 @@ def test_linking(spark):
     assert [r.aliases for r in link.merge_clusters(df).collect()] == [["ML", "Machine Learning"]]
 
 
+@pytest.mark.parametrize("method", ["agglomerative", "dbscan"])
+def test_linking_of_names_by_their_vectors(spark, method):
+    """Encode, cluster, canonical names, relink with the nearest for new names, against plain Python."""
+    import numpy as np
+
+    seen = [("Machine Learning", "USES", "Neural Network"), ("Machine Learnings", "USES", "Neural Networks"), ("Machine Learning", "IS_A", "Machinery"), ("Deep Neural Network", "IS_A", "Neural Network"), ("Machine", "IS_A", "Tool")]
+    new = [("The Machine Learning", "USES", "Neural Network"), ("Machine Learning", "USES", "Quantum"), ("Machine Learnings X", "IS_A", "Machine Learning")]
+    known, asked = (triples(spark, [(*t, 1.0) for t in x]) for x in (seen, new))
+    names = [n for s, _, o in seen for n in (s, o)]
+    distinct = list(dict.fromkeys(names))
+    x = {n: np.array(link.hashed_vector(n), float) for n in distinct + [n for s, _, o in new for n in (s, o)]}
+    groups = [{n} for n in distinct]
+    mean = min if method == "dbscan" else lambda d: sum(d) / len(d)  # clusters of two and more: single linkage
+    while len(groups) > 1:
+        d, a, b = min((mean([1 - x[p] @ x[q] for p in g for q in h]), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+        if d >= 0.3:
+            break
+        groups[a] |= groups.pop(b)
+    to = {n: max(g, key=lambda m: (names.count(m), len(m), -names.index(m))) for g in groups for n in g}
+    assert to["Machine Learnings"] == "Machine Learning" and to["Machinery"] == ("Machinery" if method == "agglomerative" else "Machine Learning")
+    for n in set(x) - set(to):
+        best = max(distinct, key=lambda m: x[n] @ x[m])
+        to[n] = to[best] if x[n] @ x[best] >= 0.7 else n
+    assert to["The Machine Learning"] == "Machine Learning" and to["Quantum"] == "Quantum"
+    for part, rows, source in ((known, seen, None), (asked, new, known)):
+        want = {(to[s], r, to[o]) for s, r, o in rows if to[s] != to[o]}
+        assert sorted(map(tuple, link.link(part, 0.7, method, known=source).select("subject", "relation", "object").collect())) == sorted(want)
+
+
 def test_clusters(spark):
     import math
 
