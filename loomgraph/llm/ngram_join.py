@@ -317,6 +317,11 @@ def similar(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
     a null id takes part and gets the component of the others, or null.
     Very long texts are whole sets.  An empty table gives none.
     """
+    return _labelled(df, k, percent, id_col, text_col).drop("root")
+
+
+def _labelled(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``similar``, with the root of the component: ids that repeat may give two of them one component_id."""
     spark = df.sparkSession
     rows = columns(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n_frag = fragments(spark, df.count(), DOCS_EACH)
@@ -325,16 +330,34 @@ def similar(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
     labels = links(shared, percent)
     named = docs.where("n > 0").join(labels.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "join-groups")
-    linked = named.join(groups, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("node").alias("class_node"))
-    alone = docs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_node"))
+    linked = named.join(groups, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("node").alias("class_node"), "root")
+    alone = docs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_node"), F.lit(None).cast("long").alias("root"))
     return linked.unionByName(alone)
 
 
 def keep_first(df: DataFrame) -> DataFrame:
     """The rows of ``df`` (columns doc_id, text and others) whose id is the
-    smallest of its component; repeated rows with that id become one."""
+    smallest of the component of their own set.  Rows that repeat an id are
+    told apart by their sets: one stays of each component (of different texts
+    that with the smallest set and text), and one without shingles."""
     df, restore = shield(df, "doc_id", "text")
-    found = similar(df).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = df.join(found, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    with_id = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return restore(with_id.unionByName(kept.where(F.col("doc_id").isNull())))
+    labelled = cut(_labelled(df).select(F.col("doc_id").alias("first_id"), F.col("class_node").alias("first_node"), "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("own")), "keep-labels")
+    own = labelled.where("own").select("first_id", "first_node", "root").distinct()
+    ids = cut(labelled.groupBy("first_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("own").alias("own")).where("own").select("first_id", "n_rows"), "keep-ids")
+    several = (F.col("n_rows") > 1) | F.col("first_id").isNull()
+    once = df.join(ids.where(~several), F.col("doc_id") == F.col("first_id"), "left_semi")
+    if ids.where(several).isEmpty():
+        return restore(once)
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        hashes = WordHashes()
+        found = [shingles(t, hashes) for t in texts]
+        return pd.Series([node_of(x) if len(x) else None for x in found], dtype="Int64")
+
+    names = df.columns
+    again = df.join(ids.where(several), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").withColumn("node_", node("text"))
+    again = again.join(own, F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("node_").eqNullSafe(F.col("first_node")))
+    nameless = again.where(F.col("doc_id").isNull()).select(*names)
+    picked = again.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "root").agg(F.min_by(F.struct(*names), F.struct("node_", "text")).alias("row_")).select("row_.*")
+    return restore(once.unionByName(picked).unionByName(nameless))

@@ -116,6 +116,18 @@ def test_keep_first_keeps_one_of_each_group_and_all_columns(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows)})
 
 
+def test_keep_first_of_repeated_ids(spark):
+    """An id with several texts: each is judged by its own set."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, a + " more"), (8, c), (5, a), (9, None), (9, ""), (9, c + " x"), (4, a.replace("a0", "z")), (6, b), (None, b), (None, "one of its own")]
+    kept = ngram_join.keep_first(clashing(spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], DOCS).repartition(3)))
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == sorted([(3, b), (4, a.replace("a0", "z")), (7, c), (9, ""), (0, "one of its own")])
+    alone = spark.createDataFrame([(5, t, None, None, 0) for t in (a, b, b + " more", a.upper())], DOCS)
+    got = [r.text for r in ngram_join.keep_first(alone).collect()]
+    assert len(got) == 2 and {t[0].lower() for t in got} == {"a", "b"}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (2000, 2001)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
