@@ -6,13 +6,16 @@ is, and returns to each set the shingles it shares; a set with less than the
 threshold shared cannot link and leaves.  The rest are ordered by (document
 frequency, hash), so that prefixes hold the rarest shared shingles.
 
-Sets that meet in a prefix shingle are compared with a few hubs of that
-shingle first: that needs a number of pairs linear in the group.  Linked
-sets form components; only sets of different components that meet in a
-prefix are then compared pair by pair, so no link is lost and no group of
+Sets that meet in a prefix shingle are compared with two hubs of that shingle
+first, one of them the set whose shingles are the commonest, which is in the
+middle of a group of near copies: that needs a number of pairs linear in the
+group.  Linked sets form components.  Such rounds are repeated, with other
+hubs, while they lessen the pairs of different components that meet; what is
+left of those is compared pair by pair, so no link is lost and no group of
 copies is expanded.  Parity signatures bound the overlap of a pair from above
-and spare most comparisons of pairs that cannot link.  A comparison counts partial overlaps in each vertical
-fragment of the two sets separately and sums them per pair.
+and spare most comparisons of pairs that cannot link.  A comparison counts
+partial overlaps in each vertical fragment of the two sets separately and sums
+them per pair.
 """
 
 from __future__ import annotations
@@ -33,15 +36,16 @@ from loomgraph.llm.components import components
 WORDS = 5
 #: Similarity threshold in percent.
 PERCENT = 75
-#: Hubs of a prefix shingle in one star round, and star rounds.
-HUBS, ROUNDS = 2, 1
+#: Pairs for each set and shingle up to which no more star rounds are worth while, and the share of the pairs that a
+#: round must leave at most to be followed by another.
+LINEAR, FALL = 4, 0.8
+#: Hubs of the largest component of a shingle in a later star round.
+HUBS = 16
 #: Vertical fragments of the overlap count.
 VERTICAL = 4
 #: Words of the parity signature of a set.
-SIGNATURE = 8
+SIGNATURE = 32
 SIGNS = tuple(f"s{i}" for i in range(SIGNATURE))
-#: Those of them that go along with prefix shingles (fewer let more pairs through to the next step).
-FEW = SIGNS
 #: Rows (of two or three numbers) up to which a side is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Pairs that one task counts, about; with them come at most twice as many sets.
@@ -80,9 +84,11 @@ def sets(df: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(node, n, m, tokens, s0...) of the sets that share at least ``percent``
-    of their shingles with other sets: size, number of shared shingles, those
-    sorted by (document frequency, token), and their parity signature."""
+    """(node, n, m, central, tokens, s0...) of the sets that share at least
+    ``percent`` of their shingles with other sets: size, number of shared
+    shingles, how common its shingles are on average (high for a set in the
+    middle of its group), the shared ones sorted by (document frequency,
+    token), and their parity signature."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -143,11 +149,12 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
         node, size, token = node[order], size[order], token[order].view(np.int64)
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         counts = np.diff(np.r_[first, len(node)])
-        kept = [(int(a), int(c)) for a, c in zip(first, counts, strict=True) if 100 * int(c) >= percent * int(size[a])]
-        out = [(int(node[a]), int(size[a]), c, token[a : a + c], *signature(token[a : a + c])) for a, c in kept]
-        return pd.DataFrame(out, columns=["node", "n", "m", "tokens", *SIGNS])
+        common = np.add.reduceat(np.log2(df_), first) / size[first]
+        kept = [(int(a), int(c), float(x)) for a, c, x in zip(first, counts, common, strict=True) if 100 * int(c) >= percent * int(size[a])]
+        out = [(int(node[a]), int(size[a]), c, x, token[a : a + c], *signature(token[a : a + c])) for a, c, x in kept]
+        return pd.DataFrame(out, columns=["node", "n", "m", "central", "tokens", *SIGNS])
 
-    return back.groupBy("home").applyInPandas(gather, "node long, n long, m long, tokens array<long>, " + ", ".join(f"{s} long" for s in SIGNS))
+    return back.groupBy("home").applyInPandas(gather, "node long, n long, m long, central double, tokens array<long>, " + ", ".join(f"{s} long" for s in SIGNS))
 
 
 def signature(tokens: np.ndarray) -> list[int]:
@@ -163,9 +170,9 @@ def _small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def _alike(x: str, y: str, percent: int, signs: tuple[str, ...] = SIGNS):
+def _alike(x: str, y: str, percent: int):
     """The overlap that two signatures leave possible is enough for a link."""
-    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in signs])
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGNS])
     return F.col(f"{x}.m") + F.col(f"{y}.m") - differ >= 2 * need(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
 
 
@@ -198,12 +205,12 @@ def need(a, b, percent: int = PERCENT):
 
 
 def prefixes(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, node, n, pos, m, s0...): the shared shingles within the prefix;
+    """(token, node, n, central, pos): the shared shingles within the prefix;
     ``pos`` counts the set's own shingles, which come first in the order."""
     alone = F.col("n") - F.col("m")
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - alone
-    return shared.select("node", "n", "m", *FEW, alone.alias("alone"), F.posexplode(F.slice("tokens", 1, length.cast("int"))).alias("i", "token")).select(
-        "token", "node", "n", (F.col("alone") + F.col("i")).alias("pos"), "m", *FEW
+    return shared.select("node", "n", "central", alone.alias("alone"), F.posexplode(F.slice("tokens", 1, length.cast("int"))).alias("i", "token")).select(
+        "token", "node", "n", "central", (F.col("alone") + F.col("i")).alias("pos")
     )
 
 
@@ -269,42 +276,82 @@ def overlaps(pairs: DataFrame, shared: DataFrame, percent: int = PERCENT) -> Dat
     return parts.groupBy("x", "y", "nx", "ny").agg(F.sum("partial").alias("overlap"))
 
 
-def links(shared: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """(node, root, weight): components of the sets, and their sizes, under ``links`` of the threshold."""
+def _rooted(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``posts`` with the component (root) that each set has so far."""
+    return posts.join(_small(labels), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _mixed(here: DataFrame) -> DataFrame:
+    """(token, major, n_all, n_minor) of the prefix shingles whose sets are of
+    several components: the component most of them are of, how many there are
+    and how many are of others."""
+    by = here.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+    by = by.groupBy("token").agg(F.sum("k").alias("n_all"), F.max(F.struct("k", "root")).alias("top"))
+    return cut(by.where("n_all > top.k").select("token", F.col("top.root").alias("major"), "n_all", (F.col("n_all") - F.col("top.k")).alias("n_minor")), "join-mixed")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
+
+
+def _meet(percent: int):
+    """Two rows (a, b) of one prefix shingle may be sets of different components that link."""
+    return (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", percent)
+
+
+def _hubs(rows: DataFrame, percent: int, *names: str, part=None) -> DataFrame:
+    """Of each prefix shingle, and part of its sets, the most central set.
+    Sets that have the shingle too late for a link with one of their own size
+    come after all others."""
+    early = F.col("n") - F.col("pos") >= need(F.col("n"), F.col("n"), percent)
+    best = F.max_by(F.struct(*names), F.struct(early, "central", "node"))
+    rows = rows.withColumn("part", F.lit(0) if part is None else part)
+    # written: both sides of the join with them are then plain shuffles, which can be split
+    return cut(rows.groupBy("token", "part").agg(best.alias("h")).select("token", "h.*"), "join-hubs")
+
+
+def links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, root): components of the sets under ``links`` of the threshold.
+
+    Star rounds first, which take a number of pairs linear in the sets, until
+    few pairs of different components are left or a round no longer lessens
+    them much; then all of those.
+    """
     posts = cut(prefixes(shared, percent), "join-posts")
     sketch = shared.select("node", "n", "m", *SIGNS)
-    labels, edges = None, None
-    for turn in range(ROUNDS + 1):
-        here = posts
-        if labels is None:
-            here = here.withColumn("root", F.col("node"))
-        else:
-            here = here.join(_small(labels), "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("weight", F.coalesce("weight", F.lit(1)))
-        if turn < ROUNDS:
-            pick = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + h)).alias("k"), "node", "n", "pos", "root")).alias(f"h{h}") for h in range(HUBS)]
-            hubs = here.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *pick).where("m > 1")
-            hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[f"h{h}" for h in range(HUBS)]))).alias("h"))
-            hubs = hubs.select("token", F.col("h.node").alias("node"), F.col("h.n").alias("n"), F.col("h.pos").alias("pos"), F.col("h.root").alias("root"))
-            hubs = cut(hubs, "join-hubs")  # both sides of the join are then plain shuffles, which can be split
-            met = here.alias("a").join(hubs.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", percent))
-        else:
-            # a pair of different roots has a member outside any one root of its shingle: the largest is left out
-            major = here.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("weight", "root"))["root"].alias("major"))
-            major = cut(major.where("r0 != r1").select("token", "major"), "join-major")
-            minor = cut(here.select("token", "node", "n", "pos", "root").join(major, "token").where("root != major"), "join-minor")
-            minor = minor.join(sketch.select("node", "m", *FEW), "node")
-            met = minor.alias("a").join(here.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("a.major")) | (F.col("a.root") < F.col("b.root"))) & _possible("a", "b", percent) & _alike("a", "b", percent, FEW))
-        pairs = met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
-        one = pairs.alias("p").join(sketch.alias("a"), F.col("p.x") == F.col("a.node")).select("p.*", *[F.col(f"a.{k}") for k in ("n", "m", *SIGNS)])
-        both = one.alias("a").join(sketch.alias("b"), (F.col("a.y") == F.col("b.node")) & _alike("a", "b", percent))
-        pairs = both.select("a.x", "a.y", "a.nx", "a.ny")
+
+    def joined(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         done = cut(overlaps(pairs, shared, percent), "join-overlaps")
         good = done.where(F.col("overlap") * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("overlap"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = good if edges is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good)
-        found = cut(components(edges), "join-roots")
-        weights = found.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
-        labels = cut(found.join(weights, "root").select("node", "root", "weight"), "join-labels")
-    return labels
+        if labels is not None:
+            good = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good)
+        return cut(components(good), "join-labels")
+
+    every = posts.withColumn("root", F.col("node"))
+    hubs = _hubs(every, percent, "node", "n", "pos", "root", part=F.pmod(F.xxhash64("node"), F.lit(2)))
+    pairs = _pairs(every.alias("a").join(hubs.alias("b"), _meet(percent)))
+    one = pairs.alias("p").join(sketch.alias("a"), F.col("p.x") == F.col("a.node")).select("p.*", *[F.col(f"a.{k}") for k in ("n", "m", *SIGNS)])
+    both = one.alias("a").join(sketch.alias("b"), (F.col("a.y") == F.col("b.node")) & _alike("a", "b", percent))
+    labels = joined(both.select("a.x", "a.y", "a.nx", "a.ny"), None)
+    turn, before = 0, None
+    while True:
+        here = _rooted(posts, labels)
+        mixed = _mixed(here)
+        left, rows = mixed.agg(F.sum(F.col("n_all") * F.col("n_minor")), F.sum("n_all")).first()
+        if not left:
+            return labels
+        fields = ("node", "n", "pos", "root", "m", *SIGNS)
+        signed = here.join(mixed.select("token", "major"), "token").join(sketch.select("node", "m", *SIGNS), "node")
+        signed = cut(signed.select("token", "major", "central", *fields), "join-signed")
+        minor = cut(signed.where("root != major"), "join-minor")
+        if left <= LINEAR * rows or (before is not None and left > before * FALL):
+            # a pair of different roots has a member outside any one root of its shingle: the largest is left out on one side
+            fresh = (F.col("b.root") == F.col("a.major")) | (F.col("a.root") < F.col("b.root"))
+            return joined(_pairs(minor.alias("a").join(signed.alias("b"), _meet(percent) & fresh & _alike("a", "b", percent))), labels)
+        turn, before = turn + 1, left
+        part = F.when(F.col("root") != F.col("major"), -1).otherwise(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)))
+        hubs = _hubs(signed, percent, *fields, part=part)
+        labels = joined(_pairs(minor.alias("a").join(hubs.alias("b"), _meet(percent) & _alike("a", "b", percent))), labels)
 
 
 def similar(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,7 +375,7 @@ def _labelled(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str
     docs = cut(sets(rows, k), "join-docs")
     shared = cut(shared_shingles(rows, n_frag, k, percent), "join-shared")
     labels = links(shared, percent)
-    named = docs.where("n > 0").join(labels.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = docs.where("n > 0").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "join-groups")
     linked = named.join(groups, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("node").alias("class_node"), "root")
     alone = docs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_node"), F.lit(None).cast("long").alias("root"))
