@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is used.
+    and all run in one process (tests) a temporary folder is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     global _LOCAL
     if _LOCAL is None:
         _LOCAL = tempfile.mkdtemp(prefix="loomgraph-")
@@ -75,10 +80,10 @@ def shield(df: DataFrame, *known: str):
     return df.toDF(*inner), lambda out: out.select(*inner).toDF(*names)
 
 
-def fragments(spark: SparkSession, n_rows: int, rows_each: int) -> int:
-    """How many hash fragments to cut work into: grows with the input, at
-    least one for each shuffle partition."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // rows_each))
+def fragments(spark: SparkSession, size: int, size_each: int) -> int:
+    """How many hash fragments to cut work of some size into: grows with the
+    input, at least one for each shuffle partition."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // size_each))
 
 
 class WordHashes(dict):
@@ -121,6 +126,83 @@ def fragment_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
 
+#: Rows that a batch is cut into at most.
+FAN = 256
+
+
+def stages(n: int, fan: int | None = None) -> list[int]:
+    """Numbers of fragments, each a multiple of the one before it by at most
+    ``fan``, the last one at least ``n``."""
+    fan, k = fan or FAN, 1
+    while fan**k < n:
+        k += 1
+    each = next(r for r in range(1, fan + 1) if r**k >= n)
+    return [each**i for i in range(1, k + 1)]
+
+
+class Packed:
+    """Groups of equally long integer arrays that travel as one row for each
+    hash fragment; a group is a dict of names and dtypes, the first of them a
+    64-bit hash that decides the fragment.
+
+    A batch is cut into ``stages(n)[0]`` rows, at most ``FAN``; where there
+    are more fragments, ``deal`` gathers rows of one coarse fragment, wherever
+    they come from, and cuts them again.  So rows grow with the data, not with
+    batches times fragments.
+    """
+
+    def __init__(self, *groups: dict[str, type], batch: int = 1_000_000):
+        self.groups = [{n: np.dtype(k) for n, k in g.items()} for g in groups]
+        self.names = [n for g in self.groups for n in g]
+        self.schema = "frag int, " + ", ".join(f"{n} binary" for n in self.names)
+        self.batch = batch
+
+    def rows(self, n: int, *groups: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """One row for each of ``n`` fragments that has entries, in their order."""
+        cells: dict[int, dict[str, bytes]] = {}
+        for kinds, group in zip(self.groups, groups, strict=True):
+            frag = fragment_of(group[next(iter(kinds))], n)
+            order = np.argsort(frag, kind="stable")
+            at = np.searchsorted(frag[order], np.arange(n + 1))
+            ordered = {name: group[name].astype(kind, copy=False)[order] for name, kind in kinds.items()}
+            for f in np.flatnonzero(np.diff(at)).tolist():
+                cells.setdefault(f, {}).update((name, squeeze_sorted(x[at[f] : at[f + 1]])) for name, x in ordered.items())
+        arrays = [pa.array(list(cells), pa.int32()), *[pa.array([c.get(name) for c in cells.values()], pa.binary()) for name in self.names]]
+        return pa.RecordBatch.from_arrays(arrays, names=["frag", *self.names])
+
+    def arrays(self, cells: dict[str, list[bytes | None]]) -> list[dict[str, np.ndarray]]:
+        """The groups of rows (lists of cells by name), one row after the other."""
+        return [{n: np.concatenate([np.empty(0, k), *[unsqueeze_sorted(x, k) for x in cells[n] if x is not None]]) for n, k in g.items()} for g in self.groups]
+
+    def of(self, pdf: pd.DataFrame) -> list[dict[str, np.ndarray]]:
+        return self.arrays({n: pdf[n].tolist() for n in self.names})
+
+    def deal(self, sent: DataFrame, plan: list[int]) -> DataFrame:
+        """Rows cut into ``plan[0]`` fragments, cut into ``plan[-1]``."""
+        parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        for had, n in zip(plan, plan[1:], strict=False):
+            salt = F.pmod(F.monotonically_increasing_id(), F.lit(max(1, parts // had)))
+            sent = sent.withColumn("salt", salt).repartition("frag", "salt").drop("salt").sortWithinPartitions("frag").mapInArrow(self._again(n), self.schema)
+        return sent
+
+    def _again(self, n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held, size = None, {name: [] for name in self.names}, 0
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if held[self.names[0]] and (row["frag"] != now or size >= self.batch):
+                        yield self.rows(n, *self.arrays(held))
+                        held, size = {name: [] for name in self.names}, 0
+                    now = row["frag"]
+                    for name in self.names:
+                        held[name].append(row[name])
+                    size += sum(length(row[next(iter(g))], next(iter(g.values()))) for g in self.groups)
+            if held[self.names[0]]:
+                yield self.rows(n, *self.arrays(held))
+
+        return run
+
+
 def squeeze(a: np.ndarray) -> bytes:
     """Bytes of an integer array, byte planes apart, compressed."""
     raw = np.ascontiguousarray(a)
@@ -136,9 +218,10 @@ def unsqueeze(b: bytes, dtype) -> np.ndarray:
 
 
 def squeeze_sorted(a: np.ndarray) -> bytes:
-    """As ``squeeze``, for sorted unsigned values: differences are stored."""
+    """As ``squeeze``, best for sorted values: differences are stored."""
     d = a.copy()
-    d[1:] -= a[:-1]
+    with np.errstate(over="ignore"):
+        d[1:] -= a[:-1]
     return squeeze(d)
 
 
@@ -146,6 +229,11 @@ def unsqueeze_sorted(b: bytes, dtype) -> np.ndarray:
     return np.cumsum(unsqueeze(b, dtype), dtype=dtype)
 
 
+def length(b: bytes | None, dtype) -> int:
+    """Entries of a squeezed array."""
+    return 0 if b is None else zstandard.frame_content_size(b) // np.dtype(dtype).itemsize
+
+
 def starts(sorted_keys: np.ndarray) -> np.ndarray:
     """Where runs of equal values start."""
     if not len(sorted_keys):

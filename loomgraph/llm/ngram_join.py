@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHashes, columns, cut, fragment_of, fragments, mix, rolling, shield, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
+from loomgraph.llm.common import Packed, WordHashes, columns, cut, fragments, mix, rolling, shield, stages, starts
 from loomgraph.llm.components import components
 
 WORDS = 5
@@ -50,11 +50,12 @@ SIGNS = tuple(f"s{i}" for i in range(SIGNATURE))
 BROADCAST_ROWS = 500_000
 #: Pairs that one task counts, about; with them come at most twice as many sets.
 PAIRS_EACH = 20_000
-#: Documents for one fragment of the shingle order at least.
-DOCS_EACH = 4000
+#: Shingles of one fragment of their order, about.
+SHINGLES_EACH = 1_000_000
 #: Shingles that a task gathers before it sends them to their fragments.
 BATCH_SHINGLES = 1_000_000
-LOW40 = np.uint64((1 << 40) - 1)
+#: Sets of one batch that make a shingle hot, and the document frequency that stands for all hot ones.
+HOT, MOST_FREQ = 32, (1 << 31) - 1
 
 
 def shingles(text: str | None, hashes: WordHashes, k: int = WORDS) -> np.ndarray:
@@ -83,12 +84,38 @@ def sets(df: DataFrame, k: int = WORDS) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, node long, n long")
 
 
-def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+#: A shingle of a set on its way to the others' and back: with it go the set and its size, or its document frequency.
+#: The hash's upper 48 bits stand for a shingle; ``hot`` marks one that some batch has found in HOT sets or more.
+BACK = Packed({"home": np.uint64, "size": np.uint32, "shingle": np.uint64, "freq": np.uint32})
+BOTH = Packed({"token": np.uint64, "node": np.int64, "size": np.uint32, "hot": np.uint8}, {"home": np.uint64, "d_size": np.uint32, "shingle": np.uint64, "freq": np.uint32})
+LOW16 = np.uint64((1 << 16) - 1)
+
+
+def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = PERCENT, fan: int | None = None) -> DataFrame:
     """(node, n, m, central, tokens, s0...) of the sets that share at least
     ``percent`` of their shingles with other sets: size, number of shared
     shingles, how common its shingles are on average (high for a set in the
     middle of its group), the shared ones sorted by (document frequency,
-    token), and their parity signature."""
+    token), and their parity signature.
+
+    A shingle that HOT sets of one batch hold counts as the commonest of all
+    everywhere: a batch settles it for its own sets and sends it on once, so
+    that no fragment gets all sets of a very common shingle.
+    """
+    plan = stages(n_frag, fan)
+
+    def settle(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        nodes, sizes = np.fromiter(held, np.int64, len(held)), np.array([len(s) for s in held.values()], np.uint32)
+        token = np.concatenate(list(held.values())) & ~LOW16
+        owner = np.repeat(np.arange(len(nodes)), sizes)
+        known, code, times = np.unique(token, return_inverse=True, return_counts=True)
+        hot = times >= HOT
+        here = hot[code]
+        # a hot one is sent once, without the sets, whose return is settled here
+        send = {"token": np.r_[token[~here], known[hot]], "node": np.r_[nodes[owner[~here]], np.zeros(hot.sum(), np.int64)], "size": np.r_[sizes[owner[~here]], np.zeros(hot.sum(), np.uint32)]}
+        send["hot"] = np.r_[np.zeros((~here).sum(), np.uint8), np.ones(hot.sum(), np.uint8)]
+        done = {"home": nodes[owner[here]].view(np.uint64), "d_size": sizes[owner[here]], "shingle": token[here], "freq": np.full(here.sum(), MOST_FREQ, np.uint32)}
+        return BOTH.rows(plan[0], send, done)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -101,60 +128,47 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
                     held[node] = s
                     size += len(s)
                 if size >= BATCH_SHINGLES:
-                    yield _send(held, n_frag)
+                    yield settle(held)
                     held, size = {}, 0
         if held:
-            yield _send(held, n_frag)
-
-    sent = df.mapInArrow(scan, "frag int, nodes binary, sizes binary, counts binary, tokens binary")
+            yield settle(held)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        frag = int(pdf["frag"].iat[0])
-        nodes, sizes, tokens = [], [], []
-        for row in pdf.itertuples():
-            times = unsqueeze(row.counts, np.uint32)
-            nodes.append(np.repeat(np.frombuffer(row.nodes, np.int64), times))
-            sizes.append(np.repeat(unsqueeze(row.sizes, np.uint32), times))
-            raw = np.zeros((int(times.sum()), 8), np.uint8)
-            raw[:, :5] = np.frombuffer(row.tokens, np.uint8).reshape(-1, 5)
-            tokens.append(raw.view(np.uint64).ravel())
-        node, size, token = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(tokens)
-        order = np.lexsort((node, token))
-        node, size, token = node[order], size[order], token[order]
-        new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # a set may come from two batches
-        node, size, token = node[new], size[new], token[new]
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        freq = np.diff(np.r_[first, len(token)])
-        df_ = np.repeat(freq, freq)
-        keep = df_ >= 2
-        node, size, token, df_ = node[keep], size[keep], token[keep] | np.uint64(frag << 40), df_[keep]
-        home = node % n_frag
-        order = np.lexsort((node, home))
-        node, size, token, df_, home = node[order], size[order], token[order], df_[order], home[order]
-        out, cuts = [], np.searchsorted(home, np.arange(n_frag + 1))
-        for h in range(n_frag):
-            a, b = cuts[h], cuts[h + 1]
-            if a < b:
-                out.append((h, squeeze_sorted(node[a:b].view(np.uint64)), squeeze(size[a:b]), squeeze(token[a:b]), squeeze(df_[a:b].astype(np.uint32))))
-        return pd.DataFrame(out, columns=["home", "nodes", "sizes", "tokens", "dfs"])
-
-    back = sent.groupBy("frag").applyInPandas(count, "home int, nodes binary, sizes binary, tokens binary, dfs binary")
+        sent, done = BOTH.of(pdf)
+        done["size"] = done.pop("d_size")
+        order = np.lexsort((sent["node"], sent["token"]))
+        token, node, size, hot = (sent[x][order] for x in ("token", "node", "size", "hot"))
+        first = starts(token)
+        new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])][: len(token)] & (hot == 0)  # a set may come from two batches
+        if len(token):
+            runs = np.diff(np.r_[first, len(token)])
+            freq = np.where(np.maximum.reduceat(hot, first) > 0, MOST_FREQ, np.add.reduceat(new.astype(np.int64), first))
+            keep = new & (np.repeat(freq, runs) >= 2)
+            back = {"home": node[keep].view(np.uint64), "size": size[keep], "shingle": token[keep], "freq": np.repeat(freq, runs)[keep].astype(np.uint32)}
+            done = {x: np.r_[done[x], back[x]] for x in back}
+        order = np.lexsort((done["shingle"], done["home"]))
+        return BACK.rows(plan[0], {x: a[order] for x, a in done.items()}).to_pandas()
+
+    sent = BOTH.deal(df.mapInArrow(scan, BOTH.schema), plan)
+    back = BACK.deal(sent.groupBy("frag").applyInPandas(count, BACK.schema), plan)
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        node = np.concatenate([unsqueeze_sorted(x, np.uint64).view(np.int64) for x in pdf["nodes"]])
-        size = np.concatenate([unsqueeze(x, np.uint32) for x in pdf["sizes"]])
-        token = np.concatenate([unsqueeze(x, np.uint64) for x in pdf["tokens"]])
-        df_ = np.concatenate([unsqueeze(x, np.uint32) for x in pdf["dfs"]])
-        order = np.lexsort((token, df_, node))
-        node, size, token = node[order], size[order], token[order].view(np.int64)
-        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        got = BACK.of(pdf)[0]
+        order = np.lexsort((got["shingle"], got["home"]))
+        got = {x: a[order] for x, a in got.items()}
+        # what is settled in two batches that both hold the set comes twice
+        new = np.r_[True, (got["home"][1:] != got["home"][:-1]) | (got["shingle"][1:] != got["shingle"][:-1])]
+        node, size, token, freq = got["home"][new].view(np.int64), got["size"][new], (got["shingle"][new] >> np.uint64(16)).view(np.int64), got["freq"][new]
+        order = np.lexsort((token, freq, node))
+        node, size, token, freq = node[order], size[order], token[order], freq[order]
+        first = starts(node)
         counts = np.diff(np.r_[first, len(node)])
-        common = np.add.reduceat(np.log2(df_), first) / size[first]
+        common = np.add.reduceat(np.log2(freq), first) / size[first]
         kept = [(int(a), int(c), float(x)) for a, c, x in zip(first, counts, common, strict=True) if 100 * int(c) >= percent * int(size[a])]
         out = [(int(node[a]), int(size[a]), c, x, token[a : a + c], *signature(token[a : a + c])) for a, c, x in kept]
         return pd.DataFrame(out, columns=["node", "n", "m", "central", "tokens", *SIGNS])
 
-    return back.groupBy("home").applyInPandas(gather, "node long, n long, m long, central double, tokens array<long>, " + ", ".join(f"{s} long" for s in SIGNS))
+    return back.groupBy("frag").applyInPandas(gather, "node long, n long, m long, central double, tokens array<long>, " + ", ".join(f"{s} long" for s in SIGNS))
 
 
 def signature(tokens: np.ndarray) -> list[int]:
@@ -176,29 +190,6 @@ def _alike(x: str, y: str, percent: int):
     return F.col(f"{x}.m") + F.col(f"{y}.m") - differ >= 2 * need(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
 
 
-def _send(held: dict[int, np.ndarray], n_frag: int) -> pa.RecordBatch:
-    """One row for each fragment: nodes, their sizes, how many shingles each
-    has there, and the lower 40 bits of those."""
-    nodes = np.fromiter(held, np.int64, len(held))
-    sizes = np.array([len(s) for s in held.values()], np.uint32)
-    every = np.concatenate(list(held.values()))
-    owner = np.repeat(np.arange(len(nodes)), sizes)
-    frag = fragment_of(every, n_frag)
-    order = np.argsort(frag, kind="stable")
-    every, owner, frag = every[order], owner[order], frag[order]
-    cuts = np.searchsorted(frag, np.arange(n_frag + 1))
-    out = []
-    for f in range(n_frag):
-        a, b = cuts[f], cuts[f + 1]
-        if a == b:
-            continue
-        at, counts = np.unique(owner[a:b], return_counts=True)
-        low = np.ascontiguousarray((every[a:b] & LOW40).view(np.uint8).reshape(-1, 8)[:, :5])
-        out.append((f, nodes[at].tobytes(), squeeze(sizes[at]), squeeze(counts.astype(np.uint32)), low.tobytes()))
-    columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["frag", "nodes", "sizes", "counts", "tokens"])
-
-
 def need(a, b, percent: int = PERCENT):
     """Least overlap of two sets of sizes ``a`` and ``b`` that links them."""
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
@@ -371,8 +362,8 @@ def _labelled(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str
     """As ``similar``, with the root of the component: ids that repeat may give two of them one component_id."""
     spark = df.sparkSession
     rows = columns(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    n_frag = fragments(spark, df.count(), DOCS_EACH)
     docs = cut(sets(rows, k), "join-docs")
+    n_frag = fragments(spark, docs.agg(F.sum("n")).first()[0] or 0, SHINGLES_EACH)
     shared = cut(shared_shingles(rows, n_frag, k, percent), "join-shared")
     labels = links(shared, percent)
     named = docs.where("n > 0").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
