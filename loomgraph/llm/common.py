@@ -162,9 +162,11 @@ class Packed:
         cells: dict[int, dict[str, bytes]] = {}
         for kinds, group in zip(self.groups, groups, strict=True):
             frag = fragment_of(group[next(iter(kinds))], n)
-            order = np.argsort(frag, kind="stable")
-            at = np.searchsorted(frag[order], np.arange(n + 1))
-            ordered = {name: group[name].astype(kind, copy=False)[order] for name, kind in kinds.items()}
+            ordered = {name: group[name].astype(kind, copy=False) for name, kind in kinds.items()}
+            if (frag[1:] < frag[:-1]).any():
+                order = np.argsort(frag, kind="stable")
+                frag, ordered = frag[order], {name: x[order] for name, x in ordered.items()}
+            at = np.searchsorted(frag, np.arange(n + 1))
             for f in np.flatnonzero(np.diff(at)).tolist():
                 cells.setdefault(f, {}).update((name, squeeze_sorted(x[at[f] : at[f + 1]])) for name, x in ordered.items())
         arrays = [pa.array(list(cells), pa.int32()), *[pa.array([c.get(name) for c in cells.values()], pa.binary()) for name in self.names]]

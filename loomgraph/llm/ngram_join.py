@@ -345,7 +345,7 @@ def links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = joined(_pairs(minor.alias("a").join(hubs.alias("b"), _meet(percent) & _alike("a", "b", percent))), labels)
 
 
-def similar(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", fan: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, class_node for every row.
 
     Rows link when their sets of distinct ``k``-word shingles have a Jaccard
@@ -355,16 +355,16 @@ def similar(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str =
     a null id takes part and gets the component of the others, or null.
     Very long texts are whole sets.  An empty table gives none.
     """
-    return _labelled(df, k, percent, id_col, text_col).drop("root")
+    return _labelled(df, k, percent, id_col, text_col, fan).drop("root")
 
 
-def _labelled(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _labelled(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", fan: int | None = None) -> DataFrame:
     """As ``similar``, with the root of the component: ids that repeat may give two of them one component_id."""
     spark = df.sparkSession
     rows = columns(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = cut(sets(rows, k), "join-docs")
     n_frag = fragments(spark, docs.agg(F.sum("n")).first()[0] or 0, SHINGLES_EACH)
-    shared = cut(shared_shingles(rows, n_frag, k, percent), "join-shared")
+    shared = cut(shared_shingles(rows, n_frag, k, percent, fan), "join-shared")
     labels = links(shared, percent)
     named = docs.where("n > 0").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "join-groups")
@@ -377,7 +377,12 @@ def keep_first(df: DataFrame) -> DataFrame:
     """The rows of ``df`` (columns doc_id, text and others) whose id is the
     smallest of the component of their own set.  Rows that repeat an id are
     told apart by their sets: one stays of each component (of different texts
-    that with the smallest set and text), and one without shingles."""
+    that with the smallest set and text), and one without shingles.
+
+    Null ids: such rows stay where their component has no other id, and where
+    they have no shingles.  Null, empty and very long texts are as in
+    ``similar``; an empty table gives none; other columns, whatever their
+    names, go along."""
     df, restore = shield(df, "doc_id", "text")
     labelled = cut(_labelled(df).select(F.col("doc_id").alias("first_id"), F.col("class_node").alias("first_node"), "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("own")), "keep-labels")
     own = labelled.where("own").select("first_id", "first_node", "root").distinct()

@@ -108,6 +108,43 @@ def test_ngram_join_of_near_copies_with_hot_shingles(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("spread", [3, 9])
+def test_pairs_grow_with_a_group_of_near_copies_and_not_with_its_square(spark, monkeypatch, spread):
+    """Copies with some changed words link with the middle of the group (spread
+    3) or most with none (spread 9), hardly ever with each other."""
+    counted, real = [], ngram_join.overlaps
+
+    def overlaps(pairs, *more):
+        counted.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "overlaps", overlaps)
+    totals = []
+    for n in (100, 400):
+        rng = random.Random(n)
+        base = [f"w{i}" for i in range(120)]
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for at in rng.sample(range(120), rng.randint(0, spread)):
+                w[at] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(w), None, None, 0))
+        counted.clear()
+        got = ngram_join.similar(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+        totals.append(sum(counted))
+    assert totals[1] < 8 * totals[0] and totals[1] < 400 * 12
+
+
+def test_fragments_dealt_in_several_stages(spark, docs):
+    rows, df = docs
+    got = ngram_join.similar(df, fan=2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    got = substring.dedup_substrings(spark.createDataFrame(rows, DOCS).repartition(4), fan=2).collect()
+    assert Counter(map(tuple, got)) == brute_substrings(rows)
+
+
 def test_keep_first_keeps_one_of_each_group_and_all_columns(spark, docs):
     rows, df = docs
     extra = clashing(df)
@@ -316,6 +353,22 @@ def test_substring_dedup_within_one_document_and_beyond_the_broadcast(spark, mon
     assert Counter(map(tuple, got)) == brute_substrings(rows)
 
 
+def test_substring_dedup_of_ids_that_repeat(spark):
+    """Rows of one id and different texts are documents of their own; null
+    ids and the least id there is stay what they are; equal rows are one."""
+    least = -(1 << 63)
+    runs = ["a " * 50, "b " * 50, " ".join(f"c{i}" for i in range(30)), " ".join(f"d{i}" for i in range(30))]
+    rows = [(1, runs[0]), (1, runs[1]), (5, runs[2]), (5, "x " + runs[2]), (7, runs[3]), (7, runs[3]), (None, "n " * 21), (least, "m " * 21), (2, "m " * 20)]
+    df = spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], DOCS).repartition(5)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.dedup_substrings(df).collect())
+    assert sum(got.values()) == 9
+    first = [(1, 50, 49)] if got[(1, 50, 49)] else []
+    assert len(first) and got[(1, 50, 49)] == 2  # neither is cut at the other's places
+    assert got[(7, 30, 0)] == 2 and got[(None, 21, 20)] == 1 and got[(least, 21, 20)] == 1 and got[(2, 20, 20)] == 1
+    assert got[(5, 30, 0)] + got[(5, 31, 0)] == 1 and got[(5, 30, 30)] + got[(5, 31, 30)] == 1
+    assert len(substring.strip_repeats(df).collect()) == 7 + (got[(5, 31, 30)] == 1)
+
+
 def test_strip_repeats_keeps_columns(spark, docs):
     rows, df = docs
     rows = [(i, *r[1:]) for i, r in enumerate(rows)]
