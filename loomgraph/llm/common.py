@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,6 +88,19 @@ def fragments(spark: SparkSession, size: int, size_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // size_each))
 
 
+def texts(column: pa.Array) -> Iterator[str | None]:
+    """Values of a column, a few at a time as Python strings."""
+    for at in range(0, len(column), 500):
+        yield from column.slice(at, 500).to_pylist()
+
+
+def trim() -> None:
+    """Give freed memory of this worker, which later tasks use, back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered up to a fixed number of words."""
 
@@ -195,6 +210,7 @@ class Packed:
                     if held[self.names[0]] and (row["frag"] != now or size >= self.batch):
                         yield self.rows(n, *self.arrays(held))
                         held, size = {name: [] for name in self.names}, 0
+                        trim()
                     now = row["frag"]
                     for name in self.names:
                         held[name].append(row[name])

@@ -30,22 +30,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Packed, WordHashes, columns, cut, fragments, mix, rolling, shield, stages, starts
+from loomgraph.llm.common import Packed, WordHashes, columns, cut, fragments, mix, rolling, shield, stages, starts, texts, trim
 from loomgraph.llm.components import components
 
 WORDS = 5
 #: Similarity threshold in percent.
 PERCENT = 75
-#: Pairs for each set and shingle up to which no more star rounds are worth while, and the share of the pairs that a
+#: Pairs to look at for each set and shingle up to which no more star rounds are worth while, and the share of the pairs that a
 #: round must leave at most to be followed by another.
-LINEAR, FALL = 4, 0.8
+LINEAR, FALL = 64, 0.8
 #: Hubs of the largest component of a shingle in a later star round.
 HUBS = 16
 #: Vertical fragments of the overlap count.
 VERTICAL = 4
-#: Words of the parity signature of a set.
-SIGNATURE = 32
+#: Words of the parity signature of a set, and of the shorter one, folded from it, that goes along with prefix shingles.
+SIGNATURE, FOLDED = 32, 8
 SIGNS = tuple(f"s{i}" for i in range(SIGNATURE))
+FEW = tuple(f"f{i}" for i in range(FOLDED))
 #: Rows (of two or three numbers) up to which a side is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Pairs that one task counts, about; with them come at most twice as many sets.
@@ -53,7 +54,7 @@ PAIRS_EACH = 20_000
 #: Shingles of one fragment of their order, about.
 SHINGLES_EACH = 1_000_000
 #: Shingles that a task gathers before it sends them to their fragments.
-BATCH_SHINGLES = 1_000_000
+BATCH_SHINGLES = 600_000
 #: Sets of one batch that make a shingle hot, and the document frequency that stands for all hot ones.
 HOT, MOST_FREQ = 32, (1 << 31) - 1
 
@@ -75,19 +76,21 @@ def sets(df: DataFrame, k: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [shingles(t, hashes, k) for t in batch.column("text").to_pylist()]
+            found = [(node_of(s), len(s)) for s in (shingles(t, hashes, k) for t in texts(batch.column("text")))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([node_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())],
+                [batch.column("doc_id"), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())],
                 names=["doc_id", "node", "n"],
             )
+            trim()
 
     return df.mapInArrow(run, "doc_id long, node long, n long")
 
 
-#: A shingle of a set on its way to the others' and back: with it go the set and its size, or its document frequency.
-#: The hash's upper 48 bits stand for a shingle; ``hot`` marks one that some batch has found in HOT sets or more.
-BACK = Packed({"home": np.uint64, "size": np.uint32, "shingle": np.uint64, "freq": np.uint32})
-BOTH = Packed({"token": np.uint64, "node": np.int64, "size": np.uint32, "hot": np.uint8}, {"home": np.uint64, "d_size": np.uint32, "shingle": np.uint64, "freq": np.uint32})
+#: What goes back to a set: a shingle it shares, with its document frequency, or (0, size of the set), which comes first.
+BACK = Packed({"home": np.uint64, "shingle": np.uint64, "freq": np.uint32})
+#: A shingle of a set on its way to the others', and what a batch can send back by itself.  The hash's upper 48 bits,
+#: never all 0, stand for a shingle; ``hot`` marks one that some batch has found in HOT sets or more.
+BOTH = Packed({"token": np.uint64, "node": np.int64, "hot": np.uint8}, {"home": np.uint64, "shingle": np.uint64, "freq": np.uint32})
 LOW16 = np.uint64((1 << 16) - 1)
 
 
@@ -105,16 +108,16 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
     plan = stages(n_frag, fan)
 
     def settle(held: dict[int, np.ndarray]) -> pa.RecordBatch:
-        nodes, sizes = np.fromiter(held, np.int64, len(held)), np.array([len(s) for s in held.values()], np.uint32)
-        token = np.concatenate(list(held.values())) & ~LOW16
+        nodes = np.array(sorted(held), np.int64)
+        sizes = np.array([len(held[x]) for x in nodes.tolist()], np.uint32)
+        token = np.maximum(np.concatenate([held[x] for x in nodes.tolist()]) & ~LOW16, LOW16 + np.uint64(1))
         owner = np.repeat(np.arange(len(nodes)), sizes)
         known, code, times = np.unique(token, return_inverse=True, return_counts=True)
         hot = times >= HOT
         here = hot[code]
         # a hot one is sent once, without the sets, whose return is settled here
-        send = {"token": np.r_[token[~here], known[hot]], "node": np.r_[nodes[owner[~here]], np.zeros(hot.sum(), np.int64)], "size": np.r_[sizes[owner[~here]], np.zeros(hot.sum(), np.uint32)]}
-        send["hot"] = np.r_[np.zeros((~here).sum(), np.uint8), np.ones(hot.sum(), np.uint8)]
-        done = {"home": nodes[owner[here]].view(np.uint64), "d_size": sizes[owner[here]], "shingle": token[here], "freq": np.full(here.sum(), MOST_FREQ, np.uint32)}
+        send = {"token": np.r_[token[~here], known[hot]], "node": np.r_[nodes[owner[~here]], np.zeros(hot.sum(), np.int64)], "hot": np.repeat(np.array([0, 1], np.uint8), [(~here).sum(), hot.sum()])}
+        done = {"home": np.r_[nodes, nodes[owner[here]]].view(np.uint64), "shingle": np.r_[np.zeros(len(nodes), np.uint64), token[here]], "freq": np.r_[sizes, np.full(here.sum(), MOST_FREQ, np.uint32)]}
         return BOTH.rows(plan[0], send, done)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +125,7 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
         held: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in texts(batch.column("text")):
                 s = shingles(text, hashes, k)
                 if len(s) and (node := node_of(s)) not in held:
                     held[node] = s
@@ -130,24 +133,27 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
                 if size >= BATCH_SHINGLES:
                     yield settle(held)
                     held, size = {}, 0
+                    trim()
         if held:
             yield settle(held)
+            trim()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         sent, done = BOTH.of(pdf)
-        done["size"] = done.pop("d_size")
         order = np.lexsort((sent["node"], sent["token"]))
-        token, node, size, hot = (sent[x][order] for x in ("token", "node", "size", "hot"))
-        first = starts(token)
-        new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])][: len(token)] & (hot == 0)  # a set may come from two batches
+        token, node, hot = (sent[x][order] for x in ("token", "node", "hot"))
         if len(token):
-            runs = np.diff(np.r_[first, len(token)])
+            first = starts(token)
+            new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] & (hot == 0)  # a set may come from two batches
             freq = np.where(np.maximum.reduceat(hot, first) > 0, MOST_FREQ, np.add.reduceat(new.astype(np.int64), first))
-            keep = new & (np.repeat(freq, runs) >= 2)
-            back = {"home": node[keep].view(np.uint64), "size": size[keep], "shingle": token[keep], "freq": np.repeat(freq, runs)[keep].astype(np.uint32)}
+            freq = np.repeat(freq, np.diff(np.r_[first, len(token)]))
+            keep = new & (freq >= 2)
+            back = {"home": node[keep].view(np.uint64), "shingle": token[keep], "freq": freq[keep].astype(np.uint32)}
             done = {x: np.r_[done[x], back[x]] for x in back}
         order = np.lexsort((done["shingle"], done["home"]))
-        return BACK.rows(plan[0], {x: a[order] for x, a in done.items()}).to_pandas()
+        out = BACK.rows(plan[0], {x: a[order] for x, a in done.items()}).to_pandas()
+        trim()
+        return out
 
     sent = BOTH.deal(df.mapInArrow(scan, BOTH.schema), plan)
     back = BACK.deal(sent.groupBy("frag").applyInPandas(count, BACK.schema), plan)
@@ -155,17 +161,22 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         got = BACK.of(pdf)[0]
         order = np.lexsort((got["shingle"], got["home"]))
-        got = {x: a[order] for x, a in got.items()}
-        # what is settled in two batches that both hold the set comes twice
-        new = np.r_[True, (got["home"][1:] != got["home"][:-1]) | (got["shingle"][1:] != got["shingle"][:-1])]
-        node, size, token, freq = got["home"][new].view(np.int64), got["size"][new], (got["shingle"][new] >> np.uint64(16)).view(np.int64), got["freq"][new]
-        order = np.lexsort((token, freq, node))
-        node, size, token, freq = node[order], size[order], token[order], freq[order]
-        first = starts(node)
+        node, token, freq = (got[x][order] for x in ("home", "shingle", "freq"))
+        # a set of two batches comes twice with what they have settled
+        new = np.r_[True, (node[1:] != node[:-1]) | (token[1:] != token[:-1])]
+        node, token, freq = node[new].view(np.int64), (token[new] >> np.uint64(16)).view(np.int64), freq[new]
+        sizes, whose = freq[token == 0], (np.cumsum(token == 0) - 1)[token > 0]
+        node, token, freq = node[token > 0], token[token > 0], freq[token > 0]
+        order = np.lexsort((token, freq, whose))
+        node, token, freq, size = node[order], token[order], freq[order], sizes[whose]
+        first = starts(whose)
+        if not len(first):
+            return pd.DataFrame({x: [] for x in ("node", "n", "m", "central", "tokens", *SIGNS)})
         counts = np.diff(np.r_[first, len(node)])
         common = np.add.reduceat(np.log2(freq), first) / size[first]
         kept = [(int(a), int(c), float(x)) for a, c, x in zip(first, counts, common, strict=True) if 100 * int(c) >= percent * int(size[a])]
         out = [(int(node[a]), int(size[a]), c, x, token[a : a + c], *signature(token[a : a + c])) for a, c, x in kept]
+        trim()
         return pd.DataFrame(out, columns=["node", "n", "m", "central", "tokens", *SIGNS])
 
     return back.groupBy("frag").applyInPandas(gather, "node long, n long, m long, central double, tokens array<long>, " + ", ".join(f"{s} long" for s in SIGNS))
@@ -184,9 +195,9 @@ def _small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def _alike(x: str, y: str, percent: int):
+def _alike(x: str, y: str, percent: int, signs: tuple[str, ...] = SIGNS):
     """The overlap that two signatures leave possible is enough for a link."""
-    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGNS])
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in signs])
     return F.col(f"{x}.m") + F.col(f"{y}.m") - differ >= 2 * need(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
 
 
@@ -281,22 +292,18 @@ def _mixed(here: DataFrame) -> DataFrame:
     return cut(by.where("n_all > top.k").select("token", F.col("top.root").alias("major"), "n_all", (F.col("n_all") - F.col("top.k")).alias("n_minor")), "join-mixed")
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
-
-
 def _meet(percent: int):
     """Two rows (a, b) of one prefix shingle may be sets of different components that link."""
     return (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", percent)
 
 
-def _hubs(rows: DataFrame, percent: int, *names: str, part=None) -> DataFrame:
+def _hubs(rows: DataFrame, percent: int, *names: str, part) -> DataFrame:
     """Of each prefix shingle, and part of its sets, the most central set.
     Sets that have the shingle too late for a link with one of their own size
     come after all others."""
     early = F.col("n") - F.col("pos") >= need(F.col("n"), F.col("n"), percent)
     best = F.max_by(F.struct(*names), F.struct(early, "central", "node"))
-    rows = rows.withColumn("part", F.lit(0) if part is None else part)
+    rows = rows.withColumn("part", part)
     # written: both sides of the join with them are then plain shuffles, which can be split
     return cut(rows.groupBy("token", "part").agg(best.alias("h")).select("token", "h.*"), "join-hubs")
 
@@ -310,20 +317,24 @@ def links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     posts = cut(prefixes(shared, percent), "join-posts")
     sketch = shared.select("node", "n", "m", *SIGNS)
+    each = SIGNATURE // FOLDED
+    folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(SIGNS[i + FOLDED * j]) for j in range(each)]).alias(f) for i, f in enumerate(FEW)]
+
+    def linked(met: DataFrame) -> DataFrame:
+        """(a, b): the pairs among those that have met that link."""
+        pairs = met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
+        one = pairs.alias("p").join(sketch.alias("a"), F.col("p.x") == F.col("a.node")).select("p.*", *[F.col(f"a.{k}") for k in ("n", "m", *SIGNS)])
+        both = one.alias("a").join(sketch.alias("b"), (F.col("a.y") == F.col("b.node")) & _alike("a", "b", percent))
+        done = cut(overlaps(both.select("a.x", "a.y", "a.nx", "a.ny"), shared, percent), "join-overlaps")
+        good = F.col("overlap") * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("overlap"))
+        return done.where(good).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    def joined(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-        done = cut(overlaps(pairs, shared, percent), "join-overlaps")
-        good = done.where(F.col("overlap") * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("overlap"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        if labels is not None:
-            good = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good)
-        return cut(components(good), "join-labels")
+    def joined(found: DataFrame) -> DataFrame:
+        return cut(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)), "join-labels")
 
     every = posts.withColumn("root", F.col("node"))
     hubs = _hubs(every, percent, "node", "n", "pos", "root", part=F.pmod(F.xxhash64("node"), F.lit(2)))
-    pairs = _pairs(every.alias("a").join(hubs.alias("b"), _meet(percent)))
-    one = pairs.alias("p").join(sketch.alias("a"), F.col("p.x") == F.col("a.node")).select("p.*", *[F.col(f"a.{k}") for k in ("n", "m", *SIGNS)])
-    both = one.alias("a").join(sketch.alias("b"), (F.col("a.y") == F.col("b.node")) & _alike("a", "b", percent))
-    labels = joined(both.select("a.x", "a.y", "a.nx", "a.ny"), None)
+    labels = cut(components(linked(every.alias("a").join(hubs.alias("b"), _meet(percent)))), "join-labels")
     turn, before = 0, None
     while True:
         here = _rooted(posts, labels)
@@ -331,18 +342,22 @@ def links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
         left, rows = mixed.agg(F.sum(F.col("n_all") * F.col("n_minor")), F.sum("n_all")).first()
         if not left:
             return labels
-        fields = ("node", "n", "pos", "root", "m", *SIGNS)
-        signed = here.join(mixed.select("token", "major"), "token").join(sketch.select("node", "m", *SIGNS), "node")
+        fields = ("node", "n", "pos", "root", "m", *FEW)
+        signed = here.join(mixed.select("token", "major"), "token").join(sketch.select("node", "m", *folded), "node")
         signed = cut(signed.select("token", "major", "central", *fields), "join-signed")
         minor = cut(signed.where("root != major"), "join-minor")
-        if left <= LINEAR * rows or (before is not None and left > before * FALL):
-            # a pair of different roots has a member outside any one root of its shingle: the largest is left out on one side
-            fresh = (F.col("b.root") == F.col("a.major")) | (F.col("a.root") < F.col("b.root"))
-            return joined(_pairs(minor.alias("a").join(signed.alias("b"), _meet(percent) & fresh & _alike("a", "b", percent))), labels)
-        turn, before = turn + 1, left
-        part = F.when(F.col("root") != F.col("major"), -1).otherwise(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)))
-        hubs = _hubs(signed, percent, *fields, part=part)
-        labels = joined(_pairs(minor.alias("a").join(hubs.alias("b"), _meet(percent) & _alike("a", "b", percent))), labels)
+        alike = _meet(percent) & _alike("a", "b", percent, FEW)
+        if left > LINEAR * rows and (before is None or left <= before * FALL):
+            turn, before = turn + 1, left
+            part = F.when(F.col("root") != F.col("major"), -1).otherwise(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)))
+            found = linked(minor.alias("a").join(_hubs(signed, percent, *fields, part=part).alias("b"), alike))
+            if not found.isEmpty():
+                labels = joined(found)
+                continue
+        # a pair of different roots has a member outside any one root of its shingle: the largest is left out on one side
+        fresh = (F.col("b.root") == F.col("a.major")) | (F.col("a.root") < F.col("b.root"))
+        found = linked(minor.alias("a").join(signed.alias("b"), alike & fresh))
+        return labels if found.isEmpty() else joined(found)
 
 
 def similar(df: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", fan: int | None = None) -> DataFrame:

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import MULT, MULT2, Packed, WordHashes, columns, cut, fragments, rolling, shield, squeeze_sorted, stages, starts, unsqueeze_sorted
+from loomgraph.llm.common import MULT, MULT2, Packed, WordHashes, columns, cut, fragments, rolling, shield, squeeze_sorted, stages, starts, texts, trim, unsqueeze_sorted
 
 WINDOW = 20
 #: Bytes of text for one fragment, about, and words that a task gathers at a time.
 BYTES_EACH = 6_000_000
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 800_000
 #: Bytes of the positions to cut up to which they are broadcast to the texts; beyond, both are shuffled by document.
 BROADCAST_BYTES = 32 << 20
 #: Rows that go back to documents: their key and id, and places in them.
@@ -57,7 +57,7 @@ def _batches(batches: Iterator[pa.RecordBatch], *more: str):
     hashes = WordHashes()
     keys, ids, held, rest, size = [], [], [], [[] for _ in more], 0
     for batch in batches:
-        for key, doc, text, *others in zip(*[batch.column(c).to_pylist() for c in ("key", "doc", "text", *more)], strict=True):
+        for key, doc, text, *others in zip(*[texts(batch.column(c)) for c in ("key", "doc", "text", *more)], strict=True):
             keys.append(key)
             ids.append(doc)
             held.append(hashes.of(words_of(text)))
@@ -67,8 +67,10 @@ def _batches(batches: Iterator[pa.RecordBatch], *more: str):
             if size >= BATCH_WORDS:
                 yield np.array(keys, np.int64).view(np.uint64), np.array(ids, np.int64), held, *rest
                 keys, ids, held, rest, size = [], [], [], [[] for _ in more], 0
+                trim()
     if keys:
         yield np.array(keys, np.int64).view(np.uint64), np.array(ids, np.int64), held, *rest
+        trim()
 
 
 def _gathered(back: DataFrame) -> DataFrame:
@@ -243,7 +245,7 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("cut_starts").to_pylist(), strict=True):
+            for text, starts in zip(texts(batch.column("text")), texts(batch.column("cut_starts")), strict=True):
                 words = words_of(text)
                 gone = 0
                 if starts is not None:
@@ -278,7 +280,7 @@ def strip_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("cut_starts").to_pylist(), strict=True):
+            for text, starts in zip(texts(batch.column("text")), texts(batch.column("cut_starts")), strict=True):
                 if starts is not None:
                     words = words_of(text)
                     mask = covered(len(words), _starts(starts, len(words), window), window)
