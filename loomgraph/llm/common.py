@@ -82,6 +82,23 @@ def shield(df: DataFrame, *known: str):
     return df.toDF(*inner), lambda out: out.select(*inner).toDF(*names)
 
 
+#: Copies of one row that one task makes.
+COPIES_EACH = 10_000
+
+
+def expand(df: DataFrame, times: str, nr: str, most: int) -> DataFrame:
+    """Each row of ``df`` as often as its column ``times`` says (``most`` at
+    most), numbered from 0 in column ``nr``; many copies of one row are dealt
+    to several tasks."""
+    first, last = F.lit(0).cast("long"), F.col(times).cast("long") - 1
+    few = df.where(F.col(times).between(1, COPIES_EACH)).withColumn(nr, F.explode(F.sequence(first, last)))
+    if most <= COPIES_EACH:
+        return few
+    many = df.where(F.col(times) > COPIES_EACH).withColumn(nr, F.explode(F.sequence(first, last, F.lit(COPIES_EACH).cast("long"))))
+    many = many.repartition(nr, times).withColumn(nr, F.explode(F.sequence(F.col(nr), F.least(F.col(nr) + COPIES_EACH - 1, last))))
+    return few.unionByName(many)
+
+
 def fragments(spark: SparkSession, size: int, size_each: int) -> int:
     """How many hash fragments to cut work of some size into: grows with the
     input, at least one for each shuffle partition."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import columns, cut, shield
+from loomgraph.llm.common import columns, cut, shield, texts, trim
 
 #: Lengths of the character n-grams.
 ORDERS = (1, 2, 3)
@@ -32,30 +32,29 @@ LANGUAGE_ROWS = 1_000
 LANGUAGES = 256
 #: Counts of texts held at a time while the blocks of the model change.
 HELD = 2_000_000
-#: Characters handled at a time within a batch.
+#: Characters of a text handled at a time.
 SLICE = 2_000_000
 LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
-def buckets(text: str) -> np.ndarray:
-    """Buckets of the n-grams of a text, in lower case, between two line ends."""
-    codes = np.frombuffer(f"\n{text.lower()}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _grams(codes)
-
-
-def _grams(codes: np.ndarray) -> np.ndarray:
-    out = []
-    for n in ORDERS:
-        m = len(codes) - n + 1
-        if m <= 0:
-            continue
-        h = np.full(m, 0x811C9DC5 + n, np.uint32)
-        for j in range(n):
-            h = (h ^ codes[j : m + j]) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-        out.append(h & np.uint32(BUCKETS - 1))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+def counts(text: str) -> np.ndarray:
+    """How many n-grams of a whole text, in lower case and between two line
+    ends, are in each bucket; a very long text is gone through in pieces that
+    overlap, so that no n-gram is lost."""
+    whole, out = f"\n{text.lower()}\n", np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(whole), SLICE):
+        codes = np.frombuffer(whole[at : at + SLICE + max(ORDERS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        for n in ORDERS:
+            m = min(SLICE, len(codes) - n + 1)
+            if m <= 0:
+                continue
+            h = np.full(m, 0x811C9DC5 + n, np.uint32)
+            for j in range(n):
+                h = (h ^ codes[j : m + j]) * np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
+            out += np.bincount(h & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+    return out
 
 
 def held_out(id_col: str = "doc_id"):
@@ -95,8 +94,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                         yield pairs(held)
                         held = {}
                     held[i] = np.zeros(BUCKETS, np.int64)
-                for at in range(0, len(text), SLICE):
-                    held[i] += np.bincount(buckets(text[at : at + SLICE]), minlength=BUCKETS)
+                held[i] += counts(text)
         yield pairs(held)
 
     def counted(shares: dict[int, float]) -> DataFrame:
@@ -117,10 +115,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     for first in range(0, len(langs), LANGUAGES):
         names = langs[first : first + LANGUAGES]
         here = got if len(langs) <= LANGUAGES else got.where(F.col("i").between(first, first + len(names) - 1)).toPandas()
-        counts = np.zeros((len(names), BUCKETS))
-        counts[here["i"].to_numpy() - first, here["bucket"].to_numpy()] = here["n"].to_numpy()
-        counts += 0.5
-        logs = np.log(counts) - np.log(counts.sum(1, keepdims=True))
+        found = np.full((len(names), BUCKETS), 0.5)
+        found[here["i"].to_numpy() - first, here["bucket"].to_numpy()] += here["n"].to_numpy()
+        logs = np.log(found) - np.log(found.sum(1, keepdims=True))
         prior = np.array([sizes[x] for x in names], float)
         yield names, np.c_[logs, np.log(prior / total)].astype(np.float32)
 
@@ -158,12 +155,10 @@ def predict(rows: DataFrame, model: Iterable[tuple[list[str], np.ndarray]]) -> D
                         mass[row] += np.exp(sums - top[row]).sum()
 
             held, entries = [], 0
-            for row, text in enumerate(rows_in.column("text_").to_pylist()):
+            for row, text in enumerate(texts(rows_in.column("text_"))):
                 if text is None or not sent or not LETTER.search(text):
                     continue
-                n = np.zeros(BUCKETS, np.int64)
-                for at in range(0, len(text), SLICE):
-                    n += np.bincount(buckets(text[at : at + SLICE]), minlength=BUCKETS)
+                n = counts(text)
                 seen = np.flatnonzero(n)
                 held.append((row, seen, n[seen]))
                 entries += len(seen)
@@ -175,6 +170,7 @@ def predict(rows: DataFrame, model: Iterable[tuple[list[str], np.ndarray]]) -> D
             kept = [n for n in rows_in.schema.names if n != "text_"]
             arrays = [rows_in.column(n) for n in kept] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "lang_pred", "score"])
+            trim()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text_")
     return rows.mapInArrow(score, f"{schema}, lang_pred string, score double")
@@ -185,7 +181,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
 
     Returns doc_id, held_out, lang_pred, score.  A prediction uses the text
     alone.  Null ids are never held out; repeated rows are each predicted;
-    very long texts are counted in slices; an empty table gives none.
+    very long texts are counted whole; an empty table gives none.
     """
     model = train(df, id_col, text_col, label_col, train_rows)
     rows = columns(df, doc_id=id_col, text_=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text_")
@@ -194,7 +190,12 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
 
 def keep_identified(df: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``df`` (same columns) whose language is found: those without
-    text or letters, or with a posterior under ``least``, go."""
+    text or letters, or with a posterior under ``least``, go.
+
+    Null ids and languages, repeated rows and very long texts are as in
+    ``identify``: rows are judged each by its own text.  An empty table, and
+    one without a language to learn from, gives none; other columns, whatever
+    their names, go along."""
     model = train(df)
     inner, restore = shield(df, "text")
     out = predict(inner.withColumn("text_", F.col("text")), model)

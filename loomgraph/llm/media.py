@@ -29,8 +29,8 @@ from loomgraph.llm.common import columns, cut
 #: Bytes of a chunk: none shorter (but a file's last) or longer, about AVERAGE + LEAST.
 LEAST, AVERAGE_BITS, MOST = 1024, 12, 16384
 RATE = 8000
-#: Documents with borrowed chunks beyond which their list is no longer broadcast (about 100 bytes each).
-BROADCAST_DOCS = 200_000
+#: Bytes of the lists of borrowed chunks beyond which they are no longer broadcast, and those of one chunk in them.
+BROADCAST_BYTES, LINK_BYTES = 32 << 20, 80
 
 #: 256 numbers of 32 bits for the gear hash, from a digest of each byte value.
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "big") for b in range(256)], np.uint32)
@@ -131,7 +131,8 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     mine = F.struct("doc_id").eqNullSafe(F.col("holder"))
     links = index.join(shared, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "salts", mine.alias("mine"))).alias("links"))
     links = cut(links.withColumnRenamed("doc_id", "link_id"), "media-links")
-    side = F.broadcast(links) if links.count() <= BROADCAST_DOCS else links
+    size = links.agg(F.sum(F.size("links") + 1)).first()[0] or 0
+    side = F.broadcast(links) if size * LINK_BYTES <= BROADCAST_BYTES else links
     marked = rows.join(side, F.col("doc_id").eqNullSafe(F.col("link_id")), "left").select("doc_id", "text", "links")
 
     def one(x):

@@ -10,8 +10,11 @@ is kept exactly.
 
 Steps run in a reduction tree: documents are dealt into blocks of about
 ``FANOUT``, each block leaves one residual document, blocks of residuals
-leave one again, until each source has one.  No group grows with the input,
-so a source that holds a third of all rows is just more blocks.
+leave one again, until each source has one.  Rows of one id, source and text
+are one item of the tree: with m of them, the whole part of m times the
+fraction is taken for certain, and one of them goes on with what is left.  So
+no group grows with the input, and a source that holds a third of all rows is
+just more blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import columns, cut, shield
+from loomgraph.llm.common import columns, cut, expand, shield
 
 #: Words are runs of characters other than these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,10 +76,10 @@ def _step(acc: Column, x: Column) -> Column:
     held_out = F.when(gains, a - u <= v).otherwise(u <= b - v)  # is held the one that becomes whole?
 
     def done(d: Column, copies: Column) -> Column:
-        return F.struct(d["doc_id"].alias("doc_id"), d["size"].alias("size"), copies.cast("int").alias("up"), F.lit(0).cast("long").alias("words"))
+        return F.struct(d["id"].alias("id"), d["size"].alias("size"), copies.cast("int").alias("up"), F.lit(0).cast("long").alias("words"))
 
     def left(d: Column, p: Column) -> Column:
-        return F.struct(d["doc_id"].alias("doc_id"), d["size"].alias("size"), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"), d["r"].alias("r"))
+        return F.struct(d["id"].alias("id"), d["size"].alias("size"), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"), d["r"].alias("r"))
 
     up_held, up_next = F.when(gains, 1).otherwise(0), F.when(gains, 0).otherwise(1)
     whole = F.when(held_out, done(held, up_held)).otherwise(done(x, up_next))
@@ -88,80 +91,122 @@ def _step(acc: Column, x: Column) -> Column:
     )
 
 
-DOC = "struct<doc_id:bigint,size:bigint,p:double,r:double>"
-DONE = "array<struct<doc_id:bigint,size:bigint,up:int,words:bigint>>"
-SOURCE = ("sid", "source_size", "target", "base")
+DOC = "struct<id:bigint,size:bigint,p:double,r:double>"
+DONE = "array<struct<id:bigint,size:bigint,up:int,words:bigint>>"
+SOURCE = ("sid",)
 
 
-def mix(df: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often to take each row so that sources come to their targets.
-
-    Returns doc_id, size (words; null text: 0), source_size, target (of the
-    row's source), copies (whole copies), words (of one further copy that
-    ends early: one row a source at most, so that the source's sum of words
-    is its target to within one) and taken = copies * size + words.
+def plan(rows: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 1) -> tuple[DataFrame, int]:
+    """How often to take the rows of each item (doc_id, source, text_hash,
+    size): m rows, of which ``ups`` are taken base + 1 times and the others
+    base times, and ``words`` words more of one that is not among the ups.
+    With it the largest m.
 
-    Rows without words are taken 0 times.  Null ids, repeated rows and other
-    columns are fine: each row counts.  Chance comes from a hash of
-    the id, the size and ``seed``, so reruns agree.  An empty table gives none.
+    Items are known in the tree by a hash of all four columns: those that
+    share it by chance share its rounding, which gives up as many copies.
     """
-    rows = columns(df, doc_id=id_col, source=source_col, text=text_col).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
-    rows = cut(rows, "mix-rows")
-    targets = cut(source_targets(rows, weights, most), "mix-sources")
+    items = rows.groupBy("doc_id", "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("m"))
+    items = cut(items, "mix-items")
+    largest = items.agg(F.max("m")).first()[0] or 0
+    targets = cut(source_targets(items.select("source", (F.col("size") * F.col("m")).alias("size")), weights, most), "mix-sources")
     facts = targets.agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("most")).first()
     side = F.broadcast(targets) if facts["n"] <= BROADCAST_SOURCES else targets
-    rows = rows.alias("d").join(side.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    items = items.alias("d").join(side.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.n", "t.sid", "t.source_size", "t.target")
     share = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     near = F.when(F.abs(share - F.round(share)) < 1e-9, F.round(share)).otherwise(share)
-    rows = rows.select("doc_id", "size", "n", "sid", "source_size", "target", F.floor(near).cast("int").alias("base"), (near - F.floor(near)).alias("p"))
-    live = (F.col("size") > 0) & (F.col("p") > 0)
-    sure = rows.where(~live).select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("base")).otherwise(0).alias("copies"), F.lit(0).cast("long").alias("words"))
+    items = items.withColumn("base", F.floor(near).cast("int")).withColumn("p", near - F.floor(near))
+    whole = F.floor(F.col("m") * F.col("p") + 1e-9)
+    rest = F.greatest(F.col("m") * F.col("p") - whole, F.lit(0.0))
+    items = items.withColumn("sure", F.when(F.col("size") > 0, whole).otherwise(0).cast("long")).withColumn("p", F.when((F.col("size") > 0) & (rest > 1e-9), rest).otherwise(0.0))
+    items = items.withColumn("base", F.when(F.col("size") > 0, F.col("base")).otherwise(0)).withColumn("id", F.xxhash64("doc_id", "source", "text_hash", "size", F.lit(seed)))
 
     blocks = -(-int(facts["most"] or 1) // FANOUT)
-    block = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("n") / FANOUT))
-    item = F.struct("doc_id", "size", "p", _chance("doc_id", "size", F.lit(seed + 1)).alias("r"))
-    tree = rows.where(live).select(*SOURCE, block.alias("block"), item.alias("item"))
-    level, out = 0, sure
+    block = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / FANOUT))
+    item = F.struct("id", "size", "p", _chance("id", F.lit(seed + 1)).alias("r"))
+    tree = items.where("p > 0").select(*SOURCE, block.alias("block"), item.alias("item"))
+    level, settled = 0, None
     while True:
         grouped = tree.groupBy(*SOURCE, "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
         # the documents meet in an order by chance, not by id
-        mixed = F.array_sort(F.transform("items", lambda x: F.struct(F.xxhash64(x["doc_id"], x["size"], F.lit(seed + 7 * level)).alias("k"), x.alias("x"))))
+        mixed = F.array_sort(F.transform("items", lambda x: F.struct(F.xxhash64(x["id"], F.lit(seed + 7 * level)).alias("k"), x.alias("x"))))
         state = F.aggregate(F.transform(mixed, lambda y: y["x"]), F.struct(F.lit(None).cast(DOC).alias("held"), F.array().cast(DONE).alias("done")), _step)
         solved = cut(grouped.select(*SOURCE, "block", state.alias("s")), f"mix-level{level}")
-        out = out.unionByName(_settled(solved.select(*SOURCE, F.explode("s.done").alias("d"))))
+        done = solved.select(F.explode("s.done").alias("d")).select("d.id", "d.up", F.lit(0).cast("long").alias("words"))
+        settled = done if settled is None else settled.unionByName(done)
         if blocks <= 1:
-            last = solved.select(*SOURCE, F.struct(F.col("s.held.doc_id").alias("doc_id"), F.col("s.held.size").alias("size"), F.lit(0).alias("up"), F.round(F.col("s.held.p") * F.col("s.held.size")).cast("long").alias("words")).alias("d"))
-            return out.unionByName(_settled(last)).withColumn("taken", F.col("copies") * F.col("size") + F.col("words"))
+            break
         level += 1
         blocks = -(-blocks // FANOUT)
-        again = F.struct(F.col("s.held.doc_id").alias("doc_id"), F.col("s.held.size").alias("size"), F.col("s.held.p").alias("p"), _chance("s.held.doc_id", "s.held.size", F.lit(seed + 1 + level)).alias("r"))
+        again = F.struct(F.col("s.held.id").alias("id"), F.col("s.held.size").alias("size"), F.col("s.held.p").alias("p"), _chance("s.held.id", F.lit(seed + 1 + level)).alias("r"))
         tree = solved.select(*SOURCE, F.floor(F.col("block") / FANOUT).alias("block"), again.alias("item"))
+    words = F.round(F.col("s.held.p") * F.col("s.held.size")).cast("long")
+    ends = words == F.col("s.held.size")  # a remaining copy that is whole is one copy more
+    last = solved.where(F.col("s.held").isNotNull()).select(F.col("s.held.id").alias("id"), F.when(ends, 1).otherwise(0).alias("up"), F.when(ends, 0).otherwise(words).cast("long").alias("words"))
+    settled = settled.unionByName(last).groupBy("id").agg(F.max("up").alias("up"), F.max("words").alias("words"))
+    out = items.join(settled, "id", "left")
+    own = F.col("p") > 0
+    ups = F.col("sure") + F.when(own, F.coalesce("up", F.lit(0))).otherwise(0)
+    return out.select("doc_id", "source", "text_hash", "size", "m", "source_size", "target", "base", ups.alias("ups"), F.when(own, F.coalesce("words", F.lit(0))).otherwise(0).cast("long").alias("words")), largest
+
+
+def _items(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, text_hash, size) of every row."""
+    return columns(df, doc_id=id_col, source=source_col, text=text_col).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _text_hash("text"), _size("text")
+    )
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash")
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    """A document whose remaining copy is whole (words = size) is one copy more."""
-    whole = F.col("d.words") == F.col("d.size")
-    copies = F.col("base") + F.col("d.up") + F.when(whole, 1).otherwise(0)
-    return rows.select("d.doc_id", "d.size", "source_size", "target", copies.cast("int").alias("copies"), F.when(whole, 0).otherwise(F.col("d.words")).cast("long").alias("words"))
+def _size(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+
+
+def mix(df: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How often to take each row so that sources come to their targets.
+
+    Returns doc_id, size (words; null text: 0), source_size, target (of the
+    row's source), copies (whole copies), words (of one further copy that
+    ends early: one row a source at most, so that the source's sum of words
+    is its target to within one) and taken = copies * size + words.
+
+    Rows without words are taken 0 times.  Null ids, repeated rows and other
+    columns are fine: each row counts.  Very long texts are more words.
+    Chance comes from a hash of the id, source, text and ``seed``, so reruns
+    agree.  An empty table gives none.
+    """
+    every, largest = plan(_items(df, id_col, text_col, source_col), weights, most, seed)
+    rows = expand(every, "m", "nr", largest)
+    copies = F.col("base") + F.when(F.col("nr") < F.col("ups"), 1).otherwise(0)
+    words = F.when(F.col("nr") == F.col("ups"), F.col("words")).otherwise(0).cast("long")
+    rows = rows.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), words.alias("words"))
+    return rows.withColumn("taken", F.col("copies") * F.col("size") + F.col("words"))
 
 
 def apply_mix(df: DataFrame, seed: int = 1) -> DataFrame:
     """The mixed rows themselves: each row of ``df`` as often as ``mix`` says,
     a copy that ends early counting as one if it holds half the words or more.
-    Rows without words carry none and stay as they are.  Same columns as ``df``.
+    Rows without words carry none and stay as they are.  Null ids, repeated
+    rows and very long texts are as in ``mix``; an empty table gives none.
+    Same columns as ``df``, whatever the others are called.
     """
     df, restore = shield(df, "doc_id", "text", "source")
-    plan = mix(df, seed=seed)
-    times = F.col("copies") + F.when(F.col("words") * 2 >= F.col("size"), 1).otherwise(0)
-    times = F.when(F.col("size") == 0, 1).otherwise(times)
-    plan = plan.groupBy(F.col("doc_id").alias("mix_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("size").alias("size"), times.alias("times")))).alias("mix_plan"))
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    # repeated ids: rows of one id and size take the entries of that size in turn
-    order = Window.partitionBy("mix_id", "mix_size").orderBy(F.xxhash64(*df.columns))
-    joined = df.withColumn("mix_size", size).join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_nr", F.row_number().over(order))
-    times = F.get(F.filter("mix_plan", lambda x: x["size"] == F.col("mix_size")), F.col("mix_nr") - 1)["times"]
-    return restore(joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times))))
+    names = df.columns
+    keys = [F.col("doc_id").cast("long").alias("mix_id"), F.col("source").cast("string").alias("mix_source"), _text_hash("text").alias("mix_hash")]
+    every, largest = plan(_items(df, "doc_id", "text", "source"), seed=seed)
+    every = every.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("text_hash").alias("p_hash"), F.col("size").alias("p_size"), "m", "base", "ups", "words")
+    on = F.col("mix_id").eqNullSafe(F.col("p_id")) & F.col("mix_source").eqNullSafe(F.col("p_source")) & (F.col("mix_hash") == F.col("p_hash"))
+    joined = df.select(*names, *keys).join(every, on)
+    # of the words of a copy that ends early, half or more make a copy
+    ups = F.col("ups") + F.when((F.col("words") > 0) & (F.col("words") * 2 >= F.col("p_size")), 1).otherwise(0)
+    joined = joined.withColumn("ups", ups)
+    once = joined.where("m = 1").withColumn("mix_times", F.when(F.col("p_size") == 0, 1).otherwise(F.col("base") + F.col("ups")).cast("long"))
+    # rows of one id, source and text: equal ones are put together first, then they take the ups in turn
+    group = ("mix_id", "mix_source", "mix_hash")
+    equal = joined.where("m > 1").groupBy(*group, F.xxhash64(*names).alias("mix_row")).agg(F.first(F.struct(*names)).alias("row"), F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("p_size", "base", "ups")])
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*group).orderBy("mix_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.least(F.greatest(F.col("ups") - before, F.lit(0)), F.col("c"))
+    several = equal.withColumn("mix_times", F.when(F.col("p_size") == 0, F.col("c")).otherwise(F.col("c") * F.col("base") + more).cast("long")).select("row.*", "mix_times")
+    return restore(expand(once.select(*names, "mix_times").unionByName(several), "mix_times", "mix_copy", largest * int(MOST + 1)))

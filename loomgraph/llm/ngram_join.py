@@ -171,7 +171,7 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
         node, token, freq, size = node[order], token[order], freq[order], sizes[whose]
         first = starts(whose)
         if not len(first):
-            return pd.DataFrame({x: [] for x in ("node", "n", "m", "central", "tokens", *SIGNS)})
+            return pd.DataFrame([], columns=["node", "n", "m", "central", "tokens", *SIGNS])
         counts = np.diff(np.r_[first, len(node)])
         common = np.add.reduceat(np.log2(freq), first) / size[first]
         kept = [(int(a), int(c), float(x)) for a, c, x in zip(first, counts, common, strict=True) if 100 * int(c) >= percent * int(size[a])]

@@ -5,7 +5,8 @@ Within a block of documents that a task holds, pieces go in descending order
 to the sequence of lowest cost that still has room for them; a piece that no
 sequence has room for is cut at the room of the cheapest open one.  A block
 makes as many sequences as its tokens fill, and what remains opens the next
-block, so only the last sequence of a partition is padded.  No shuffle.
+block; beside the last sequences of a partition, some that came out a few
+tokens short of full are padded.  No shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import tokens
-from loomgraph.llm.common import columns
+from loomgraph.llm.common import columns, texts, trim
 
 ROOM = 2048
 END_ID = 1
@@ -109,12 +110,13 @@ def pack(df: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: str =
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=FIELDS)
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for name, text in zip(texts(batch.column("doc_id")), texts(batch.column("text")), strict=True):
                 ids = tokens.id_bytes(text, tokenizer, folder) + end
                 docs.append((name, ids, 0, len(ids) // 4))
                 held += len(ids) // 4
                 if held >= block_tokens:
                     yield flush(False)
+                    trim()
         if docs:
             yield flush(True)
 

@@ -16,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHashes, columns, cut, mix, rolling
+from loomgraph.llm.common import WordHashes, columns, cut, expand, mix, rolling, texts, trim
 
 BUCKETS = 1 << 15
 #: Labelled target rows that the target model is fitted on, about: a hash of the id picks that share beyond.
 TARGET_ROWS = 20_000
 #: Share of the documents that is sampled.
 KEEP = 0.5
-#: Width of a bin of keys, and the bin range, in finding the threshold.
-BINS_PER_UNIT, BIN_MOST = 64, 1 << 16
+#: Bins of a range of keys in finding the threshold, and rows of the last bin that are ranked at once.
+BINS, RANKED = 4096, 100_000
 
 
 def grams(text: str, hashes: WordHashes) -> np.ndarray:
@@ -39,7 +39,7 @@ def _counts(df: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in texts(batch.column("text")):
                 if text:
                     held += np.bincount(grams(text, hashes), minlength=BUCKETS)
         at = np.flatnonzero(held)
@@ -74,10 +74,14 @@ def log_weights(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 sizes.append(len(g))
                 sums.append(float(table[g].sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
+            trim()
 
     return rows.mapInArrow(score, "doc_id long, n_grams long, log_weight double")
 
 
+RESULT = ["doc_id", "n_grams", "log_weight", "mean_ratio", "key", "selected"]
+
+
 def resample(df: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> DataFrame:
     """Score every row and sample ceil(keep * n) of them by Gumbel top-k.
 
@@ -91,19 +95,33 @@ def resample(df: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = 1
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
     mean = F.coalesce(F.col("log_weight") / F.nullif(F.col("n_grams"), F.lit(0)), F.lit(0.0))
     rows = cut(rows.withColumn("mean_ratio", mean).withColumn("key", F.col("log_weight") - F.log(-F.log(u))), "quality")
-    # the k-th largest key: counts of bins first, then ranks within one bin
-    bin_ = F.greatest(F.least(F.floor(F.col("key") * BINS_PER_UNIT), F.lit(BIN_MOST)), F.lit(-BIN_MOST))
-    rows = rows.withColumn("bin", bin_)
-    bins = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("bin")).collect()
-    need = -(-sum(r["n"] for r in bins) * keep // 1)
-    edge, left = None, int(need)
-    for r in bins:
-        if r["n"] >= left:
-            edge = r["bin"]
-            break
-        left -= r["n"]
-    edge = BIN_MOST + 1 if edge is None else edge
-    order = Window.partitionBy("bin").orderBy(F.desc("key"), "doc_id")
-    at = rows.where(F.col("bin") == edge).withColumn("selected", F.row_number().over(order) <= left)
-    rest = rows.where(F.col("bin") != edge).withColumn("selected", F.col("bin") > edge)
-    return rest.unionByName(at).select("doc_id", "n_grams", "log_weight", "mean_ratio", "key", "selected")
+    low, high, n = rows.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
+    need = int(-(-n * keep // 1))
+    if not need:
+        return rows.withColumn("selected", F.lit(False)).select(*RESULT)
+    low, high, left, n = _edge(rows, low, high, need, n)
+    between = F.col("key").between(low, high)
+    out = rows.where(~between).withColumn("selected", F.col("key") > high)
+    # equal rows are one here, so that a key that repeats without end is one row to rank
+    same = [c for c in RESULT if c != "selected"]
+    equal = rows.where(between).groupBy(*same).agg(F.count(F.lit(1)).alias("c"))
+    order = Window.orderBy(F.desc("key"), F.col("doc_id").asc_nulls_last(), "log_weight", "n_grams").rowsBetween(Window.unboundedPreceding, -1)
+    equal = cut(equal.withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0))), "quality-edge")
+    most = equal.agg(F.max("c")).first()[0] or 0
+    at = expand(equal, "c", "nr", most).withColumn("selected", F.col("before") + F.col("nr") < left)
+    return out.select(*RESULT).unionByName(at.select(*RESULT))
+
+
+def _edge(rows: DataFrame, low: float, high: float, left: int, n: int) -> tuple[float, float, int, int]:
+    """A range of keys that holds the last key to select, how many of its rows
+    are selected, and how many there are: few or all equal.  Each turn counts
+    the rows in equal bins of the range and goes on with one of them."""
+    while n > RANKED and low < high:
+        bin_ = F.least(F.floor((F.col("key") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        here = rows.where(F.col("key").between(low, high)).groupBy(bin_.alias("bin"))
+        for r in here.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy(F.desc("bin")).collect():
+            if r["n"] >= left:
+                low, high, n = r["low"], r["high"], r["n"]
+                break
+            left -= r["n"]
+    return low, high, left, n

@@ -5,7 +5,9 @@ at most one apart.  A row belongs to the arc of the ring its hash falls into;
 where the shard of that arc is full, the surplus continues clockwise to the
 next virtual node whose shard has room.  Only one count per arc (a fixed
 number: shards x virtual nodes) reaches the driver; the overflow is solved on
-these counts as intervals of ranks, so placing rows takes one shuffle of ids.
+these counts as intervals of ranks.  Ranks within an arc are taken in ranges of
+the ring of about ``RANGE_ROWS`` rows; rows that are equal in all that is
+returned are one item with a count until the end, so no task gets all of them.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import columns
+from loomgraph.llm.common import columns, cut, expand
 
 #: Virtual nodes of each shard.
 VNODES = 128
 #: Positions on the ring.
 RING = 1 << 32
+#: Rows of one range of ranks, about, and ranges up to which their table is broadcast (about 30 bytes each).
+RANGE_ROWS, BROADCAST_RANGES = 50_000, 500_000
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -94,7 +98,9 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     # first virtual node at or after the position; beyond the last one, the first
     arc = F.pmod(_bucket(position, spots), F.lit(len(spots)))
     keyed = rows.withColumn("position", position).withColumn("arc", arc.cast("int"))
-    counts = {r["arc"]: r["n"] for r in keyed.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    items = cut(keyed.groupBy("arc", "position", "doc_id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("m")), "shard-items")
+    facts = items.groupBy("arc").agg(F.sum("m").alias("n"), F.max("m").alias("most")).collect()
+    counts, most = {r["arc"]: r["n"] for r in facts}, max((r["most"] for r in facts), default=0)
     plan = place_counts([counts.get(a, 0) for a in range(len(spots))], owners, shards)
     spans: dict[int, list] = {}
     for a, first, end, shard, slot in sorted(plan):
@@ -105,8 +111,14 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
         [(a, [(e, s, o) for e, s, o in v]) for a, v in spans.items()] or [(-1, [])],
         "arc int, spans array<struct<end: long, shard: int, shift: long>>",
     )
-    order = Window.partitionBy("arc").orderBy("position", "doc_id", "text_crc32", "size")
-    ranked = keyed.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    bits = min(32, max(0, (sum(counts.values()) // RANGE_ROWS).bit_length()))
+    items = items.withColumn("range", F.shiftright("position", 32 - bits))
+    ranges = items.groupBy("arc", "range").agg(F.sum("m").alias("k"))
+    upto = Window.partitionBy("arc").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut(ranges.withColumn("before", F.coalesce(F.sum("k").over(upto), F.lit(0))).drop("k"), "shard-ranges")
+    order = Window.partitionBy("arc", "range").orderBy("position", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = items.withColumn("nth", F.coalesce(F.sum("m").over(order), F.lit(0))).join(F.broadcast(ranges) if ranges.count() <= BROADCAST_RANGES else ranges, ["arc", "range"])
+    ranked = expand(ranked, "m", "nr", most).withColumn("rank", F.col("before") + F.col("nth") + F.col("nr"))
     hit = F.element_at(F.filter("spans", lambda x: x["end"] > F.col("rank")), 1)
     placed = ranked.join(F.broadcast(table), "arc").withColumn("hit", hit)
     return placed.select(

@@ -6,8 +6,8 @@ query term scatters its weighted postings into a dense score array of the
 block; partition selection keeps the k best of the block, and the kept
 results of blocks and partitions are merged.
 
-The queries are scanned in passes of a fixed number of rows, so what a pass
-broadcasts has a fixed bound; candidates stream through block by block and
+The queries are scanned in passes of a fixed number of rows, one after the
+other, so what is in the driver and broadcast has a fixed bound; candidates stream through block by block and
 are never shuffled.  Only k rows a query and partition are.
 """
 
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import columns
+from loomgraph.llm.common import columns, cut
 
 #: Queries of one pass: the broadcast holds at most this many vectors.
 PASS_ROWS = 8192
@@ -106,6 +106,9 @@ def top_k(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", ve
             continue
         sent = spark.sparkContext.broadcast((got["vec_id"].to_numpy(np.int64), _matrix(got["v"].tolist())))
         part = rows.mapInPandas(_searcher(sent, k), "query_id long, vec_id long, score long")
+        if passes > 1:  # the next pass starts when this one is written and its queries are gone
+            part = cut(part, "topk")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -30,7 +30,7 @@ def clashing(df):
     """Extra columns named like inner ones."""
     from pyspark.sql import functions as F
 
-    for name in ("node", "root", "rank", "size", "arc", "frag", "text_", "cut_id", "strip_id", "first_id", "mix_id", "mix_plan", "TEXT2", "score", "other_1", "c0"):
+    for name in ("node", "root", "rank", "size", "arc", "frag", "text_", "cut_id", "cut_key", "key", "m", "base", "first_id", "mix_id", "mix_times", "TEXT2", "score", "other_1", "c0"):
         df = df.withColumn(name, F.lit("x"))
     return df
 
@@ -187,6 +187,56 @@ def test_shards_are_even_and_slots_gapless(spark, docs, shards):
     assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
 
 
+def test_shard_of_each_row_is_recomputed(spark, docs):
+    """The ring in plain Python: rows by position, full shards passed clockwise."""
+    from pyspark.sql import functions as F
+
+    rows, df = docs
+    spots = sharding.ring(3)
+    at = df.select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("c"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("s"))
+    at = at.select("*", F.shiftrightunsigned(F.xxhash64("doc_id", "c", "s"), 32).alias("p")).collect()
+    order = sorted((next((i for i, (x, _) in enumerate(spots) if x >= r.p), 0), r.p, r.doc_id, r.c, r.s) for r in at)
+    room = [len(rows) // 3] * 3
+    for shard in list(dict.fromkeys(o for _, o in spots))[: len(rows) % 3]:
+        room[shard] += 1
+    own, over = {}, []
+    for arc, *row in order:
+        shard = spots[arc][1]
+        if room[shard]:
+            room[shard] -= 1
+            own[tuple(row[1:])] = shard
+        else:
+            over.append((arc, row))
+    for arc, row in over:
+        while not room[spots[arc][1]]:
+            arc = (arc + 1) % len(spots)
+        room[spots[arc][1]] -= 1
+        own[tuple(row[1:])] = spots[arc][1]
+    got = {(r.doc_id, r.text_crc32, r.size): r.shard for r in sharding.shard_rows(df, 3).collect()}
+    assert got == own
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """A third of all rows is one row again and again: no group of them meets in one task."""
+    from pyspark.sql import functions as F
+
+    n, text = 40_000, "one two three"
+    df = spark.range(3 * n).select(F.when(F.col("id") < n, F.lit(None).cast("long")).otherwise(F.col("id")).alias("doc_id"), F.lit(text).alias("text"), F.lit(None).cast("string").alias("lang"), F.when(F.col("id") % 2 == 0, "s").otherwise("t").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    got = sharding.shard_rows(df, 8)
+    by = got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert all(r.n == r.d == r.m + 1 == 3 * n // 8 for r in by) and len(by) == 8
+    mixed = mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in mixed) == 3 * n and sum(r.taken for r in mixed) == pytest.approx(9 * n, abs=4)
+    blocks = []
+    real = mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda d, label, *a: (out := real(d, label, *a), blocks.append(out.agg(F.max(F.size("s.done"))).first()[0]) if "level" in label else None)[0])
+    out = mixing.apply_mix(df).groupBy("source").count().collect()
+    assert sum(r["count"] for r in out) == pytest.approx(3 * n, abs=2)
+    assert max(blocks) < 4 * mixing.FANOUT
+    labels = spark.createDataFrame([(n + 1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.resample(df, labels).where("selected").count() == 3 * n // 2
+
+
 def test_ring_overflow_goes_clockwise():
     owners = [0, 1, 2]
     plan = sharding.place_counts([6, 0, 0], owners, 3)
@@ -453,6 +503,40 @@ def test_resampling_prefers_text_like_the_target(spark):
     assert len(quality.resample(df, labels.limit(0), keep=1.0).where("selected").collect()) == 202
 
 
+def test_log_weights_are_recomputed(spark, docs):
+    """The two models from plain counts, every weight and every selection from them."""
+    rows, df = docs
+    hashes = quality.WordHashes()
+    good = {d for i, (d, *_) in enumerate(rows) if i % 3 == 0}
+    labels = spark.createDataFrame([(d, 1, 0) for d in sorted(good)], "doc_id long, quality int, toxic int")
+    target, raw = Counter(), Counter()
+    for d, t, *_ in rows:
+        grams = quality.grams(t or "", hashes).tolist()
+        raw.update(grams)
+        if d in good:
+            target.update(grams)
+    ratio = [math.log((target[b] + 1) / (sum(target.values()) + quality.BUCKETS)) - math.log((raw[b] + 1) / (sum(raw.values()) + quality.BUCKETS)) for b in range(quality.BUCKETS)]
+    expected = Counter((d, len(g), round(sum(ratio[b] for b in g), 6)) for d, t, *_ in rows for g in [quality.grams(t or "", hashes).tolist()])
+    got = quality.resample(df, labels, keep=0.3).collect()
+    assert Counter((r.doc_id, r.n_grams, round(r.log_weight, 6)) for r in got) == expected
+    assert all(r.mean_ratio == pytest.approx(r.log_weight / r.n_grams if r.n_grams else 0.0) for r in got)
+    need = math.ceil(0.3 * len(rows))
+    assert Counter(r.doc_id for r in got if r.selected) == Counter(r.doc_id for r in sorted(got, key=lambda r: (-r.key, r.doc_id))[:need])
+
+
+def test_the_edge_of_a_sample_is_found_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RANKED", 3)
+    monkeypatch.setattr(quality, "BINS", 4)
+    rng = random.Random(4)
+    keys = [rng.choice([-1.0, 1.0]) * 10 ** rng.uniform(-3, 7) for _ in range(300)] + [5.0] * 20
+    rows = spark.createDataFrame([(k,) for k in keys], "key double")
+    for left in (1, 57, 200, 320):
+        low, high, rest, n = quality._edge(rows, min(keys), max(keys), left, len(keys))
+        ordered = sorted(keys, reverse=True)
+        assert low <= ordered[left - 1] <= high and left - rest == sum(k > high for k in keys)
+        assert n == sum(low <= k <= high for k in keys) and (n <= 3 or low == high)
+
+
 def test_quality_ranks_held_out_labels(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
@@ -475,6 +559,44 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_posteriors_are_recomputed(spark, docs):
+    """Counts, smoothing, prior and posterior in plain Python, n-gram by n-gram."""
+    rows, df = docs
+
+    def bucket(gram):
+        h = 0x811C9DC5 + len(gram)
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+            h ^= h >> 15
+        return h % langid.BUCKETS
+
+    def grams(t):
+        t = f"\n{t.lower()}\n"
+        return Counter(bucket(t[i : i + n]) for n in langid.ORDERS for i in range(len(t) - n + 1))
+
+    learned = [(t, lang) for d, t, lang, *_ in rows if zlib.crc32(str(d).encode()) % 4 != 2 and lang and t is not None]
+    model = {}
+    for lang in {x for _, x in learned}:
+        own = sum((grams(t) for t, x in learned if x == lang), Counter())
+        model[lang] = (own, sum(own.values()) + 0.5 * langid.BUCKETS, math.log(sum(x == lang for _, x in learned) / len(learned)))
+    for r in langid.identify(df).collect():
+        text = next(t for d, t, *_ in rows if d == r.doc_id)
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logs = {x: prior + sum(n * math.log((own[b] + 0.5) / total) for b, n in grams(text).items()) for x, (own, total, prior) in model.items()}
+        best = max(logs.values())
+        score = 1 / sum(math.exp(v - best) for v in logs.values())
+        assert r.score == pytest.approx(score, abs=1e-3) and logs[r.lang_pred] == pytest.approx(best, abs=1e-2)
+
+
+def test_pieces_of_a_very_long_text_lose_no_gram(monkeypatch):
+    text = "Grüße an " * 40
+    whole = langid.counts(text)
+    monkeypatch.setattr(langid, "SLICE", 7)
+    assert (langid.counts(text) == whole).all()
+
+
 def test_language_edges(spark, empty):
     assert langid.identify(empty).collect() == []
     rows = [(1, "the cat", "en", None, 0), (3, "le chat", "fr", None, 0), (5, None, "en", None, 0), (6, "123 ...", "fr", None, 0), (7, "", None, None, 0), (None, "le chat", None, None, 0), (8, "x" * 3_000_000, None, None, 0)]
