@@ -159,7 +159,7 @@ def fragment_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 #: Rows that a batch is cut into at most.
-FAN = 256
+FAN = 1024
 
 
 def stages(n: int, fan: int | None = None) -> list[int]:

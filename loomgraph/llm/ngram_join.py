@@ -52,7 +52,7 @@ BROADCAST_ROWS = 500_000
 #: Pairs that one task counts, about; with them come at most twice as many sets.
 PAIRS_EACH = 20_000
 #: Shingles of one fragment of their order, about.
-SHINGLES_EACH = 1_000_000
+SHINGLES_EACH = 2_000_000
 #: Shingles that a task gathers before it sends them to their fragments.
 BATCH_SHINGLES = 600_000
 #: Sets of one batch that make a shingle hot, and the document frequency that stands for all hot ones.
@@ -403,7 +403,7 @@ def keep_first(df: DataFrame) -> DataFrame:
     own = labelled.where("own").select("first_id", "first_node", "root").distinct()
     ids = cut(labelled.groupBy("first_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("own").alias("own")).where("own").select("first_id", "n_rows"), "keep-ids")
     several = (F.col("n_rows") > 1) | F.col("first_id").isNull()
-    once = df.join(ids.where(~several), F.col("doc_id") == F.col("first_id"), "left_semi")
+    once = df.join(_small(ids.where(~several)), F.col("doc_id") == F.col("first_id"), "left_semi")
     if ids.where(several).isEmpty():
         return restore(once)
 
