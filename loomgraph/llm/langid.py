@@ -95,6 +95,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                         held = {}
                     held[i] = np.zeros(BUCKETS, np.int64)
                 held[i] += counts(text)
+            trim()
         yield pairs(held)
 
     def counted(shares: dict[int, float]) -> DataFrame:

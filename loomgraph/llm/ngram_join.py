@@ -271,6 +271,7 @@ def overlaps(pairs: DataFrame, shared: DataFrame, percent: int = PERCENT) -> Dat
             partial[at : at + step] = np.bincount(np.repeat(np.arange(len(xs)), lens), weights=hit, minlength=len(xs))
         most = np.minimum(every[x], every[y])
         total = pairs["nx"].to_numpy(np.int64) + pairs["ny"].to_numpy(np.int64)
+        trim()
         can = (partial + most.sum(1) - most[:, here]) * (100 + percent) >= percent * total
         return pairs[["x", "y", "nx", "ny"]].assign(partial=partial)[can & (partial > 0)]
 

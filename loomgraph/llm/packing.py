@@ -119,5 +119,6 @@ def pack(df: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: str =
                     trim()
         if docs:
             yield flush(True)
+            trim()
 
     return rows.mapInArrow(run, ", ".join(f"`{f}` long" for f in FIELDS))

@@ -82,6 +82,7 @@ def _gathered(back: DataFrame) -> DataFrame:
         key, doc, place = (got[x][order] for x in ("key", "doc", "place"))
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
         ends = np.r_[first[1:], len(key)]
+        trim()
         return pd.DataFrame({"cut_key": key[first].view(np.int64), "cut_doc": doc[first], "places": [squeeze_sorted(place[a:b]) for a, b in zip(first, ends, strict=True)]})
 
     return back.groupBy("frag").applyInPandas(gather, "cut_key long, cut_doc long, places binary")
@@ -131,6 +132,7 @@ def anchors(rows: DataFrame, plan: list[int], window: int = WINDOW) -> DataFrame
                 back = {x: np.r_[back[x], more[x]] for x in back}
         back["doc"] = np.zeros(len(back["key"]), np.int64)  # the key alone will do: the second pass is exact whatever it gets
         order = np.lexsort((back["place"], back["key"]))
+        trim()
         return BACK.rows(plan[0], {x: a[order] for x, a in back.items()}).to_pandas()
 
     sent = PROBES.deal(rows.mapInArrow(scan, PROBES.schema), plan)
@@ -171,6 +173,7 @@ def repeated(rows: DataFrame, plan: list[int], window: int = WINDOW) -> DataFram
         _, later = _earliest(h, key, doc, at)
         back = {"key": np.r_[back["key"], key[later]], "doc": np.r_[back["doc"], doc[later]], "place": np.r_[back["place"], at[later]]}
         order = np.lexsort((back["place"], back["doc"], back["key"]))
+        trim()
         return BACK.rows(plan[0], {x: a[order] for x, a in back.items()}).to_pandas()
 
     sent = RUNS.deal(rows.mapInArrow(scan, RUNS.schema), plan)
@@ -255,6 +258,7 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 out.append((len(words) + gone, gone, hashlib.sha256(b" ".join(words)).hexdigest()))
             n, gone, digest = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(n), pa.int64()), pa.array(list(gone), pa.int64()), pa.array(list(digest), pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            trim()
 
     return _with_starts(rows, window, fan=fan).select("doc_id", "text", "cut_starts").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -293,6 +297,8 @@ def strip_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
             at = batch.schema.names.index("text")
             done = batch.set_column(at, batch.schema.field(at), pa.array([x[0] for x in out], batch.schema.field(at).type))
             yield done.filter(pa.array([x[1] for x in out], pa.bool_()))
+            del out, done
+            trim()
 
     marked = marked.select(*df.columns, "cut_starts")
     out = marked.mapInArrow(keep, marked.schema).select(*df.columns)
