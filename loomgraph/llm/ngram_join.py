@@ -86,11 +86,13 @@ def sets(df: DataFrame, k: int = WORDS) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, node long, n long")
 
 
-#: What goes back to a set: a shingle it shares, with its document frequency, or (0, size of the set), which comes first.
-BACK = Packed({"home": np.uint64, "shingle": np.uint64, "freq": np.uint32})
-#: A shingle of a set on its way to the others', and what a batch can send back by itself.  The hash's upper 48 bits,
-#: never all 0, stand for a shingle; ``hot`` marks one that some batch has found in HOT sets or more.
-BOTH = Packed({"token": np.uint64, "node": np.int64, "hot": np.uint8}, {"home": np.uint64, "shingle": np.uint64, "freq": np.uint32})
+#: The sets of a batch, which is named by a hash of what it holds: where each is in it, and its size.
+SETS = {"batch": np.uint64, "spot": np.uint32, "node": np.int64, "size": np.uint32}
+#: What goes back to a batch: a shingle that one of its sets shares, with its document frequency.
+BACK = Packed({"home": np.uint64, "place": np.uint32, "shingle": np.uint64, "freq": np.uint32}, SETS)
+#: A shingle of a set on its way to the others', and what a batch can send back by itself.  The hash's upper 48 bits
+#: stand for a shingle; ``hot`` marks one that some batch has found in HOT sets or more.
+BOTH = Packed({"token": np.uint64, "from": np.uint64, "at": np.uint32, "hot": np.uint8}, *BACK.groups)
 LOW16 = np.uint64((1 << 16) - 1)
 
 
@@ -103,22 +105,27 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
 
     A shingle that HOT sets of one batch hold counts as the commonest of all
     everywhere: a batch settles it for its own sets and sends it on once, so
-    that no fragment gets all sets of a very common shingle.
+    that no fragment gets all sets of a very common shingle.  A set that is in
+    several batches counts once in each: that is taken off its own shingles in
+    the end, and an order of shingles is the same for all sets in any case.
     """
     plan = stages(n_frag, fan)
+    fields = "node long, n long, m long, central double, tokens array<long>, " + ", ".join(f"{s} long" for s in SIGNS)
 
     def settle(held: dict[int, np.ndarray]) -> pa.RecordBatch:
         nodes = np.array(sorted(held), np.int64)
         sizes = np.array([len(held[x]) for x in nodes.tolist()], np.uint32)
-        token = np.maximum(np.concatenate([held[x] for x in nodes.tolist()]) & ~LOW16, LOW16 + np.uint64(1))
-        owner = np.repeat(np.arange(len(nodes)), sizes)
+        token = np.concatenate([held[x] for x in nodes.tolist()]) & ~LOW16
+        owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), sizes)
         known, code, times = np.unique(token, return_inverse=True, return_counts=True)
         hot = times >= HOT
         here = hot[code]
+        name = np.uint64(xxhash.xxh3_64_intdigest(nodes.tobytes()))
         # a hot one is sent once, without the sets, whose return is settled here
-        send = {"token": np.r_[token[~here], known[hot]], "node": np.r_[nodes[owner[~here]], np.zeros(hot.sum(), np.int64)], "hot": np.repeat(np.array([0, 1], np.uint8), [(~here).sum(), hot.sum()])}
-        done = {"home": np.r_[nodes, nodes[owner[here]]].view(np.uint64), "shingle": np.r_[np.zeros(len(nodes), np.uint64), token[here]], "freq": np.r_[sizes, np.full(here.sum(), MOST_FREQ, np.uint32)]}
-        return BOTH.rows(plan[0], send, done)
+        rest, more = int((~here).sum()), int(hot.sum())
+        send = {"token": np.r_[token[~here], known[hot]], "from": np.full(rest + more, name), "at": np.r_[owner[~here], np.zeros(more, np.uint32)], "hot": np.repeat(np.array([0, 1], np.uint8), [rest, more])}
+        done = {"home": np.full(len(token) - rest, name), "place": owner[here], "shingle": token[here], "freq": np.full(len(token) - rest, MOST_FREQ, np.uint32)}
+        return BOTH.rows(plan[0], send, done, {"batch": np.full(len(nodes), name), "spot": np.arange(len(nodes)), "node": nodes, "size": sizes})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -139,19 +146,18 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
             trim()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        sent, done = BOTH.of(pdf)
-        order = np.lexsort((sent["node"], sent["token"]))
-        token, node, hot = (sent[x][order] for x in ("token", "node", "hot"))
+        sent, done, own = BOTH.of(pdf)
+        order = np.argsort(sent["token"], kind="stable")
+        token, name, at, hot = (sent[x][order] for x in ("token", "from", "at", "hot"))
         if len(token):
             first = starts(token)
-            new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] & (hot == 0)  # a set may come from two batches
-            freq = np.where(np.maximum.reduceat(hot, first) > 0, MOST_FREQ, np.add.reduceat(new.astype(np.int64), first))
+            freq = np.where(np.maximum.reduceat(hot, first) > 0, MOST_FREQ, np.add.reduceat((hot == 0).astype(np.int64), first))
             freq = np.repeat(freq, np.diff(np.r_[first, len(token)]))
-            keep = new & (freq >= 2)
-            back = {"home": node[keep].view(np.uint64), "shingle": token[keep], "freq": freq[keep].astype(np.uint32)}
+            keep = (hot == 0) & (freq >= 2)
+            back = {"home": name[keep], "place": at[keep], "shingle": token[keep], "freq": freq[keep].astype(np.uint32)}
             done = {x: np.r_[done[x], back[x]] for x in back}
-        order = np.lexsort((done["shingle"], done["home"]))
-        out = BACK.rows(plan[0], {x: a[order] for x, a in done.items()}).to_pandas()
+        order = np.lexsort((done["shingle"], done["place"], done["home"]))
+        out = BACK.rows(plan[0], {x: a[order] for x, a in done.items()}, own).to_pandas()
         trim()
         return out
 
@@ -159,27 +165,46 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
     back = BACK.deal(sent.groupBy("frag").applyInPandas(count, BACK.schema), plan)
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = BACK.of(pdf)[0]
-        order = np.lexsort((got["shingle"], got["home"]))
-        node, token, freq = (got[x][order] for x in ("home", "shingle", "freq"))
-        # a set of two batches comes twice with what they have settled
-        new = np.r_[True, (node[1:] != node[:-1]) | (token[1:] != token[:-1])]
-        node, token, freq = node[new].view(np.int64), (token[new] >> np.uint64(16)).view(np.int64), freq[new]
-        sizes, whose = freq[token == 0], (np.cumsum(token == 0) - 1)[token > 0]
-        node, token, freq = node[token > 0], token[token > 0], freq[token > 0]
-        order = np.lexsort((token, freq, whose))
-        node, token, freq, size = node[order], token[order], freq[order], sizes[whose]
+        got, own = BACK.of(pdf)
+        batches = np.unique(own["batch"])
+
+        def number(batch, spot):
+            return np.searchsorted(batches, batch).astype(np.int64) << np.int64(32) | spot.astype(np.int64)
+
+        names, at = np.unique(number(own["batch"], own["spot"]), return_index=True)
+        nodes, sizes = own["node"][at], own["size"][at]
+        whose = np.searchsorted(names, number(got["home"], got["place"]))
+        order = np.lexsort((got["shingle"], got["freq"], whose))
+        whose, token, freq = whose[order], (got["shingle"][order] >> np.uint64(16)).view(np.int64), got["freq"][order]
+        new = np.r_[True, (whose[1:] != whose[:-1]) | (token[1:] != token[:-1])][: len(whose)]  # equal batches have one name
+        whose, token, freq = whose[new], token[new], freq[new]
         first = starts(whose)
-        if not len(first):
-            return pd.DataFrame([], columns=["node", "n", "m", "central", "tokens", *SIGNS])
-        counts = np.diff(np.r_[first, len(node)])
-        common = np.add.reduceat(np.log2(freq), first) / size[first]
-        kept = [(int(a), int(c), float(x)) for a, c, x in zip(first, counts, common, strict=True) if 100 * int(c) >= percent * int(size[a])]
-        out = [(int(node[a]), int(size[a]), c, x, token[a : a + c], *signature(token[a : a + c])) for a, c, x in kept]
+        ends = np.r_[first[1:], len(whose)]
+        out = [_set(int(nodes[whose[a]]), int(sizes[whose[a]]), token[a:b], freq[a:b]) for a, b in zip(first, ends, strict=True) if 100 * int(b - a) >= percent * int(sizes[whose[a]])]
         trim()
-        return pd.DataFrame(out, columns=["node", "n", "m", "central", "tokens", *SIGNS])
-
-    return back.groupBy("frag").applyInPandas(gather, "node long, n long, m long, central double, tokens array<long>, " + ", ".join(f"{s} long" for s in SIGNS))
+        return pd.DataFrame([(*x, freqs) for x, freqs in out], columns=["node", "n", "m", "central", "tokens", *SIGNS, "freqs"])
+
+    def alone(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sets of several batches without the shingles that only they hold."""
+        for pdf in pdfs:
+            out = []
+            for row in pdf.itertuples():
+                kept = np.asarray(row.freqs, np.int64) > row.copies
+                if 100 * int(kept.sum()) >= percent * row.n:
+                    out.append(_set(row.node, row.n, np.asarray(row.tokens, np.int64)[kept], np.asarray(row.freqs, np.int64)[kept])[0])
+            yield pd.DataFrame(out, columns=["node", "n", "m", "central", "tokens", *SIGNS])
+
+    raw = cut(back.groupBy("frag").applyInPandas(gather, fields + ", freqs array<int>"), "join-raw")
+    copies = cut(raw.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "join-copies")
+    if copies.isEmpty():
+        return raw.drop("freqs")
+    several = raw.join(_small(copies), "node").dropDuplicates(["node"]).mapInPandas(alone, fields)
+    return raw.join(_small(copies), "node", "left_anti").drop("freqs").unionByName(several)
+
+
+def _set(node: int, n: int, tokens: np.ndarray, freqs: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """The row of a set and the frequencies of its tokens."""
+    return (node, n, len(tokens), float(np.log2(freqs).sum()) / n, tokens, *signature(tokens)), freqs.astype(np.int32)
 
 
 def signature(tokens: np.ndarray) -> list[int]:
