@@ -107,8 +107,8 @@ def fragments(spark: SparkSession, size: int, size_each: int) -> int:
 
 def texts(column: pa.Array) -> Iterator[str | None]:
     """Values of a column, a few at a time as Python strings."""
-    for at in range(0, len(column), 500):
-        yield from column.slice(at, 500).to_pylist()
+    for at in range(0, len(column), 200):
+        yield from column.slice(at, 200).to_pylist()
 
 
 def trim() -> None:
@@ -121,7 +121,7 @@ def trim() -> None:
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered up to a fixed number of words."""
 
-    LIMIT = 200_000
+    LIMIT = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -52,9 +52,9 @@ BROADCAST_ROWS = 500_000
 #: Pairs that one task counts, about; with them come at most twice as many sets.
 PAIRS_EACH = 20_000
 #: Shingles of one fragment of their order, about.
-SHINGLES_EACH = 2_000_000
+SHINGLES_EACH = 1_000_000
 #: Shingles that a task gathers before it sends them to their fragments.
-BATCH_SHINGLES = 600_000
+BATCH_SHINGLES = 250_000
 #: Sets of one batch that make a shingle hot, and the document frequency that stands for all hot ones.
 HOT, MOST_FREQ = 32, (1 << 31) - 1
 

@@ -33,7 +33,7 @@ from loomgraph.llm.common import MULT, MULT2, Packed, WordHashes, columns, cut,
 WINDOW = 20
 #: Bytes of text for one fragment, about, and words that a task gathers at a time.
 BYTES_EACH = 6_000_000
-BATCH_WORDS = 800_000
+BATCH_WORDS = 400_000
 #: Bytes of the positions to cut up to which they are broadcast to the texts; beyond, both are shuffled by document.
 BROADCAST_BYTES = 32 << 20
 #: Rows that go back to documents: their key and id, and places in them.
