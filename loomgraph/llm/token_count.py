@@ -5,6 +5,11 @@ fragment of the pre-token: the strings once per batch, the numbers beside
 them.  The join on pre-tokens happens inside a fragment, where each distinct
 string is tokenised once; a fragment returns one partial sum for each of a
 batch's documents it met, and the sums per document are added.
+
+A batch is cut into at most ``FAN`` rows, so rows grow with the data.  Beyond
+that many fragments' worth of documents, batches are dealt into groups, each
+with fragments of its own: a pre-token is then counted once in each group, and
+one that nearly every document holds meets only a group's documents at once.
 """
 
 from __future__ import annotations
@@ -22,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import tokens
-from loomgraph.llm.common import columns, fragments, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
+from loomgraph.llm.common import FAN, columns, fragments, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 
 LIMIT = 2048
 #: Pre-token occurrences that a batch gathers before it is packed.
 BATCH_WORDS = 3_000_000
+#: Texts that a batch gathers, however short they are.
+BATCH_DOCS = 1_000_000
 #: Documents for one fragment at least; there is one for each shuffle partition anyway.
 DOCS_EACH = 6000
 
@@ -40,7 +47,8 @@ def count_tokens(df: DataFrame, tokenizer: str = "word_bpe_49k.json", folder: st
     a key of partition and running number, so equal ids cannot mix.
     """
     spark = df.sparkSession
-    n = fragments(spark, df.count(), DOCS_EACH)
+    wanted = fragments(spark, df.count(), DOCS_EACH)
+    n, groups = min(wanted, FAN), -(-wanted // FAN)
     rows = columns(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,15 +67,15 @@ def count_tokens(df: DataFrame, tokenizer: str = "word_bpe_49k.json", folder: st
                 sizes.append(len(text.encode()))
                 held.append(np.fromiter(map(index.__getitem__, pre), np.int64, len(pre)))
                 words += len(pre)
-                if words >= BATCH_WORDS:
-                    yield _pack((part << 24) + batch, ids, sizes, held, list(index), n)
+                if words >= BATCH_WORDS or len(ids) >= BATCH_DOCS:
+                    yield _pack((part << 24) + batch, ids, sizes, held, list(index), n, groups)
                     batch += 1
                     ids, sizes, held, words = [], [], [], 0
                     index = defaultdict(counter().__next__)
         if ids:
-            yield _pack((part << 24) + batch, ids, sizes, held, list(index), n)
+            yield _pack((part << 24) + batch, ids, sizes, held, list(index), n, groups)
 
-    packed = rows.mapInArrow(scan, "batch long, frag int, words binary, docs binary, places binary, freqs binary")
+    packed = rows.mapInArrow(scan, "batch long, frag long, words binary, docs binary, places binary, freqs binary")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         # frag -1 - x: the list of a batch's documents, passed through
@@ -104,13 +112,14 @@ def count_tokens(df: DataFrame, tokenizer: str = "word_bpe_49k.json", folder: st
     )
 
 
-def _pack(batch: int, ids: list, sizes: list[int], held: list[np.ndarray], strings: list[str], n: int) -> pa.RecordBatch:
-    """One row for each fragment, and one (frag < 0) with the documents; a
-    null id is marked by a negative size."""
+def _pack(batch: int, ids: list, sizes: list[int], held: list[np.ndarray], strings: list[str], n: int, groups: int) -> pa.RecordBatch:
+    """One row for each fragment of the batch's group, and one (frag < 0) with
+    the documents; a null id is marked by a negative size."""
+    first = xxhash.xxh3_64_intdigest(str(batch)) % groups * n
     null = np.array([x is None for x in ids])
     doc_ids = np.array([x or 0 for x in ids], np.int64)
     n_bytes = np.where(null, -np.array(sizes, np.int64) - 1, np.array(sizes, np.int64))
-    out = [(batch, -1 - batch % n, b"", doc_ids.tobytes(), n_bytes.tobytes(), b"")]
+    out = [(batch, -1 - first - batch % n, b"", doc_ids.tobytes(), n_bytes.tobytes(), b"")]
     docs = np.repeat(np.arange(len(held)), [len(h) for h in held])
     pre = np.concatenate(held) if held else np.empty(0, np.int64)
     frag = np.fromiter((xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) % n for s in strings), np.int64, len(strings))
@@ -132,6 +141,6 @@ def _pack(batch: int, ids: list, sizes: list[int], held: list[np.ndarray], strin
         if a == b:
             continue
         own = "\n".join(strings[i] for i in by_frag[bounds[f] : bounds[f + 1]])
-        out.append((batch, f, press.compress(own.encode("utf-8", "surrogatepass")), squeeze_sorted(at_doc[a:b].astype(np.uint32)), squeeze((at_place[a:b] - bounds[f]).astype(np.uint32)), squeeze(freqs[a:b].astype(np.uint32))))
-    columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)]
+        out.append((batch, first + f, press.compress(own.encode("utf-8", "surrogatepass")), squeeze_sorted(at_doc[a:b].astype(np.uint32)), squeeze((at_place[a:b] - bounds[f]).astype(np.uint32)), squeeze(freqs[a:b].astype(np.uint32))))
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)]
     return pa.RecordBatch.from_arrays(columns, names=["batch", "frag", "words", "docs", "places", "freqs"])

@@ -373,6 +373,15 @@ def test_token_counts_equal_the_library(spark, docs):
     assert Counter(map(tuple, got)) == expected
 
 
+def test_token_counts_of_batches_in_groups(spark, docs, monkeypatch):
+    for name, size in (("FAN", 3), ("DOCS_EACH", 50), ("BATCH_WORDS", 2000), ("BATCH_DOCS", 20)):
+        monkeypatch.setattr(token_count, name, size)
+    rows, df = docs
+    tok = tokens.library("word_bpe_49k.json")
+    got = {(r.doc_id, r.n_bytes, r.n_tokens) for r in token_count.count_tokens(df).collect()}
+    assert got == {(d, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False))) for d, t, *_ in rows}
+
+
 # 7 ----------------------------------------------------------------------
 
 def brute_substrings(rows, k=20):
