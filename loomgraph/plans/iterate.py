@@ -13,10 +13,13 @@ _LOCAL: str | None = None
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one where it is unset."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one where
+    that is unset and all run in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     global _LOCAL
     if _LOCAL is None:
         _LOCAL = tempfile.mkdtemp(prefix="loomgraph-")

@@ -13,9 +13,10 @@ from loomgraph.sources import files
 
 
 def ingest(spark: SparkSession, folder: str, config: Config = Config()) -> DataFrame:
-    """(doc_id, content, chunks, metadata) of the readable files of a folder, in order of their paths."""
-    found = files.good(files.documents(spark, folder, config.chunk_size, config.chunk_overlap))
-    return found.withColumn("doc_id", F.pmod(F.xxhash64("path"), F.lit(1 << 30)))
+    """(doc_id, content, chunks, metadata) of the readable files of a folder; ids follow the order of their paths."""
+    found = settle(files.good(files.documents(spark, folder, config.chunk_size, config.chunk_overlap)))
+    ids = settle(found.select("path").orderBy("path").withColumn("doc_id", F.monotonically_increasing_id()))
+    return found.join(ids, "path")
 
 
 def extract_documents(docs: DataFrame, config: Config = Config()) -> DataFrame:

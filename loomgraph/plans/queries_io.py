@@ -31,6 +31,13 @@ def s15_k3_node_link(spark: SparkSession, d: str) -> DataFrame:
     return graph_io.read_node_link(spark, at)[1].select("src", "dst", "relation")
 
 
+@query(EDGES)
+def k4_nodes_edges(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark, "nodes-edges")
+    graph_io.write_nodes_edges(*I.business_graph(spark, d), at)
+    return graph_io.read_nodes_edges(spark, at)[1].select("src", "dst", "relation")
+
+
 @query(EDGES)
 def s15_k3_graphml(spark: SparkSession, d: str) -> DataFrame:
     at = _folder(spark, "graphml")
@@ -72,7 +79,7 @@ def s13_k1_json_documents(spark: SparkSession, d: str) -> DataFrame:
     t = T.clean(c("text"))
     rows = table(spark, d, "documents").where("text IS NOT NULL").select(t.alias("content"), T.fixed_chunks(t).alias("chunks"), F.create_map(F.lit("source"), c("doc_id").cast("string")).alias("metadata"))
     sinks.write_documents(rows, at)
-    back = spark.read.schema(files.DOCUMENT).json(f"{at}/documents")
+    back = files.json_documents(spark, f"{at}/documents")
     return back.select(c("metadata")["source"].alias("source"), F.size("chunks").alias("chunks"), F.md5("content").alias("content"))
 
 

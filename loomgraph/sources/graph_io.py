@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODE_LINK = "nodes array<struct<id:string,label:string,type:string,node_seq:bigint,mentions:bigint>>, links array<struct<source:string,target:string,key:string,relation:string,type:string,confidence:double,edge_seq:bigint,n_provenance:bigint>>"
+NODE_LINK = "nodes array<struct<id:string,label:string,type:string,node_seq:decimal(38,0),mentions:bigint>>, links array<struct<source:string,target:string,key:string,relation:string,type:string,confidence:double,edge_seq:decimal(38,0),n_provenance:bigint>>"
+
+NODES_EDGES = "nodes array<struct<id:string,label:string,type:string>>, edges array<struct<source:string,target:string,relation:string,type:string,confidence:double>>"
 
 
 def write_tables(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
@@ -34,6 +36,19 @@ def read_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return nodes, edges
 
 
+def write_nodes_edges(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """One JSON value {nodes, edges}, as a graph database is exported: nodes
+    with their properties, edges with theirs and the keys of both ends."""
+    n = nodes.agg(F.array_sort(F.collect_list(F.struct("id", "label", "type"))).alias("nodes"))
+    e = edges.agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "relation", "type", "confidence"))).alias("edges"))
+    n.crossJoin(e).select(F.to_json(F.struct("nodes", "edges")).alias("value")).write.mode("overwrite").text(folder)  # one row each
+
+
+def read_nodes_edges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    rows = spark.read.schema(NODES_EDGES).option("multiLine", True).json(path)
+    return rows.select(F.inline("nodes")), rows.select(F.inline("edges")).withColumnsRenamed({"source": "src", "target": "dst"})
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """GraphML element rows, one file a part: XML rows of nodes and edges with scalar attributes."""
     n = nodes.select(F.col("id").alias("_id"), F.array(F.struct(F.lit("label").alias("_key"), F.col("label").alias("_VALUE")), F.struct(F.lit("type").alias("_key"), F.col("type").alias("_VALUE"))).alias("data"))

@@ -56,8 +56,12 @@ def test_documents_of_a_folder(spark, tmp_path):
     docs = pipelines.ingest(spark, str(tmp_path))
     sinks.write_documents(docs.select("content", "chunks", "metadata"), str(tmp_path / "out"))
     assert files.json_documents(spark, str(tmp_path / "out" / "documents")).count() == 5
+    sinks.write_documents(docs.select("content", "chunks", "metadata").coalesce(1), str(tmp_path / "one"))
+    (tmp_path / "one" / "documents" / "0001_more.json").write_text(json.dumps({"content": "more", "chunks": ["more"], "metadata": {}}, indent=2))
+    assert sorted(r.content for r in files.json_documents(spark, str(tmp_path / "one" / "documents")).collect()) == sorted(["more", *[r.content for r in docs.collect()]])
     summary = spark.read.json(str(tmp_path / "out" / "_summary") + "/*.json").first()
     assert summary.total_documents == 5
+    assert [r.path for r in docs.orderBy("doc_id").collect()] == sorted(r.path for r in docs.collect())
     found = pipelines.extract_documents(docs)
     assert ("Heat", "CAUSES", "Fire") in {(r.subject, r.relation, r.object) for r in found.collect()}
     sinks.write_triples(found, str(tmp_path / "triples"))
@@ -72,6 +76,9 @@ def test_graph_files(spark, data, tmp_path):
     graph_io.write_node_link(n, e, f"{tmp_path}/j")
     n2, e2 = graph_io.read_node_link(spark, f"{tmp_path}/j")
     assert {(r.src, r.dst, r.relation) for r in e2.collect()} == want and n2.count() == n.count()
+    graph_io.write_nodes_edges(n, e, f"{tmp_path}/k")
+    n5, e5 = graph_io.read_nodes_edges(spark, f"{tmp_path}/k")
+    assert {(r.src, r.dst, r.relation) for r in e5.collect()} == want and {r.label for r in n5.collect()} == {r.label for r in n.collect()}
     graph_io.write_schema(n, e, f"{tmp_path}/s")
     n3, e3 = graph_io.read_schema(spark, f"{tmp_path}/s")
     assert {r.id for r in n3.collect()} == {r.id for r in n.collect()} and e3.count() == len(want)
