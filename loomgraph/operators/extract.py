@@ -8,9 +8,11 @@ has no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,7 @@ PATTERN_CONFIDENCE, DEPENDENCY_CONFIDENCE, COOCCURRENCE_CONFIDENCE = 0.7, 0.6, 0
 RAW = "array<struct<ord:int,subject:string,relation:string,object:string,confidence:double,method:string>>"
 #: Room for the triples of a chunk in a sequence number, and chunks of a document.
 CHUNK_STEP, DOC_STEP = 1_000, 1_000_000_000
+SEQ = "decimal(30,0)"
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
@@ -118,7 +121,8 @@ def triples(chunk_rows: DataFrame, least: float = 0.5, most: int = 10, more: Cal
 
     ``more`` adds matches of other methods (an array like ``RAW``), which
     follow those of the patterns.  ``triple_seq`` orders triples by document,
-    chunk and rank within the chunk.
+    chunk and rank within the chunk; it is a decimal, as 64-bit ids leave a
+    long no room.
     """
     raw = pattern_matches(F.col("chunk"), F.col("_folded"))
     if more is not None:
@@ -126,7 +130,7 @@ def triples(chunk_rows: DataFrame, least: float = 0.5, most: int = 10, more: Cal
             i.cast("int").alias("ord"), *[x[c].alias(c) for c in ("subject", "relation", "object", "confidence", "method")]))
     found = computed(computed(chunk_rows.select("doc_id", "chunk_index", "chunk"), _folded=F.lower("chunk")), raw=raw).select("doc_id", "chunk_index", "raw").where(F.size("raw") > 0)
     rows = refined(found, "raw", least, most).select("doc_id", "chunk_index", F.posexplode("kept").alias("rank", "t"))
-    seq = F.col("doc_id") * DOC_STEP + F.col("chunk_index") * CHUNK_STEP + F.col("rank")
+    seq = (F.col("doc_id").cast("decimal(20,0)") * DOC_STEP + F.col("chunk_index") * CHUNK_STEP + F.col("rank")).cast(SEQ)
     return rows.select("doc_id", "chunk_index", seq.alias("triple_seq"), "t.subject", "t.relation", "t.object", "t.confidence", "t.method")
 
 
@@ -137,23 +141,30 @@ def cooccurrence(entities: DataFrame) -> DataFrame:
     return met.select(F.col("a.sentence_id").alias("sentence_id"), F.col("a.name").alias("subject"), F.lit("RELATED_TO").alias("relation"), F.col("b.name").alias("object"), F.lit(COOCCURRENCE_CONFIDENCE).alias("confidence"))
 
 
-def dependency_matches(chunk: Column, model: str = "en_core_web_sm") -> Column:
-    """Subject-verb-object matches by a dependency parser, where one can be
-    imported; an empty array otherwise.  The result has the form ``RAW``."""
+def dependency_matches(chunk: Column, model: str = "en_core_web_sm", load: Callable[[], Any] | None = None) -> Column:
+    """Subject-verb-object matches by a dependency parser, which ``load``
+    gives once a task; without it, spaCy where that can be imported, else an
+    empty array.  The result has the form ``RAW``, names as of ``entity_text``."""
     import importlib.util
 
-    if importlib.util.find_spec("spacy") is None:
-        return F.array().cast(RAW)
-    import pandas as pd
+    if load is None:
+        if importlib.util.find_spec("spacy") is None:
+            return F.array().cast(RAW)
 
-    @F.pandas_udf(RAW)
-    def parse(texts: pd.Series) -> pd.Series:
-        import spacy
+        def load():
+            import spacy
+
+            return spacy.load(model)
 
-        nlp = spacy.load(model)
-        return pd.Series([_svo(doc) for doc in nlp.pipe(texts.fillna(""))])
+    @F.pandas_udf(RAW)
+    def parse(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        parser = load()
+        for texts in parts:
+            yield pd.Series([_svo(doc) for doc in parser.pipe(texts.fillna(""))])
 
-    return parse(chunk)
+    return F.transform(parse(chunk), lambda x: F.struct(
+        x["ord"].alias("ord"), T.entity_text(x["subject"]).alias("subject"), x["relation"].alias("relation"),
+        T.entity_text(x["object"]).alias("object"), x["confidence"].alias("confidence"), x["method"].alias("method")))
 
 
 def _svo(doc) -> list[dict]:
@@ -163,7 +174,7 @@ def _svo(doc) -> list[dict]:
     for verb in (t for t in doc if t.pos_ == "VERB"):
         heads = [c for c in verb.children if c.dep_ in ("nsubj", "nsubjpass")]
         ends = [c for c in verb.children if c.dep_ in ("dobj", "pobj", "attr")]
-        out += [{"ord": 0, "subject": phrase(s).title(), "relation": verb.lemma_.upper().replace(" ", "_"), "object": phrase(o).title(), "confidence": DEPENDENCY_CONFIDENCE, "method": "dependency"} for s in heads for o in ends]
+        out += [{"ord": 0, "subject": phrase(s), "relation": verb.lemma_.upper().replace(" ", "_"), "object": phrase(o), "confidence": DEPENDENCY_CONFIDENCE, "method": "dependency"} for s in heads for o in ends]
     return out
 
 

@@ -41,7 +41,7 @@ def from_topic(node_rows: DataFrame, edge_rows: DataFrame, topic: str, known: Da
     return _unknown(direct.unionByName(second).unionByName(before), known)
 
 
-def important(node_rows: DataFrame, edge_rows: DataFrame, known: DataFrame | None = None, most: int = 10, by: str = "pagerank", rounds: int = 20) -> DataFrame:
+def important(node_rows: DataFrame, edge_rows: DataFrame, known: DataFrame | None = None, most: int = 10, by: str = "pagerank", rounds: int = 100) -> DataFrame:
     """Items for the most important nodes by PageRank, or by degree over the largest degree."""
     if by == "pagerank":
         score = traverse.pagerank(node_rows, edge_rows, rounds).select("id", F.col("rank").alias("score"))

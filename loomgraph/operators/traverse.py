@@ -92,6 +92,22 @@ def simple_paths(edge_rows: DataFrame, src: str, dst: str, most: int = 3) -> Dat
     return out.withColumn("n_edges", F.size("path") - 1)
 
 
+def trails(edge_rows: DataFrame, src: str, dst: str, most: int = 3, limit: int = 10) -> DataFrame:
+    """(path, n_edges): node lists from ``src`` to ``dst`` over at most ``most``
+    edges, none of them used twice (nodes may come again); the first ``limit``,
+    shorter ones first, then by the order of their edges."""
+    hops = edge_rows.select(F.col("src").alias("hop_src"), F.col("dst").alias("hop_dst"), F.struct("edge_seq", "src", "dst", "relation").alias("hop"))
+    open_ = hops.where(F.col("hop_src") == src).select(F.array("hop_src", "hop_dst").alias("path"), F.array("hop").alias("used"), F.col("hop_dst").alias("at"))
+    out = None
+    for i in range(most):
+        done = open_.where(F.col("at") == dst).select("path", "used")
+        out = done if out is None else out.unionByName(done)
+        if i + 1 < most:
+            more = open_.join(hops, F.col("at") == F.col("hop_src")).where(~F.array_contains("used", F.col("hop")))
+            open_ = more.select(F.concat("path", F.array("hop_dst")).alias("path"), F.concat("used", F.array("hop")).alias("used"), F.col("hop_dst").alias("at"))
+    return out.orderBy(F.size("used"), "used").limit(limit).select("path", F.size("used").alias("n_edges"))
+
+
 def ego(node_rows: DataFrame, edge_rows: DataFrame, centres: DataFrame, radius: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes within ``radius`` steps along edges from the centres, and the edges among them."""
     hops = edge_rows.select("src", F.col("dst").alias("id"))
@@ -102,8 +118,9 @@ def ego(node_rows: DataFrame, edge_rows: DataFrame, centres: DataFrame, radius:
     return node_rows.join(inside, "id", "left_semi"), G.induced(edge_rows, inside)
 
 
-def pagerank(node_rows: DataFrame, edge_rows: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(id, rank) after ``rounds`` rounds; parallel edges add weight, nodes
+def pagerank(node_rows: DataFrame, edge_rows: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(id, rank) after the round that changes ranks by less than ``tolerance``
+    a node in all, or after ``rounds`` rounds; parallel edges add weight, nodes
     without edges out spread theirs evenly.  Ranks sum to 1."""
     out = edge_rows.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     hops = settle(edge_rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
@@ -111,12 +128,16 @@ def pagerank(node_rows: DataFrame, edge_rows: DataFrame, rounds: int = 20, dampi
     n = base.count()
     if not n:
         return node_rows.select("id", F.lit(0.0).alias("rank")).limit(0)
-    state = settle(base.withColumn("rank", F.lit(1.0 / n)))
+    state = settle(base.withColumn("rank", F.lit(1.0 / n)).withColumn("moved", F.lit(float("inf"))))
     for _ in range(rounds):
+        if tolerance and state.agg(F.sum("moved")).first()[0] < n * tolerance:
+            break
         lost = state.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
         gain = hops.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
         fixed = (1 - damping) / n + damping / n * F.col("lost")
-        state = settle(base.join(gain, "id", "left").crossJoin(F.broadcast(lost)).select("id", "dangling", (fixed + damping * F.coalesce("gain", F.lit(0.0))).alias("rank")))
+        now = state.select("id", "dangling", F.col("rank").alias("was")).join(gain, "id", "left").crossJoin(F.broadcast(lost))
+        now = now.select("id", "dangling", "was", (fixed + damping * F.coalesce("gain", F.lit(0.0))).alias("rank"))
+        state = settle(now.select("id", "dangling", "rank", F.abs(F.col("rank") - F.col("was")).alias("moved")))
     return state.select("id", "rank")
 
 

@@ -18,7 +18,12 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.triples(doc_chunks(spark, sf_dir))
+    return short_seq(extract.triples(doc_chunks(spark, sf_dir)))
+
+
+def short_seq(triples: DataFrame) -> DataFrame:
+    """``triple_seq`` as a long, for tables of small ids: the type the SQL has."""
+    return triples.withColumn("triple_seq", F.col("triple_seq").cast("long"))
 
 
 def _rows(df: DataFrame, s, r: str, o, seq) -> DataFrame:

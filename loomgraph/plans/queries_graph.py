@@ -153,6 +153,13 @@ def c2_simple_paths(spark: SparkSession, d: str) -> DataFrame:
     return _joined(traverse.simple_paths(I.business_graph(spark, d)[1], "click", "view", 3), "path")
 
 
+@query(I.business("SELECT array_to_string(p, '/') AS path, CAST(len(u) AS INTEGER) AS n_edges FROM tp WHERE hit = 'view' ORDER BY len(u), u LIMIT 10", """,
+  tp AS (SELECT [src, dst] AS p, [edge_seq] AS u, dst AS hit FROM ed WHERE src = 'click'
+    UNION ALL SELECT list_append(p, dst), list_append(u, edge_seq), dst FROM tp JOIN ed ON ed.src = tp.hit WHERE len(u) < 3 AND NOT list_contains(u, edge_seq))"""))
+def c3_trails(spark: SparkSession, d: str) -> DataFrame:
+    return _joined(traverse.trails(I.business_graph(spark, d)[1], "click", "view", 3), "path")
+
+
 @query(I.business("SELECT DISTINCT id FROM (SELECT 'asia' AS id UNION ALL SELECT dst FROM pr WHERE src = 'asia' UNION ALL SELECT b.dst FROM pr a JOIN pr b ON a.dst = b.src WHERE a.src = 'asia')"))
 def c4_ego_nodes(spark: SparkSession, d: str) -> DataFrame:
     n, e = I.business_graph(spark, d)
@@ -209,15 +216,25 @@ PAGERANK = """,
   pk AS (SELECT id, 0 AS i, CAST(1.0 / n AS DOUBLE) AS r FROM nd, pn UNION ALL SELECT sh.dst, pk.i + 1, any_value(0.15 / n) + 0.85 * sum(pk.r * sh.w) FROM pk JOIN sh ON sh.src = pk.id, pn WHERE pk.i < 20 GROUP BY sh.dst, pk.i)"""
 
 
+#: Rounds until the ranks have settled: i is the first that moves them by less than a millionth a node.
+SETTLED = PAGERANK.replace("pk.i < 20", "pk.i < 100") + """,
+  pl AS (SELECT coalesce(min(i), 100) AS i FROM (SELECT a.i, sum(abs(a.r - b.r)) AS moved FROM pk a JOIN pk b ON b.id = a.id AND b.i = a.i - 1 GROUP BY a.i), pn WHERE moved < n * 1e-6)"""
+
+
+@query(I.business("SELECT id, round(r, 9) AS rank FROM pk JOIN pl USING (i)", SETTLED))
+def c8_pagerank_settled(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.pagerank(*I.business_graph(spark, d)).select("id", F.round("rank", 9).alias("rank"))
+
+
 @query(I.business("SELECT id, round(r, 6) AS rank FROM pk WHERE i = 20", PAGERANK))
 def c8_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.pagerank(*I.business_graph(spark, d), rounds=20).select("id", F.round("rank", 6).alias("rank"))
+    return traverse.pagerank(*I.business_graph(spark, d), rounds=20, tolerance=0).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query()
 def c8_document_pagerank(spark: SparkSession, d: str) -> DataFrame:
     t = I.settle(I.doc_triples(spark, d))
-    return traverse.pagerank(I.settle(G.nodes(t)), I.settle(G.edges(t)), rounds=20).select("id", F.round("rank", 9).alias("rank"))
+    return traverse.pagerank(I.settle(G.nodes(t)), I.settle(G.edges(t)), rounds=20, tolerance=0).select("id", F.round("rank", 9).alias("rank"))
 
 
 TWO_HOPS = """a AS (SELECT a.src AS source, a.dst AS via, b.dst AS target, CASE WHEN a.relation = b.relation AND a.relation IN ('IS_A', 'HAS_PART', 'CAUSES', 'LEADS_TO', 'BEFORE') THEN a.relation ELSE 'RELATED_TO' END AS relation,
@@ -301,7 +318,7 @@ def c15_c16_c17_topic(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("priority", F.round("priority", 9))
 
 
-@query(I.business("SELECT id AS concept, round(r, 6) AS priority, 'medium' AS difficulty FROM pk JOIN nd USING (id) WHERE i = 20 ORDER BY round(r, 12) DESC, node_seq LIMIT 10", PAGERANK))
+@query(I.business("SELECT id AS concept, round(r, 6) AS priority, 'medium' AS difficulty FROM pk JOIN pl USING (i) JOIN nd USING (id) ORDER BY round(r, 12) DESC, node_seq LIMIT 10", SETTLED))
 def c17_w9_important(spark: SparkSession, d: str) -> DataFrame:
     return recommend.important(*I.business_graph(spark, d)).select("concept", F.round("priority", 6).alias("priority"), "difficulty")
 

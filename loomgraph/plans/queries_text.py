@@ -217,7 +217,7 @@ SELECT doc_id, triple_seq, subject, relation, object FROM tr""")
 def e1_all_patterns(spark: SparkSession, d: str) -> DataFrame:
     said = F.replace(F.replace(F.lit(_SENTENCE), F.lit("{a}"), F.concat(F.lit("Part"), c("p_partkey").cast("string"))), F.lit("{b}"), c("p_type"))
     rows = table(spark, d, "part").select(c("p_partkey").alias("doc_id"), F.lit(0).alias("chunk_index"), said.alias("chunk"))
-    return extract.triples(rows).select("doc_id", "triple_seq", "subject", "relation", "object")
+    return I.short_seq(extract.triples(rows)).select("doc_id", "triple_seq", "subject", "relation", "object")
 
 
 @query("""WITH e AS (SELECT l_orderkey AS s, l_linenumber AS p, 'part' || (l_partkey % 50) AS n FROM lineitem)

@@ -22,7 +22,7 @@ def captures(spark: SparkSession, folder: str, late: str = "1 day", files: int =
 
 def stream_triples(rows: DataFrame) -> DataFrame:
     """Triples of each capture: clean, chunk and match on the row, no state."""
-    docs = rows.select(F.pmod(F.xxhash64("url"), F.lit(1 << 30)).alias("doc_id"), F.col("content").alias("text"))
+    docs = rows.select(F.xxhash64("url").alias("doc_id"), F.col("content").alias("text"))
     return extract.triples(extract.chunks(docs))
 
 

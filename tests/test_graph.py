@@ -1,8 +1,10 @@
 """Extraction, graph building, traversal, reasoning, recommendation."""
 
+import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,42 @@ def test_weak_methods_are_filtered(spark):
     assert found(spark, "Heat causes fire", more=extract.dependency_matches) == [("Heat", "CAUSES", "Fire")]
 
 
+def test_ids_of_64_bits_keep_their_order(spark):
+    docs = spark.createDataFrame([(2**62, "Rain causes floods"), (-(2**63), "Heat causes fire"), (2**63 - 1, "Ice causes falls")], "doc_id long, text string")
+    rows = extract.triples(extract.chunks(docs))
+    assert [r.subject for r in rows.orderBy("triple_seq").collect()] == ["Heat", "Rain", "Ice"]
+    assert [r.id for r in G.nodes(rows).orderBy("node_seq").collect()] == ["heat", "fire", "rain", "floods", "ice", "falls"]
+    assert [r.src for r in G.edges(rows).orderBy("edge_seq").collect()] == ["heat", "rain", "ice"]
+
+
+class Token:
+    """A parsed word as far as phrases need it."""
+
+    def __init__(self, text, pos="NOUN", dep="", below=(), lemma=None):
+        self.text, self.pos_, self.dep_, self.children, self.lemma_ = text, pos, dep, below, lemma or text
+        self.is_punct = not text.isalnum()
+
+    @property
+    def subtree(self):
+        return [x for c in self.children for x in c.subtree] + [self]
+
+
+class Parser:
+    """'<subject> <verb> <object>' texts, a leading article below its noun."""
+
+    def pipe(self, texts):
+        for text in texts:
+            a, verb, b = text.split(" | ")
+            subject, end = [Token(w[-1], dep=d, below=[Token(x) for x in w[:-1]]) for w, d in ((a.split(), "nsubj"), (b.split(), "dobj"))]
+            yield [subject, Token(verb, "VERB", below=[subject, end], lemma=verb.rstrip("s")), end]
+
+
+def test_dependency_matches_with_a_parser(spark):
+    rows = spark.createDataFrame([(1, 0, "the old pump | moves | water !"), (2, 0, "a | x | b")], "doc_id long, chunk_index int, chunk string")
+    got = extract.triples(rows, more=lambda c: extract.dependency_matches(c, load=Parser)).collect()
+    assert [(r.doc_id, r.subject, r.relation, r.object, r.confidence, r.method) for r in got] == [(1, "Old Pump", "MOVE", "Water", 0.6, "dependency")]
+
+
 def test_upserts(spark):
     n, e = graph(spark, [("ML", "IS_A", "Field", 0.7), ("ml", "IS_A", "Field", 0.9), ("Weak", "IS_A", "Field", 0.59), ("Edge", "IS_A", "Field", 0.6), ("", "IS_A", "x", 1.0)])
     got = {r.id: (r.label, r.mentions) for r in n.collect()}
@@ -181,6 +219,39 @@ def test_pagerank_sums_to_one(spark):
     assert top.id == "hub"
 
 
+def test_pagerank_stops_at_the_tolerance(spark):
+    n, e = graph(spark, random_graph(7))
+    ids = sorted(r.id for r in n.collect())
+    at = {x: i for i, x in enumerate(ids)}
+    hops = np.zeros((len(ids), len(ids)))
+    for r in e.collect():
+        hops[at[r.src], at[r.dst]] += 1
+    out = hops.sum(1, keepdims=True)
+    hops = np.where(out > 0, hops / np.maximum(out, 1), 1 / len(ids))
+    for tolerance in (1e-2, 1e-6):
+        rank, moved, rounds = np.full(len(ids), 1 / len(ids)), np.inf, 0
+        while moved >= tolerance * len(ids):
+            now = 0.15 / len(ids) + 0.85 * rank @ hops
+            rank, moved, rounds = now, np.abs(now - rank).sum(), rounds + 1
+        assert 0 < rounds < 100
+        got = {r.id: r["rank"] for r in traverse.pagerank(n, e, tolerance=tolerance).collect()}
+        assert [got[x] for x in ids] == pytest.approx(list(rank), abs=1e-12)
+
+
+def test_trails_use_an_edge_once(spark):
+    _, e = graph(spark, [("aa", "R1", "bb"), ("bb", "R1", "aa"), ("aa", "R2", "bb"), ("bb", "R1", "cc"), ("aa", "R1", "aa")])
+    rows = sorted(((r.edge_seq, r.src, r.dst) for r in e.collect()))
+    want = []
+    for k in (1, 2, 3):
+        for used in itertools.permutations(rows, k):
+            if used[0][1] == "aa" and used[-1][2] == "bb" and all(x[2] == y[1] for x, y in itertools.pairwise(used)):
+                want.append((k, [x[0] for x in used], ["aa", *[x[2] for x in used]]))
+    want.sort()
+    assert len(want) > 4
+    assert [r.path for r in traverse.trails(e, "aa", "bb", 3, 4).collect()] == [p for _, _, p in want[:4]]
+    assert traverse.trails(e, "aa", "bb", 3, 100).count() == len(want)
+
+
 def test_long_chains(spark):
     """Ids in the order 1, n, n - 1, ..., 2; and a path of more than 100 steps."""
     order = [1, *range(300, 1, -1)]
