@@ -1,6 +1,6 @@
 """Building a property multigraph from triples, and looking things up in it.
 
-Nodes: id, label, type, node_seq, properties, provenance.  Edges: src, dst,
+Nodes: id, label, type, node_seq, mentions, or properties and provenance where they are stated.  Edges: src, dst,
 relation, type, confidence, edge_seq, provenance; one edge for each (src,
 dst, relation).  ``*_seq`` carry the order of first appearance, which some
 analyses are defined by.
@@ -33,6 +33,23 @@ def nodes(triples: DataFrame) -> DataFrame:
     ).withColumn("type", F.lit("CONCEPT"))
 
 
+def described_nodes(rows: DataFrame) -> DataFrame:
+    """Upsert of nodes that are stated with properties: rows (seq, label, type,
+    properties map<string,string>, source), null where nothing is said.  The
+    first row of a key decides its label and type (none there: CONCEPT, also if
+    a later row has one); of each property the last value counts; sources are
+    listed in order of appearance."""
+    named = rows.where(F.length("label") > 0).withColumn("id", T.node_id(F.col("label")))
+    one = F.struct("seq", "source")
+    out = named.groupBy("id").agg(
+        F.min_by("label", "seq").alias("label"), F.min("seq").alias("node_seq"), F.coalesce(F.min_by("type", "seq"), F.lit("CONCEPT")).alias("type"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), one))), lambda x: x["source"]).alias("provenance"),
+    )
+    last = named.select("id", "seq", F.explode("properties")).groupBy("id", "key").agg(F.max_by("value", "seq").alias("value"))
+    values = last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
+    return out.join(values, "id", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
+
+
 def edges(triples: DataFrame, least: float = EDGE_CONFIDENCE) -> DataFrame:
     """Edge upsert by (src, dst, relation): highest confidence, type of the
     first, provenance counted.  Weak triples give nodes but no edge."""
@@ -113,10 +130,12 @@ def top_degree(node_rows: DataFrame, edge_rows: DataFrame, most: int = 10) -> Da
 
 
 def schema_statistics(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    """One row: counts, mean confidence, and how many carry provenance."""
-    n = node_rows.agg(F.count(F.lit(1)).alias("total_nodes"))
+    """One row: counts, mean confidence, and how many carry provenance (nodes
+    that triples alone made do not)."""
+    stated = F.count_if(F.size("provenance") > 0) if "provenance" in node_rows.columns else F.lit(0).cast("long")
+    n = node_rows.agg(F.count(F.lit(1)).alias("total_nodes"), stated.alias("nodes_with_provenance"))
     e = edge_rows.agg(F.count(F.lit(1)).alias("total_edges"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"), F.count_if(F.col("n_provenance") > 0).alias("edges_with_provenance"))
-    return n.crossJoin(e).withColumn("nodes_with_provenance", F.lit(0).cast("long"))  # one row each
+    return n.crossJoin(e)  # one row each
 
 
 def type_histogram(rows: DataFrame) -> DataFrame:

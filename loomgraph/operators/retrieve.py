@@ -79,6 +79,10 @@ def search(index: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "
                         near = np.flatnonzero(own >= np.partition(own, len(own) - top_k)[len(own) - top_k] - 1e-12)
                     else:
                         near = np.arange(len(own))
+                    if len(held[q]) == top_k:  # what is below the last one held cannot come in
+                        near = near[own[near] >= held[q]["score"].iat[-1]]
+                    if not len(near):
+                        continue
                     both = pd.concat([held[q], pd.DataFrame({"id": ids[near], "score": own[near]})], ignore_index=True)
                     held[q] = both.sort_values(["score", "id"], ascending=[False, True]).head(top_k)
         for q, found in zip(names, held, strict=True):

@@ -52,6 +52,16 @@ def e5_upsert_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.upsert_edges(e, e).select("src", "dst", "relation", "edge_seq", "n_provenance")
 
 
+@query(f"""SELECT {I.node_sql('p_brand')} AS id, arg_min(p_brand, p_partkey) AS label, arg_max(p_type, p_partkey) AS last_type, arg_max(CAST(p_size AS VARCHAR), p_partkey) FILTER (WHERE p_size > 25) AS last_large,
+ count(*) FILTER (WHERE p_size > 10) AS n_provenance FROM part GROUP BY ALL""")
+def a5_described_nodes(spark: SparkSession, d: str) -> DataFrame:
+    rows = I.table(spark, d, "part")
+    large = F.when(F.col("p_size") > 25, F.create_map(F.lit("large"), F.col("p_size").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    stated = rows.select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("label"), F.lit(None).cast("string").alias("type"), F.map_concat(F.create_map(F.lit("type"), "p_type"), large).alias("properties"),
+                         F.when(F.col("p_size") > 10, F.col("p_partkey").cast("string")).alias("source"))
+    return G.described_nodes(stated).select("id", "label", F.col("properties")["type"].alias("last_type"), F.col("properties")["large"].alias("last_large"), F.size("provenance").cast("long").alias("n_provenance"))
+
+
 @query(I.docs_graph("SELECT (SELECT count(*) FROM nd) AS total_nodes, count(*) AS total_edges, round(coalesce(avg(confidence), 0), 6) AS avg_confidence, count(*) FILTER (WHERE n_provenance > 0) AS edges_with_provenance, CAST(0 AS BIGINT) AS nodes_with_provenance FROM ed"))
 def a1_schema_statistics(spark: SparkSession, d: str) -> DataFrame:
     t = I.doc_triples(spark, d)
@@ -252,6 +262,11 @@ def j4_w6_inferred(spark: SparkSession, d: str) -> DataFrame:
     return reason.inferred(I.settle(G.nodes(t)), I.settle(G.edges(t)))
 
 
+@query(I.business("SELECT source, via, target, relation, confidence FROM a WHERE source IN (SELECT id FROM nd ORDER BY node_seq, id LIMIT 30) ORDER BY node_seq, source, s1, s2, via, target LIMIT 20", f", {TWO_HOPS}"))
+def j4_w6_inferred_tables(spark: SparkSession, d: str) -> DataFrame:
+    return reason.inferred(*I.business_graph(spark, d))
+
+
 CONTRA = """SELECT a.src AS source, a.dst AS target, 'SIMILAR_TO' AS relation_1, 'DIFFERS_FROM' AS relation_2, CAST(0.9 AS DOUBLE) AS confidence FROM ed a JOIN ed b ON a.src = b.src AND a.dst = b.dst AND a.relation = 'SIMILAR_TO' AND b.relation = 'DIFFERS_FROM'"""
 
 

@@ -108,6 +108,15 @@ def test_upserts(spark):
     assert edges == {("ml", "field"): (0.9, 2), ("edge", "field"): (0.6, 1)}
 
 
+def test_nodes_stated_with_properties(spark):
+    rows = [(1, "Big Pump", None, {"a": "1", "b": "2"}, "x"), (2, "big pump", "TOOL", {"a": "3"}, None), (3, "Big Pump", "PART", None, "y"), (4, "", None, {"a": "0"}, "z"), (5, None, None, None, None), (6, "Valve", None, None, None)]
+    got = G.described_nodes(spark.createDataFrame(rows, "seq long, label string, type string, properties map<string,string>, source string"))
+    assert [(r.id, r.label, r.node_seq, r.type, r.properties, r.provenance) for r in got.orderBy("node_seq").collect()] == [
+        ("big_pump", "Big Pump", 1, "CONCEPT", {"a": "3", "b": "2"}, ["x", "y"]), ("valve", "Valve", 6, "CONCEPT", {}, [])]
+    edges = graph(spark, [("a1", "IS_A", "b1")])[1]
+    assert G.schema_statistics(got, edges).first().nodes_with_provenance == 1
+
+
 def test_inference(spark):
     n, e = graph(spark, [("A1", "IS_A", "B1"), ("B1", "IS_A", "C1"), ("B1", "USED_FOR", "D1")])
     assert {(r.source, r.target, r.relation) for r in reason.inferred(n, e).collect()} == {("a1", "c1", "IS_A"), ("a1", "d1", "RELATED_TO")}
