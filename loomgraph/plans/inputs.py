@@ -130,9 +130,15 @@ COMPONENTS = """,
   rc AS (SELECT id, id AS hit FROM nd UNION SELECT rc.id, sy.b FROM rc JOIN sy ON sy.a = rc.hit),
   cc AS MATERIALIZED (SELECT id, min(hit) AS component FROM rc GROUP BY id)"""
 
+#: For larger graphs: each node keeps the smallest label that has come to it.
+KEYED_COMPONENTS = """,
+  sy AS MATERIALIZED (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed),
+  cc(id, component) USING KEY (id) AS (SELECT id, id FROM nd UNION
+    SELECT sy.b, min(cc.component) FROM cc JOIN sy ON sy.a = cc.id JOIN recurring.cc AS had ON had.id = sy.b WHERE cc.component < had.component GROUP BY sy.b)"""
+
 
-def docs_graph(tail: str) -> str:
-    return f"WITH RECURSIVE {TRIPLES}{GRAPH} {tail}"
+def docs_graph(tail: str, more: str = "") -> str:
+    return f"WITH RECURSIVE {TRIPLES}{GRAPH}{more} {tail}"
 
 
 def business(tail: str, more: str = "") -> str:

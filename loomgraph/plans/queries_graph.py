@@ -100,7 +100,10 @@ def k8_advice(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.advice(evaluate.graph_quality(*I.business_graph(spark, d))).select("advice")
 
 
-@query()
+@query(I.business("""SELECT concat_ws(chr(10), 'Evaluation', 'unique_entities: ' || n, 'total_triples: ' || m, 'total_relations: ' || k, 'graph_density: ' || density, 'avg_node_degree: ' || degree, 'connectivity: ' || conn, 'coverage: ' || cover, 'avg_confidence: 1.0', 'high_confidence_ratio: 1.0',
+CASE WHEN density < 0.01 THEN 'Low graph density: extract more relations' END, CASE WHEN conn < 0.5 THEN 'Low connectivity: link separate components' END, CASE WHEN cover < 0.7 THEN 'Low coverage: many concepts have no connection' END) AS value FROM
+(SELECT count(*) AS n, any_value(m) AS m, any_value(k) AS k, any_value(m) / (count(*) * (count(*) - 1)) AS density, avg(degree) AS degree, (SELECT max(s) FROM (SELECT count(*) AS s FROM cc GROUP BY component)) / count(*) AS conn, count(*) FILTER (WHERE degree > 0) / count(*) AS cover
+ FROM dg, (SELECT count(*) AS m, count(DISTINCT relation) AS k FROM ed))""", I.COMPONENTS))
 def k8_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.report(evaluate.graph_quality(*I.business_graph(spark, d)))
 
@@ -147,7 +150,7 @@ def c1_components(spark: SparkSession, d: str) -> DataFrame:
     return traverse.components(*I.business_graph(spark, d))
 
 
-@query()
+@query(I.docs_graph("SELECT component, count(*) AS size FROM cc GROUP BY component", I.KEYED_COMPONENTS))
 def c1_document_components(spark: SparkSession, d: str) -> DataFrame:
     t = I.doc_triples(spark, d)
     return traverse.component_sizes(traverse.components(G.nodes(t), G.edges(t)))
@@ -213,7 +216,16 @@ def c6_diameter(spark: SparkSession, d: str) -> DataFrame:
     return traverse.diameter(*_parts(spark, d))
 
 
-@query()
+#: All shortest paths, and how much of those of each pair of ends lies on a node.
+BETWEENNESS = DISTANCES + """,
+  ds AS MATERIALIZED (SELECT start, id, min(d) AS d FROM bd GROUP BY start, id),
+  pa AS (SELECT id AS start, id AS goal, [id] AS p FROM nd UNION ALL SELECT pa.start, pr.dst, list_append(p, pr.dst) FROM pa JOIN pr ON pr.src = pa.goal JOIN ds ON ds.start = pa.start AND ds.id = pr.dst AND ds.d = len(p)),
+  pm AS MATERIALIZED (SELECT * FROM pa WHERE len(p) > 2), pc AS (SELECT start, goal, count(*) AS k FROM pm GROUP BY start, goal),
+  bn AS (SELECT v, sum(1.0 / k) AS b FROM (SELECT start, goal, unnest(p[2:len(p) - 1]) AS v FROM pm) JOIN pc USING (start, goal) GROUP BY v),
+  bw AS MATERIALIZED (SELECT id, label, node_seq, coalesce(b, 0) / ((n - 1) * (n - 2)) AS betweenness FROM nd LEFT JOIN bn ON v = id, (SELECT count(*) AS n FROM nd))"""
+
+
+@query(I.business("SELECT id, round(betweenness, 9) AS betweenness FROM bw", BETWEENNESS))
 def c7_betweenness(spark: SparkSession, d: str) -> DataFrame:
     b = traverse.betweenness(*I.business_graph(spark, d))
     return b.select("id", F.round("betweenness", 9).alias("betweenness"))
@@ -241,7 +253,14 @@ def c8_pagerank(spark: SparkSession, d: str) -> DataFrame:
     return traverse.pagerank(*I.business_graph(spark, d), rounds=20, tolerance=0).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query()
+#: As PAGERANK, with what nodes without edges out lose as one sum a round.
+SPARSE_PAGERANK = """,
+  pn AS MATERIALIZED (SELECT count(*) AS n FROM nd), oc AS MATERIALIZED (SELECT src, count(*) AS o FROM ed GROUP BY src),
+  sh AS MATERIALIZED (SELECT ed.src, ed.dst, sum(1.0 / o) AS w, 0 AS lost FROM ed JOIN oc USING (src) GROUP BY ed.src, ed.dst UNION ALL SELECT id, id, 0, CASE WHEN o IS NULL THEN 1 ELSE 0 END FROM nd LEFT JOIN oc ON oc.src = nd.id),
+  pk AS (SELECT id, 0 AS i, CAST(1.0 / n AS DOUBLE) AS r FROM nd, pn UNION ALL SELECT sh.dst, pk.i + 1, any_value(0.15 / n) + 0.85 * (sum(pk.r * sh.w) + sum(sum(pk.r * sh.lost)) OVER () / any_value(n)) FROM pk JOIN sh ON sh.src = pk.id, pn WHERE pk.i < 20 GROUP BY sh.dst, pk.i)"""
+
+
+@query(I.docs_graph("SELECT id, round(r, 9) AS rank FROM pk WHERE i = 20", SPARSE_PAGERANK))
 def c8_document_pagerank(spark: SparkSession, d: str) -> DataFrame:
     t = I.settle(I.doc_triples(spark, d))
     return traverse.pagerank(I.settle(G.nodes(t)), I.settle(G.edges(t)), rounds=20, tolerance=0).select("id", F.round("rank", 9).alias("rank"))
@@ -315,7 +334,21 @@ def a18_gap_summary(spark: SparkSession, d: str) -> DataFrame:
     return reason.gap_summary(reason.gaps(*I.business_graph(spark, d)))
 
 
-@query()
+#: Threads around the ten most central nodes, kept in order if they share at most 0.8 with those before
+#: (those along paths come in only where fewer than five have been found).
+THREADS = BETWEENNESS + """,
+  ct AS MATERIALIZED (SELECT id, betweenness, row_number() OVER (ORDER BY round(betweenness, 12) DESC, node_seq, id) AS ord FROM bw QUALIFY ord <= 10),
+  l1 AS (SELECT ord, ed.dst FROM ct JOIN ed ON ed.src = ct.id),
+  l2 AS (SELECT ord, ed.dst FROM (SELECT DISTINCT ord, dst FROM l1) x JOIN ed ON ed.src = x.dst),
+  th AS MATERIALIZED (SELECT ord, id, betweenness AS importance, list_concat([id], list_sort(list(DISTINCT dst))) AS nodes, least(count(*), 20) AS n_edges
+    FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) JOIN ct USING (ord) GROUP BY ord, id, betweenness),
+  tn AS MATERIALIZED (SELECT ord, id, importance, list_concat([id], list_filter(nodes[2:], lambda x: x <> id)) AS nodes, n_edges, row_number() OVER (ORDER BY ord) AS i FROM th WHERE len(list_distinct(nodes)) >= 3),
+  kp AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[][]) AS kept, false AS stays UNION ALL
+    SELECT tn.i, CASE WHEN len(list_filter(kept, lambda k: len(list_intersect(k, nodes)) / greatest(len(k), len(nodes)) > 0.8)) > 0 THEN kept ELSE list_append(kept, nodes) END,
+      len(list_filter(kept, lambda k: len(list_intersect(k, nodes)) / greatest(len(k), len(nodes)) > 0.8)) = 0 FROM kp JOIN tn ON tn.i = kp.i + 1)"""
+
+
+@query(I.business("SELECT 'Thread: ' || id AS name, array_to_string(nodes, '/') AS nodes, CAST(n_edges AS INTEGER) AS n_edges, round(importance, 9) AS importance FROM tn JOIN kp USING (i) WHERE stays", THREADS))
 def c9_c10_u4_threads(spark: SparkSession, d: str) -> DataFrame:
     t = reason.threads(*I.business_graph(spark, d))
     return t.select("name", F.array_join("nodes", "/").alias("nodes"), F.size("edges").alias("n_edges"), F.round("importance", 9).alias("importance"))

@@ -94,6 +94,28 @@ def s1_s4_text_files(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length(text)).alias("n_chars"))
 
 
+#: Endings of the file names of pages, by page_id; the last two are for no reader.
+ENDINGS = (".md", ".MARKDOWN", ".txt", ".Pdf", ".docx", ".jpeg", ".TIFF", ".url", ".mkv", ".zip", "")
+_READER = "CASE i WHEN 0 THEN 'markdown' WHEN 1 THEN 'markdown' WHEN 2 THEN 'markdown' WHEN 3 THEN 'pdf' WHEN 4 THEN 'docx' WHEN 5 THEN 'image' WHEN 6 THEN 'image' WHEN 7 THEN 'video' WHEN 8 THEN 'video' END"
+
+
+@query(f"SELECT page_id, lower({list(ENDINGS)}[i + 1]) AS file_type, {_READER} AS reader FROM (SELECT page_id, page_id % {len(ENDINGS)} AS i FROM pages)")
+def s2_s3_readers(spark: SparkSession, d: str) -> DataFrame:
+    """The reader that takes a file, by the ending of its name in any case."""
+    ending = F.get(F.array(*[F.lit(x) for x in ENDINGS]), (c("page_id") % len(ENDINGS)).cast("int"))
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("/data/v1.2/page"), ending).alias("path"))
+    return rows.select("page_id", files.extension(c("path")).alias("file_type"), files.reader(c("path")).alias("reader"))
+
+
+@query("SELECT lang AS folder, '.txt' AS file_type, 'markdown' AS reader, count(*) AS files, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes FROM documents WHERE text IS NOT NULL GROUP BY lang")
+def s14_file_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Types and sizes of files, each the text of a document and a line end; their contents are not read."""
+    at = _folder(spark, "stats")
+    table(spark, d, "documents").where("text IS NOT NULL").select("lang", "doc_id", "text").write.partitionBy("lang", "doc_id").text(at)
+    found = files.scan(spark, at).withColumn("folder", F.regexp_extract("path", "lang=([^/]*)/", 1))
+    return found.groupBy("folder", "file_type", "reader").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("size_bytes"))
+
+
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':1'), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)
 SELECT CASE WHEN r < CAST(floor(0.8 * n) AS BIGINT) THEN 'train' WHEN r < CAST(floor(0.8 * n) AS BIGINT) + CAST(floor(0.1 * n) AS BIGINT) THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM r GROUP BY 1""")
 def k9_s19_dataset(spark: SparkSession, d: str) -> DataFrame:

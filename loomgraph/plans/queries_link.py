@@ -112,11 +112,18 @@ def f22_u2_triple_set(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.triple_set(_gold(spark, d)[0])
 
 
-@query()
+@query(I.business("""SELECT unique_entities, total_triples, total_relations, round(total_triples / (unique_entities * (unique_entities - 1.0)), 6) AS graph_density, round(avg_node_degree, 6) AS avg_node_degree, round(largest / unique_entities, 6) AS connectivity, round(covered / unique_entities, 6) AS coverage,
+ CAST(1.0 AS DOUBLE) AS avg_confidence, CAST(1.0 AS DOUBLE) AS high_confidence_ratio, round(tp / np, 6) AS precision, CAST(1.0 AS DOUBLE) AS recall, round(2.0 * tp / (np + tp), 6) AS f1, round(tp / np, 6) AS agreement
+ FROM (SELECT count(*) AS unique_entities, avg(degree) AS avg_node_degree, count(*) FILTER (WHERE degree > 0) AS covered FROM dg), (SELECT count(*) AS total_triples, count(DISTINCT relation) AS total_relations FROM ed),
+ (SELECT max(s) AS largest FROM (SELECT count(*) AS s FROM cc GROUP BY component)), (SELECT count(*) AS np, count(*) FILTER (WHERE relation <> 'LEADS_TO') AS tp FROM (SELECT DISTINCT src, upper(relation) AS relation, dst FROM tv))""", I.COMPONENTS))
 def a14_full_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """All triples against those of the tables' keys."""
     t = I.settle(I.business_triples(spark, d))
     gold = t.where("relation != 'LEADS_TO'").select("subject", "relation", "object")
-    return evaluate.full_evaluation(t, gold, I.settle(G.nodes(t)), I.settle(G.edges(t)))
+    out = evaluate.full_evaluation(t, gold, I.settle(G.nodes(t)), I.settle(G.edges(t)))
+    for x in ("graph_density", "avg_node_degree", "connectivity", "coverage", "precision", "recall", "f1", "agreement"):
+        out = out.withColumn(x, F.round(x, 6))
+    return out
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +169,10 @@ def a16_index_statistics(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.index_statistics(I.vectors(spark, d))
 
 
-@query()
+@query(I.docs_graph(f"""SELECT source AS query_id, concept, id, coalesce(near, '') AS neighbours FROM
+ (SELECT source, concept, {I.node_sql('concept')} AS id FROM (SELECT source, concept, row_number() OVER (PARTITION BY source ORDER BY concept) AS i FROM
+   (SELECT DISTINCT source, unnest(list_filter(string_split({I.clean_sql('text')}, ' '), lambda x: length(x) > 4 AND regexp_matches(x, '^\\p{{Lu}}'))) AS concept FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 3)) WHERE i <= 5)
+ JOIN (SELECT id FROM nd) USING (id) LEFT JOIN (SELECT src, string_agg(dst, '/' ORDER BY i) AS near FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY adj_seq, dst) AS i FROM pr) WHERE i <= 3 GROUP BY src) ON src = id"""))
 def j11_f20_context(spark: SparkSession, d: str) -> DataFrame:
     """Concepts named in the first texts of each source, with graph neighbours."""
     t = I.settle(I.doc_triples(spark, d))

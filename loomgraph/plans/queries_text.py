@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.functions.chunking import SENTENCE_ENDS
 from loomgraph.operators import capture, dataset, extract
 from loomgraph.plans import inputs as I
 from loomgraph.plans.registry import query, table
@@ -30,9 +31,22 @@ def f3_fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return I.doc_chunks(spark, d).select("doc_id", "chunk_index", "total_chunks", F.md5("chunk").alias("chunk"), F.length("chunk").alias("n"))
 
 
-@query()
+def _reach_sql(w: str, marks: tuple[str, ...] = SENTENCE_ENDS[:3]) -> str:
+    """How far the window ``w`` reaches: after the last of the first kind of mark in it, if that moves the start on.
+    Cleaned texts have no line ends."""
+    if not marks:
+        return "512"
+    back = f"strpos(reverse({w}), '{marks[0][::-1]}')"
+    return f"CASE WHEN {back} = 0 THEN {_reach_sql(w, marks[1:])} WHEN 513 - {back} > 50 THEN 513 - {back} ELSE 512 END"
+
+
+@query(f"""WITH RECURSIVE dt AS MATERIALIZED (SELECT doc_id, {I.clean_sql('text')} AS t, length({I.clean_sql('text')}) AS n FROM documents WHERE text IS NOT NULL),
+ sw AS (SELECT doc_id, CAST(0 AS BIGINT) AS a, CAST(CASE WHEN n <= 512 THEN n ELSE {_reach_sql('t[1:512]')} END AS BIGINT) AS e FROM dt
+  UNION ALL SELECT doc_id, a, CASE WHEN a + 512 < n THEN a + {_reach_sql('w')} ELSE a + 512 END FROM (SELECT doc_id, e - 50 AS a, n, substring(t, e - 49, 512) AS w FROM sw JOIN dt USING (doc_id) WHERE n > 512 AND e - 50 < n)),
+ sc AS (SELECT doc_id, a, CASE WHEN n <= 512 THEN t ELSE trim(substring(t, a + 1, e - a)) END AS chunk, n FROM sw JOIN dt USING (doc_id))
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS chunk_index, md5(chunk) AS chunk FROM sc WHERE chunk <> '' OR n <= 512""")
 def f4_sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return extract.chunks(table(spark, d, "documents"), "sentence").select("doc_id", "chunk_index", "chunk")
+    return extract.chunks(table(spark, d, "documents"), "sentence").select("doc_id", "chunk_index", F.md5("chunk").alias("chunk"))
 
 
 @query(f"""
@@ -165,6 +179,15 @@ def s21_render_pages(spark: SparkSession, d: str) -> DataFrame:
     return capture.render_page(checked, keep=("page_id",)).select("page_id", "filename", F.md5("markdown").alias("markdown"))
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'missing videoId' WHEN page_id % 7 = 0 THEN 'missing url' END AS error, CASE WHEN page_id % 2 = 0 THEN 'Kept ' || page_id WHEN page_id % 5 = 0 THEN 'Video ' ELSE 'Video v' || page_id END AS title FROM pages""")
+def s22_saved_videos(spark: SparkSession, d: str) -> DataFrame:
+    """Video captures, some of which lack their id, url or title."""
+    text = c("page_id").cast("string")
+    video, title = F.when(c("page_id") % 5 == 0, "").otherwise(F.concat(F.lit("v"), text)), F.when(c("page_id") % 2 == 0, F.concat(F.lit("Kept "), text))
+    rows = table(spark, d, "pages").select("page_id", video.alias("videoId"), F.when(c("page_id") % 7 != 0, c("url")).alias("url"), title.alias("title"))
+    return capture.validate_videos(rows).select("page_id", "error", "title")
+
+
 @query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS domain, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def s21_url_parts(spark: SparkSession, d: str) -> DataFrame:
     return capture.url_parts(table(spark, d, "pages"))
