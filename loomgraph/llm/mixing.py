@@ -33,6 +33,8 @@ MOST = 3.0
 FANOUT = 128
 #: Sources beyond which their table is no longer broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 50_000
+#: Items of several rows beyond which they are no longer broadcast (about 100 bytes each).
+BROADCAST_ITEMS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -198,15 +200,24 @@ def apply_mix(df: DataFrame, seed: int = 1) -> DataFrame:
     every, largest = plan(_items(df, "doc_id", "text", "source"), seed=seed)
     every = every.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("text_hash").alias("p_hash"), F.col("size").alias("p_size"), "m", "base", "ups", "words")
     on = F.col("mix_id").eqNullSafe(F.col("p_id")) & F.col("mix_source").eqNullSafe(F.col("p_source")) & (F.col("mix_hash") == F.col("p_hash"))
-    joined = df.select(*names, *keys).join(every, on)
     # of the words of a copy that ends early, half or more make a copy
-    ups = F.col("ups") + F.when((F.col("words") > 0) & (F.col("words") * 2 >= F.col("p_size")), 1).otherwise(0)
-    joined = joined.withColumn("ups", ups)
-    once = joined.where("m = 1").withColumn("mix_times", F.when(F.col("p_size") == 0, 1).otherwise(F.col("base") + F.col("ups")).cast("long"))
-    # rows of one id, source and text: equal ones are put together first, then they take the ups in turn
+    every = every.withColumn("ups", F.col("ups") + F.when((F.col("words") > 0) & (F.col("words") * 2 >= F.col("p_size")), 1).otherwise(0))
+    keyed = df.select(*names, *keys)
+    out = keyed.join(every.where("m = 1"), on).select(*names, F.when(F.col("p_size") == 0, 1).otherwise(F.col("base") + F.col("ups")).cast("long").alias("mix_times"))
+    if largest > 1:
+        # the texts of the other rows are shuffled again only where such items are many
+        repeated = cut(every.where("m > 1"), "mix-repeated")
+        joined = keyed.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_ITEMS else repeated, on)
+        out = out.unionByName(_in_turn(joined, names))
+    return restore(expand(out, "mix_times", "mix_copy", largest * int(MOST + 1)))
+
+
+def _in_turn(joined: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of one id, source and text with how often to take each: equal ones
+    are put together first, then they take the ups in turn."""
     group = ("mix_id", "mix_source", "mix_hash")
-    equal = joined.where("m > 1").groupBy(*group, F.xxhash64(*names).alias("mix_row")).agg(F.first(F.struct(*names)).alias("row"), F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("p_size", "base", "ups")])
+    equal = joined.groupBy(*group, F.xxhash64(*names).alias("mix_row")).agg(F.first(F.struct(*names)).alias("row"), F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("p_size", "base", "ups")])
     before = F.coalesce(F.sum("c").over(Window.partitionBy(*group).orderBy("mix_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     more = F.least(F.greatest(F.col("ups") - before, F.lit(0)), F.col("c"))
-    several = equal.withColumn("mix_times", F.when(F.col("p_size") == 0, F.col("c")).otherwise(F.col("c") * F.col("base") + more).cast("long")).select("row.*", "mix_times")
-    return restore(expand(once.select(*names, "mix_times").unionByName(several), "mix_times", "mix_copy", largest * int(MOST + 1)))
+    times = F.when(F.col("p_size") == 0, F.col("c")).otherwise(F.col("c") * F.col("base") + more).cast("long")
+    return equal.withColumn("mix_times", times).select("row.*", "mix_times")
