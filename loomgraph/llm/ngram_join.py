@@ -179,7 +179,7 @@ def shared_shingles(df: DataFrame, n_frag: int, k: int = WORDS, percent: int = P
         new = np.r_[True, (whose[1:] != whose[:-1]) | (token[1:] != token[:-1])][: len(whose)]  # equal batches have one name
         whose, token, freq = whose[new], token[new], freq[new]
         first = starts(whose)
-        ends = np.r_[first[1:], len(whose)]
+        ends = np.r_[first[1:], len(whose)][: len(first)]  # none where no set shares a shingle
         out = [_set(int(nodes[whose[a]]), int(sizes[whose[a]]), token[a:b], freq[a:b]) for a, b in zip(first, ends, strict=True) if 100 * int(b - a) >= percent * int(sizes[whose[a]])]
         trim()
         return pd.DataFrame([(*x, freqs) for x, freqs in out], columns=["node", "n", "m", "central", "tokens", *SIGNS, "freqs"])

@@ -136,6 +136,20 @@ def test_pairs_grow_with_a_group_of_near_copies_and_not_with_its_square(spark, m
     assert totals[1] < 8 * totals[0] and totals[1] < 400 * 12
 
 
+@pytest.mark.parametrize("kind", ["one", "unlike", "long", "alone"])
+def test_ngram_join_where_batches_share_nothing(spark, monkeypatch, kind):
+    """One row, rows that share nothing, one long text of its own beside copies,
+    and batches (of a document each) without a shared shingle."""
+    own = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcdefghij"]
+    texts = {"one": own[:1], "unlike": own, "long": [" ".join(f"w{i}" for i in range(30_000)), own[0], own[0] + " more"], "alone": [None, "", *own, own[3] + " more"]}[kind]
+    monkeypatch.setattr(ngram_join, "BATCH_SHINGLES", 20)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4, "doc_id")
+    got = ngram_join.similar(df).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert sorted(r.doc_id for r in ngram_join.keep_first(df).collect()) == sorted({c for _, _, c in brute_components(rows)})
+
+
 def test_fragments_dealt_in_several_stages(spark, docs):
     rows, df = docs
     got = ngram_join.similar(df, fan=2).collect()
