@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import langid, media, mixing, ngram_join, packing, quality, sharding, substring, token_count, topk_search
+from loomgraph.llm import centroids, hard_negatives, langid, media, mixing, ngram_join, packing, quality, sharding, substring, token_count, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), every=50, positives=5, negatives=3, window=(50, 95))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, seed=3).drop("centroid")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,6 +82,17 @@ ORACLES: dict[str, str] = {
           FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
         ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_hard_negatives": """
+        WITH v AS MATERIALIZED (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS MATERIALIZED (
+          SELECT q.vec_id AS a, c.vec_id AS c, q.label = c.label AS same, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+        ), p AS (SELECT a, c, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, c) AS n FROM s WHERE same) WHERE n <= 5),
+        r AS (SELECT p.a, p.c, p.score AS ps, s.c AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.score DESC, s.c) AS rank
+          FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT a AS anchor_id, c AS positive_id, CAST(rank AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM r WHERE rank <= 3""",
     "op2_ngram_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
         s AS MATERIALIZED (
@@ -95,9 +116,30 @@ ORACLES: dict[str, str] = {
 }
 
 
+def _rounds() -> str:
+    """Rounds 1 to 10 of the clustering: nearest centroids, then their means."""
+    near = "SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT r, j, sum((x - c) * (x - c)) AS d FROM e JOIN c{0} USING (i) GROUP BY r, j) GROUP BY r"
+    mean = "SELECT j, i, CAST(coalesce((s - ((s % n) + n) % n) // n, c) AS BIGINT) AS c FROM c{0} LEFT JOIN (SELECT j, i, sum(x) AS s, count(*) AS n FROM e JOIN a{0} USING (r) GROUP BY j, i) USING (j, i)"
+    return ",\n".join(f"a{n} AS MATERIALIZED ({near.format(n)})" + (f", c{n + 1} AS MATERIALIZED ({mean.format(n)})" if n < 10 else "") for n in range(11))
+
+
+ORACLES["op13_centroid_clustering"] = f"""
+        WITH v AS MATERIALIZED (
+          SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), e AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, unnest(v) AS x FROM v),
+        s AS (SELECT v, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), v) - 1 AS j FROM v WHERE vec_id IS NOT NULL),
+        c0 AS MATERIALIZED (SELECT j, unnest(range(1, 65)) AS i, unnest(v) AS c FROM s WHERE j < 8),
+        {_rounds()},
+        h AS (SELECT j, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS h FROM c10 GROUP BY j),
+        t AS (SELECT j, sum(d) AS own FROM a10 GROUP BY j)
+        SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(own AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM a10) AS BIGINT) AS inertia, h AS centroid_sha256
+        FROM a10 JOIN v USING (r) JOIN t USING (j) JOIN h USING (j)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in (
-        op1_topk_search, op2_ngram_join, op3_sharding, op4_mixing, op5_media, op6_token_count, op7_substring_dedup, op8_packing, op9_quality, op10_language_id, pipeline,
+        op1_topk_search, op2_ngram_join, op3_sharding, op4_mixing, op5_media, op6_token_count, op7_substring_dedup, op8_packing, op9_quality, op10_language_id, op12_hard_negatives, op13_centroid_clustering, pipeline,
     )}
     return out
 
