@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import centroids, hard_negatives, langid, media, mixing, ngram_join, packing, quality, sharding, substring, token_count, topk_search
+from loomgraph.llm import centroids, decontaminate, hard_negatives, langid, media, mixing, ngram_join, packing, quality, sharding, substring, token_count, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10).drop("items")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), every=50, positives=5, negatives=3, window=(50, 95))
@@ -72,6 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Words of a whole text, upper-case ASCII letters folded.
 _FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
+_ALNUM = _FOLDED.replace("[^\\x20\\x09-\\x0D]+", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": """
         WITH v AS (
@@ -82,6 +88,16 @@ ORACLES: dict[str, str] = {
           FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
         ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_decontamination": f"""
+        WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
+        i AS MATERIALIZED (SELECT item, l, array_to_string(w[k:k + l - 1], ' ') AS g FROM (SELECT item, w, least(len(w), 10) AS l, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM b WHERE len(w) > 0)),
+        d AS (SELECT r, l, k, array_to_string(w[k:k + l - 1], ' ') AS g FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM w, (SELECT DISTINCT l FROM i) WHERE len(w) >= l)),
+        h AS MATERIALIZED (SELECT DISTINCT r, k, l, item FROM d JOIN i USING (l, g)),
+        p AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + l)) AS p FROM h) GROUP BY r),
+        q AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN p USING (r) LEFT JOIN q USING (r)""",
     "op12_hard_negatives": """
         WITH v AS MATERIALIZED (
           SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
@@ -139,7 +155,7 @@ ORACLES["op13_centroid_clustering"] = f"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in (
-        op1_topk_search, op2_ngram_join, op3_sharding, op4_mixing, op5_media, op6_token_count, op7_substring_dedup, op8_packing, op9_quality, op10_language_id, op12_hard_negatives, op13_centroid_clustering, pipeline,
+        op1_topk_search, op2_ngram_join, op3_sharding, op4_mixing, op5_media, op6_token_count, op7_substring_dedup, op8_packing, op9_quality, op10_language_id, op11_decontamination, op12_hard_negatives, op13_centroid_clustering, pipeline,
     )}
     return out
 
