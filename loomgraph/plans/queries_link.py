@@ -13,6 +13,8 @@ from loomgraph.plans.registry import query, table
 c = F.col
 #: Threshold for the driver's vectors, whose largest similarity is far below that of real text.
 COSINE = 0.3
+#: Components of the hashed vectors of names: many, so that few 3-grams share one.
+NAMES = 1 << 20
 
 
 @query(f"""WITH {I.TRIPLES}, e AS (SELECT subject AS name, triple_seq * 2 AS seq FROM tr UNION ALL SELECT object, triple_seq * 2 + 1 FROM tr) SELECT name, count(*) AS mentions, min(seq) AS seq FROM e GROUP BY name""")
@@ -32,7 +34,7 @@ _CLUSTERED = f"""WITH {I.TRIPLES}, e AS (SELECT subject AS name, triple_seq * 2
 
 @query(_CLUSTERED + " SELECT name, canonical FROM ca")
 def a8_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return link.canonical(_clustered(spark, d))
+    return link.canonical(I.settle(_clustered(spark, d)))
 
 
 @query(_CLUSTERED + " SELECT cluster, canonical, md5(string_agg(name, '/' ORDER BY name)) AS aliases, CAST(sum(mentions) AS BIGINT) AS mentions FROM ca GROUP BY cluster, canonical")
@@ -48,11 +50,57 @@ def j7_w3_p5_relinked(spark: SparkSession, d: str) -> DataFrame:
     return link.relink(t, mapping).select("triple_seq", "subject", "relation", "object")
 
 
-@query()
+def _vectors(names: str) -> str:
+    """(name, term, w): hashed 3-grams of names, as the entity vectors count them."""
+    mixed = f"SELECT name, c1, c2, c3, CAST(xor(h, h >> 29) AS UBIGINT) AS h FROM (SELECT name, c1, c2, c3, CAST(CAST(xor(h, CAST({{0}} AS UBIGINT)) AS UHUGEINT) * 11400714819323198485 % 18446744073709551616 AS UBIGINT) AS h FROM ({{1}}))"
+    each = f"SELECT name, unicode(p[i:i]) AS c1, unicode(p[i + 1:i + 1]) AS c2, unicode(p[i + 2:i + 2]) AS c3, CAST(0 AS UBIGINT) AS h FROM (SELECT name, p, unnest(range(1, length(p) - 1)) AS i FROM (SELECT name, '  ' || lower(name) || ' ' AS p FROM {names}))"
+    for c_ in ("c1", "c2", "c3"):
+        each = mixed.format(c_, each)
+    return f"SELECT name, CAST((h >> 1) % {NAMES} AS BIGINT) AS term, CAST(sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS w FROM ({each}) GROUP BY ALL HAVING sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) <> 0"
+
+
+def _average(ids: str, pairs: str, distance: float) -> str:
+    """st (n, id, cl): clusters after n rounds of merging those nearest to each
+    other; ``pairs`` (a, b, cosine) has both orders and all pairs that may merge."""
+    sizes = "(SELECT cl, count(*) AS k FROM st GROUP BY cl)"
+    near = f"""SELECT x, y, round(1 - sum(cosine) / (any_value(nx) * any_value(ny)), 9) AS d FROM (
+        SELECT sa.cl AS x, sb.cl AS y, zx.k AS nx, zy.k AS ny, cosine FROM {pairs} JOIN st sa ON sa.id = a JOIN st sb ON sb.id = b JOIN {sizes} zx ON zx.cl = sa.cl JOIN {sizes} zy ON zy.cl = sb.cl WHERE sa.cl <> sb.cl) GROUP BY x, y"""
+    return f"""st AS (SELECT 0 AS n, id, id AS cl FROM {ids} UNION ALL SELECT st.n + 1, st.id, coalesce(mv.lo, st.cl) FROM st LEFT JOIN (
+      SELECT least(x, y) AS lo, greatest(x, y) AS hi FROM (SELECT x, arg_min(y, (d, y)) AS y FROM ({near}) WHERE d < {distance!r} GROUP BY x) GROUP BY ALL HAVING count(*) = 2) mv ON mv.hi = st.cl
+      WHERE EXISTS (SELECT 1 FROM ({near}) WHERE d < {distance!r}))"""
+
+
+def _linked(known: str, similarity: float = 0.85) -> str:
+    """kn: names of the triples that ``known`` holds for; ca: their clusters and canonical names; ve, le: vectors and their squared lengths of all names."""
+    return f"""WITH RECURSIVE {I.TRIPLES}, e AS (SELECT doc_id, subject AS name, triple_seq * 2 AS seq FROM tr UNION ALL SELECT doc_id, object, triple_seq * 2 + 1 FROM tr),
+     kn AS MATERIALIZED (SELECT name, count(*) AS mentions, min(seq) AS seq FROM e WHERE {known} AND length(name) > 0 GROUP BY name), al AS MATERIALIZED (SELECT name, CAST(row_number() OVER () AS INTEGER) AS k FROM (SELECT DISTINCT name FROM e WHERE length(name) > 0)),
+     ve AS MATERIALIZED (SELECT v.*, k FROM ({_vectors('al')}) v JOIN al USING (name)), le AS MATERIALIZED (SELECT name, k, CAST(sum(w * w) AS DOUBLE) AS n2 FROM ve GROUP BY name, k), vk AS MATERIALIZED (SELECT * FROM ve SEMI JOIN kn USING (name)),
+     ed AS MATERIALIZED (SELECT x.name AS a, y.name AS b FROM (SELECT p.k AS a, q.k AS b, sum(CAST(p.w * q.w AS INTEGER)) AS dot FROM vk p JOIN vk q ON p.term = q.term AND p.k < q.k GROUP BY ALL) JOIN le x ON x.k = a JOIN le y ON y.k = b WHERE dot / sqrt(x.n2 * y.n2) > {similarity}),
+     sy AS MATERIALIZED (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), rc AS (SELECT DISTINCT a AS id, a AS hit FROM sy UNION SELECT rc.id, sy.b FROM rc JOIN sy ON sy.a = rc.hit), co AS MATERIALIZED (SELECT id, min(hit) AS component FROM rc GROUP BY id),
+     pc AS MATERIALIZED (SELECT a, b, coalesce(dot, 0) / sqrt(x.n2 * y.n2) AS cosine FROM (SELECT p.id AS a, q.id AS b FROM co p JOIN co q ON p.component = q.component AND p.id <> q.id)
+       LEFT JOIN (SELECT p.name AS a, q.name AS b, sum(p.w * q.w) AS dot FROM vk p JOIN co i ON i.id = p.name JOIN co j ON j.component = i.component AND j.id <> i.id JOIN vk q ON q.name = j.id AND q.term = p.term GROUP BY ALL) USING (a, b) JOIN le x ON x.name = a JOIN le y ON y.name = b),
+     {_average('co', 'pc', 1 - similarity)},
+     cl AS (SELECT kn.*, coalesce(cl, name) AS cluster FROM kn LEFT JOIN (SELECT id, cl FROM st WHERE n = (SELECT max(n) FROM st)) ON id = name),
+     ca AS MATERIALIZED (SELECT name, cluster, mentions, first_value(name) OVER (PARTITION BY cluster ORDER BY mentions DESC, length(name) DESC, seq) AS canonical FROM cl)"""
+
+
+@query(_linked("doc_id % 2 = 0") + """, vo AS MATERIALIZED (SELECT * FROM ve ANTI JOIN kn USING (name)), nr AS MATERIALIZED (SELECT name, arg_min(other, (-cosine, other)) AS other FROM (SELECT x.name AS name, y.name AS other, dot / sqrt(x.n2 * y.n2) AS cosine FROM (
+       SELECT p.k AS a, q.k AS b, sum(CAST(p.w * q.w AS INTEGER)) AS dot FROM vo p JOIN vk q ON p.term = q.term GROUP BY ALL) JOIN le x ON x.k = a JOIN le y ON y.k = b) WHERE cosine >= 0.85 GROUP BY name),
+     mp AS (SELECT name, canonical FROM ca UNION ALL SELECT nr.name, canonical FROM nr JOIN ca ON ca.name = nr.other),
+     re AS (SELECT triple_seq, coalesce(a.canonical, subject) AS subject, relation, coalesce(b.canonical, object) AS object FROM tr LEFT JOIN mp a ON a.name = subject LEFT JOIN mp b ON b.name = object)
+     SELECT triple_seq, subject, relation, object FROM (SELECT *, row_number() OVER (PARTITION BY subject, relation, object ORDER BY triple_seq) AS k FROM re WHERE subject <> object) WHERE k = 1""")
 def c20_j7_linked(spark: SparkSession, d: str) -> DataFrame:
     """The whole of entity linking: the names of half of the documents are encoded and clustered, those of the others go to the nearest."""
     t = I.settle(I.doc_triples(spark, d))
-    return link.link(t, known=t.where("doc_id % 2 = 0")).select("triple_seq", "subject", "relation", "object")
+    return link.link(t, known=t.where("doc_id % 2 = 0"), dimension=NAMES).select("triple_seq", "subject", "relation", "object")
+
+
+@query(_linked("true") + """ SELECT cluster, canonical, count(*) AS names, md5(string_agg(name, '/' ORDER BY name)) AS aliases, CAST(sum(mentions) AS BIGINT) AS mentions FROM ca GROUP BY cluster, canonical""")
+def c23_a9_linked_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """All names clustered by their vectors, each cluster folded into one row."""
+    named = link.cluster(I.settle(link.entities(I.doc_triples(spark, d))), dimension=NAMES)
+    folded = link.merge_clusters(I.settle(named))
+    return folded.select("cluster", "canonical", F.size("aliases").cast("long").alias("names"), F.md5(F.array_join("aliases", "/")).alias("aliases"), "mentions")
 
 
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
@@ -70,7 +118,8 @@ def c22_dbscan(spark: SparkSession, d: str) -> DataFrame:
     return link.dbscan(I.vectors(spark, d), 1 - COSINE, 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE x AS (SELECT vec_id AS id FROM embeddings), pc AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+ {_average('x', 'pc', 1 - COSINE)} SELECT id, cl AS cluster, 'average' AS linkage FROM st WHERE n = (SELECT max(n) FROM st)""")
 def c21_agglomerative(spark: SparkSession, d: str) -> DataFrame:
     return link.agglomerative(I.vectors(spark, d).select("id", "vec"), 1 - COSINE)
 
