@@ -14,6 +14,7 @@ are never shuffled.  Only k rows a query and partition are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -74,11 +75,15 @@ def accumulate(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 
 def _matrix(vectors) -> np.ndarray:
-    """Rows of any lengths as one array; what is missing weighs nothing."""
+    """Rows of any lengths as one array; what is missing weighs nothing.
+    Weights whose scores might leave 64 bits raise an error."""
     width = max((len(v) for v in vectors), default=0)
     out = np.zeros((len(vectors), max(width, 1)), np.int64)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
+    largest = isqrt((1 << 62) // max(1, width))
+    if (out > largest).any() or (out < -largest).any():
+        raise ValueError(f"a weight beyond {largest} has scores beyond 64 bits")
     return out
 
 
@@ -91,7 +96,9 @@ def top_k(df: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", ve
     null or hold null or non-finite components take no part; vectors of
     unequal length are compared over the shorter one; empty vectors score 0.
     A query id that repeats is asked once, with its smallest vector;
-    candidates that repeat are each a row.  An empty table gives no rows.
+    candidates that repeat are each a row.  Components so large that a score
+    might not fit 64 bits (2**30 / 256 at 4 components) raise an error.  An
+    empty table gives no rows.
     """
     spark = df.sparkSession
     rows = quantised(df, id_col, vec_col)
