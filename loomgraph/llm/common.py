@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Odd multipliers of the 64-bit mixers.
@@ -99,6 +99,29 @@ def expand(df: DataFrame, times: str, nr: str, most: int) -> DataFrame:
     return few.unionByName(many)
 
 
+#: Rows of one range of ``running``.
+RANGE_ROWS = 100_000
+
+
+def running(df: DataFrame, order: list, label: str, **sums: Column) -> DataFrame:
+    """``df`` with column ``before``, how many rows come before each in
+    ``order`` (which must tell all rows apart), and a column for each keyword,
+    the sum of its expression over those rows.
+
+    Rows are sorted in ranges of about ``RANGE_ROWS``, each a window of its
+    own; only the ranges' totals, a row for each, meet in one task."""
+    n = -(-df.count() // RANGE_ROWS)
+    ranged = df.repartitionByRange(max(1, n), *order).withColumn("range_", F.spark_partition_id())
+    ranged = cut(ranged, label)
+    sums = {"before": F.lit(1).cast("long")} | sums
+    own = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range_").agg(*[F.sum(x).alias(f"{name}_") for name, x in sums.items()])
+    offsets = totals.select("range_", *[F.coalesce(F.sum(f"{name}_").over(ranges), F.lit(0)).alias(f"{name}_") for name in sums])
+    out = ranged.select("*", *[F.coalesce(F.sum(x).over(own), F.lit(0)).alias(name) for name, x in sums.items()]).join(F.broadcast(offsets), "range_")
+    return out.select(*df.columns, *[(F.col(name) + F.col(f"{name}_")).alias(name) for name in sums])
+
+
 def fragments(spark: SparkSession, size: int, size_each: int) -> int:
     """How many hash fragments to cut work of some size into: grows with the
     input, at least one for each shuffle partition."""

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import columns, cut, expand, shield
+from loomgraph.llm.common import columns, cut, expand, running, shield
 
 #: Words are runs of characters other than these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,20 +46,17 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOS
     among the rest.  That is min(most * size, level * weight) for one level,
     found by sorting sources by the level at which they are full.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    # one row a source from here on: windows over the small table of sources
-    ranked = by.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    by = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-by-source")
+    ranked = running(by, [F.col("source").asc_nulls_last()], "mix-ranked").withColumnRenamed("before", "sid")
     picks = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranked.withColumn("w", F.get(picks, F.pmod("sid", F.lit(len(weights)))))
     ranked = ranked.withColumn("full", F.lit(most) * F.col("source_size") / F.col("w"))
-    order = Window.orderBy("full", "sid")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(F.lit(most) * F.col("source_size")).over(before), F.lit(0.0))) / F.sum("w").over(onward)
-    ranked = ranked.withColumn("level", level)
-    at = F.min(F.when(F.col("level") <= F.col("full"), F.struct("full", "sid", "level"))).over(everything)
-    ranked = ranked.withColumn("at", at["level"])
+    # by the level at which they are full: what the sources before take, and the weights from here on
+    ranked = running(ranked, [F.col("full"), F.col("sid")], "mix-full", taken=F.lit(most) * F.col("source_size"), lighter=F.col("w"))
+    total, weight = ranked.agg(F.sum("source_size"), F.sum("w")).first()
+    ranked = ranked.withColumn("level", (F.lit(total).cast("double") - F.col("taken")) / (F.lit(weight) - F.col("lighter")))
+    at = ranked.agg(F.min(F.when(F.col("level") <= F.col("full"), F.struct("full", "sid", "level"))).alias("at")).first()
+    ranked = ranked.withColumn("at", F.lit(at and at["at"] and at["at"]["level"]).cast("double"))
     return ranked.select("source", "source_size", "n", "sid", F.least(F.lit(most) * F.col("source_size"), F.col("at") * F.col("w")).alias("target"))
 
 
