@@ -52,14 +52,14 @@ def _counts(df: DataFrame) -> np.ndarray:
 
 
 def log_weights(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> DataFrame:
-    """doc_id, n_grams, log_weight for every row; 0 for texts without words."""
+    """doc_id, text_hash, n_grams, log_weight for every row; 0 for texts without words."""
     spark = df.sparkSession
     labels = columns(labels, doc_id="doc_id", quality="quality", toxic="toxic")
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good_id")).distinct()
     n = good.count()
     share = min(1.0, target_rows / max(1, n))
     good = good.where(F.pmod(F.xxhash64("good_id", F.lit(23)), F.lit(1 << 30)) <= int(share * (1 << 30)))  # at most about target_rows ids
-    rows = columns(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = columns(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     target = _counts(rows.join(F.broadcast(good), F.col("doc_id") == F.col("good_id")).select("text"))
     raw = _counts(rows.select("text"))
     ratio = np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum())
@@ -73,10 +73,10 @@ def log_weights(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 g = grams(text.as_py(), hashes) if text.is_valid else np.empty(0, np.int64)
                 sizes.append(len(g))
                 sums.append(float(table[g].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "text_hash", "n_grams", "log_weight"])
             trim()
 
-    return rows.mapInArrow(score, "doc_id long, n_grams long, log_weight double")
+    return rows.mapInArrow(score, "doc_id long, text_hash long, n_grams long, log_weight double")
 
 
 RESULT = ["doc_id", "n_grams", "log_weight", "mean_ratio", "key", "selected"]
@@ -86,15 +86,21 @@ def resample(df: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = 1
     """Score every row and sample ceil(keep * n) of them by Gumbel top-k.
 
     Returns doc_id, n_grams, log_weight, mean_ratio (log weight a gram), key
-    (log weight plus Gumbel noise from a hash of the id and ``seed``) and
-    selected.  Ties of the key go to the smaller id.  Null or empty texts
-    weigh 0; repeated rows are rows of their own; without labels the target
-    model is flat; an empty table gives none.
+    (log weight plus Gumbel noise) and selected.  The noise is a hash of the
+    id, the text, the row's number among rows equal in both, and ``seed``: so
+    null ids and ids that repeat draw for each row, and reruns agree.  Ties of
+    the key go to the smaller id.  Null or empty texts weigh 0; repeated rows
+    are rows of their own; without labels the target model is flat; an empty
+    table gives none.
     """
-    rows = log_weights(df, labels, id_col, text_col, target_rows)
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
+    equal = log_weights(df, labels, id_col, text_col, target_rows).groupBy("doc_id", "text_hash", "n_grams", "log_weight").agg(F.count(F.lit(1)).alias("m"))
+    equal = cut(equal, "quality-equal")
+    rows = expand(equal, "m", "nr", equal.agg(F.max("m")).first()[0] or 0)
+    draw = F.xxhash64("doc_id", "text_hash", "nr", F.col("doc_id").isNull(), F.lit(seed))
+    u = (F.shiftrightunsigned(draw, 12).cast("double") + 0.5) / float(1 << 52)
     mean = F.coalesce(F.col("log_weight") / F.nullif(F.col("n_grams"), F.lit(0)), F.lit(0.0))
-    rows = cut(rows.withColumn("mean_ratio", mean).withColumn("key", F.col("log_weight") - F.log(-F.log(u))), "quality")
+    rows = rows.withColumn("mean_ratio", mean).withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+    rows = cut(rows.select("doc_id", "n_grams", "log_weight", "mean_ratio", "key"), "quality")
     low, high, n = rows.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
     need = int(-(-n * keep // 1))
     if not need:
