@@ -116,6 +116,8 @@ CHUNK = "array<struct<digest: binary, bytes: binary, salts: int>>"
 CHUNKS = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary()), ("salts", pa.int32())]))
 #: References to one chunk that one task serves; a chunk with more is dealt to several.
 REFERENCES_EACH = 100
+#: Copies of one chunk that one task makes for those.
+LENT_EACH = 1000
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,8 +164,10 @@ def read(files: DataFrame) -> DataFrame:
     wants = needy.select("doc_id", F.explode(F.array_distinct(missing)).alias("c")).select("doc_id", "c.digest", "c.salts").distinct()
     wants = wants.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).drop("salts")
     lenders = files.select(F.explode(F.filter("chunks", lambda c: c["bytes"].isNotNull() & (c["salts"] > 0))).alias("c")).select("c.digest", "c.bytes", "c.salts")
-    lenders = lenders.groupBy("digest", "salts").agg(F.first("bytes").alias("bytes"))  # a repeated row holds the same bytes
-    lenders = lenders.select("digest", "bytes", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    # copies of one chunk are made by several tasks, LENT_EACH by each; a repeated row holds the same bytes
+    lenders = lenders.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1, F.lit(LENT_EACH))))
+    lenders = lenders.groupBy("digest", "salts", "first").agg(F.first("bytes").alias("bytes"))
+    lenders = lenders.select("digest", "bytes", F.explode(F.sequence("first", F.least(F.col("first") + LENT_EACH, "salts") - 1)).alias("salt"))
     got = wants.join(lenders, ["digest", "salt"]).groupBy(F.col("doc_id").alias("want_id")).agg(F.collect_list(F.struct("digest", "bytes")).alias("extra"))
     filled = needy.join(got, F.col("doc_id").eqNullSafe(F.col("want_id")), "left").drop("want_id")
     return alone.unionByName(filled)

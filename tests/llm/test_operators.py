@@ -55,6 +55,12 @@ def test_top_k_equals_brute_force(spark):
         assert len(got) == len(expected)
 
 
+def test_weights_too_large_for_scores_are_refused(spark):
+    df = spark.createDataFrame([(0, [3e15]), (1, [2e15]), (2, [1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk_search.top_k(df).collect()
+
+
 def test_top_k_with_few_rows(spark):
     one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert topk_search.top_k(one).collect() == []
@@ -302,6 +308,19 @@ def test_mixing_meets_targets(spark, docs):
     assert {tuple(r) for r in again} == {tuple(r) for r in got}
 
 
+def test_targets_of_many_sources_in_ranges(spark, monkeypatch):
+    from loomgraph.llm import common
+
+    monkeypatch.setattr(common, "RANGE_ROWS", 40)
+    rng = random.Random(9)
+    sizes = {(f"host{i:04}" if i else None): rng.choice([0, 1, 5, 200, rng.randrange(10_000)]) for i in range(300)}
+    rows = [(s, x) for s, n in sizes.items() for x in (n // 3, n - n // 3)]
+    got = mixing.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(5)).collect()
+    want, order = brute_targets(sizes), sorted(sizes, key=lambda s: (s is None, s))
+    assert {r.source: (r.source_size, r.n, r.sid) for r in got} == {s: (sizes[s], 2, i) for i, s in enumerate(order)}
+    assert all(r.target == pytest.approx(want[r.source], rel=1e-9) for r in got)
+
+
 def test_mixing_runs_no_python(spark, docs):
     plan = mixing.mix(docs[1])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
@@ -372,6 +391,19 @@ def test_damaged_media_are_noticed(spark):
         media.store = real
 
 
+def test_copies_of_a_lent_chunk_are_made_by_several_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(40_000))
+    rows = [(i, passage + f" {i}" * (i % 5), None, None, 0) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    want = Counter(map(tuple, media.media_columns(df).collect()))
+    monkeypatch.setattr(media, "REFERENCES_EACH", 2)
+    monkeypatch.setattr(media, "LENT_EACH", 3)
+    files = media.store(df)
+    assert max(c.salts for r in files.select("chunks").collect() for c in r.chunks) > 6
+    assert Counter(map(tuple, media.media_columns(df).collect())) == want and len(want) == 60
+
+
 # 6 ----------------------------------------------------------------------
 
 ODD = ["don't we'll I'M 42 1234 x_y __ !?", "a<|startoftext|>b<|endoftext|>", "Größe ÀÉ ǅ İstanbul ﬁ ½ ² ª", "日本語 текст עברית", "é     \x1c \x85 x", "\x00a\x07", "😀👍🏽 ok", "tab\there\r\nline", ""]
@@ -526,6 +558,20 @@ def test_resampling_prefers_text_like_the_target(spark):
     assert len(quality.resample(df, labels.limit(0), keep=1.0).where("selected").collect()) == 202
 
 
+def test_equal_and_nameless_rows_draw_each_their_own_noise(spark):
+    """Rows without an id, rows that repeat one, and equal rows."""
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    texts = [f"some words {i}" for i in range(30)]
+    rows = [(None, t, None, None, 0) for t in texts] + [(7, t, None, None, 0) for t in texts] + [(8, "same text", None, None, 0)] * 300 + [(None, None, None, None, 0)] * 20
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = quality.resample(df, labels).collect()
+    assert len(got) == len(rows) and sum(r.selected for r in got) == len(rows) // 2
+    assert len({round(r.key - r.log_weight, 9) for r in got}) == len(rows)
+    copies = [r for r in got if r.doc_id == 8]
+    assert len(copies) == 300 and 0 < sum(r.selected for r in copies) < 300
+    assert {tuple(r) for r in quality.resample(df.repartition(2), labels).collect()} == {tuple(r) for r in got}
+
+
 def test_log_weights_are_recomputed(spark, docs):
     """The two models from plain counts, every weight and every selection from them."""
     rows, df = docs
