@@ -40,12 +40,13 @@ BLOCK = 4096
 
 def scores(rows: np.ndarray, asked: np.ndarray, metric: str = "l2sq") -> np.ndarray:
     """1 - distance (rows x queries): squared Euclidean (2 cos - 1 on unit
-    vectors) or cosine, 0 for a null vector."""
+    vectors) or cosine, 0 for a null vector; to 12 decimals, so that the
+    rounding of sums hardly ever parts equal rows."""
     products = rows @ asked.T
     if metric == "l2sq":
-        return 1 - ((rows * rows).sum(1)[:, None] - 2 * products + (asked * asked).sum(1)[None, :])
+        return (1 - ((rows * rows).sum(1)[:, None] - 2 * products + (asked * asked).sum(1)[None, :])).round(12)
     norms = np.sqrt((rows * rows).sum(1)[:, None] * (asked * asked).sum(1)[None, :])
-    return np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
+    return np.divide(products, norms, out=np.zeros_like(products), where=norms > 0).round(12)
 
 
 def search(index: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "l2sq", where: Column | None = None, key: str = "id") -> DataFrame:
@@ -67,46 +68,76 @@ def search(index: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, block = sent.value
-        held: list[pd.DataFrame] = [pd.DataFrame() for _ in names]
+        held = Best(len(names), top_k)
         for pdf in batches:
             for at in range(0, len(pdf) if len(names) else 0, BLOCK):
                 part = pdf.iloc[at : at + BLOCK]
-                got = scores(np.array(part["vec"].tolist(), np.float64), block, metric)
-                ids = part["id"].to_numpy()
-                for q in range(len(names)):
-                    own = got[:, q]
-                    if len(own) > top_k:  # all that tie with the last place stay for the ids to decide
-                        near = np.flatnonzero(own >= np.partition(own, len(own) - top_k)[len(own) - top_k] - 1e-12)
-                    else:
-                        near = np.arange(len(own))
-                    if len(held[q]) == top_k:  # what is below the last one held cannot come in
-                        near = near[own[near] >= held[q]["score"].iat[-1]]
-                    if not len(near):
-                        continue
-                    both = pd.concat([held[q], pd.DataFrame({"id": ids[near], "score": own[near]})], ignore_index=True)
-                    held[q] = both.sort_values(["score", "id"], ascending=[False, True]).head(top_k)
-        for q, found in zip(names, held, strict=True):
-            if len(found):
-                yield found.assign(query_id=q)[["query_id", "id", "score"]]
+                held.add(scores(np.array(part["vec"].tolist(), np.float64), block, metric), part["id"].to_numpy())
+        yield held.frame(names).drop(columns="at")
 
     found = rows.mapInPandas(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 
+class Best:
+    """The ``top_k`` best rows of each query among the blocks seen so far, none
+    below its ``floor``; ties go to the smaller id.  Scores that are no numbers
+    do not count."""
+
+    def __init__(self, queries: int, top_k: int, floor: np.ndarray | None = None):
+        self.top_k = top_k
+        self.floor = np.full(queries, -np.inf) if floor is None else floor.copy()
+        self.query, self.id, self.score = np.empty(0, np.int64), np.empty(0, object), np.empty(0)
+
+    def add(self, got: np.ndarray, ids: np.ndarray, who: np.ndarray | None = None) -> None:
+        """``got`` (rows x queries) are the scores of the queries ``who``, of all if that is None."""
+        k = self.top_k
+        who = np.arange(len(self.floor)) if who is None else who
+        got = np.where(np.isnan(got), -np.inf, got)
+        floor = self.floor[who]
+        if len(got) > k:  # all that tie with the last place stay for the ids to decide
+            floor = np.maximum(floor, np.partition(got, len(got) - k, axis=0)[len(got) - k])
+        row, at = np.nonzero((got >= floor[None, :]) & (got > -np.inf))
+        if not len(row):
+            return
+        query = np.concatenate([self.query, who[at]])
+        name = np.concatenate([self.id, ids[row].astype(object)])
+        score = np.concatenate([self.score, got[row, at]])
+        codes = pd.factorize(name, sort=True)[0]
+        order = np.lexsort((np.where(codes < 0, len(name), codes), -score, query))
+        rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        keep = order[rank < k]
+        self.query, self.id, self.score = query[keep], name[keep], score[keep]
+        last = order[rank == k - 1]
+        self.floor[query[last]] = np.maximum(self.floor[query[last]], score[last])
+
+    def frame(self, names: np.ndarray) -> pd.DataFrame:
+        """at, query_id, id, score: ``at`` is the query's place in ``names``."""
+        return pd.DataFrame({"at": self.query, "query_id": names[self.query], "id": pd.Series(self.id).infer_objects(), "score": self.score})
+
+
+def query_blocks(queries: DataFrame, most: int) -> Iterator[DataFrame]:
+    """The queries that have a vector in frames of at most ``most``, at least one frame."""
+    if queries.count() <= most:
+        yield queries
+        return
+    asked = settle(queries.select("query_id", "qvec").where("qvec IS NOT NULL"))
+    left = asked.toLocalIterator()
+    given = False
+    while (block := list(islice(left, most))) or not given:
+        given = True
+        yield asked.sparkSession.createDataFrame(block, asked.schema)
+
+
 def search_blocks(index: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "l2sq", where: Column | None = None, key: str = "id") -> DataFrame:
     """As ``search``, for any number of queries: each block of ``MOST_QUERIES``
     is one pass over the index, and its result is written before the next."""
     if queries.count() <= MOST_QUERIES:
         return search(index, queries, top_k, metric, where, key)
-    asked = settle(queries.select("query_id", "qvec").where("qvec IS NOT NULL"))
-    left = asked.toLocalIterator()
     found = None
-    while True:
-        block = list(islice(left, MOST_QUERIES))
-        if not block and found is not None:
-            break
-        part = settle(search(index, asked.sparkSession.createDataFrame(block, asked.schema), top_k, metric, where, key))
+    for block in query_blocks(queries, MOST_QUERIES):
+        part = settle(search(index, block, top_k, metric, where, key))
         found = part if found is None else found.unionByName(part)
     # a query_id may be in several blocks
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import evaluate, link, retrieve
+from loomgraph.operators import cells, evaluate, link, retrieve
 from loomgraph.operators import graph as G
 from loomgraph.plans import inputs as I
-from loomgraph.plans.registry import query, table
+from loomgraph.plans.registry import ORACLES, query, table
 
 c = F.col
 #: Threshold for the driver's vectors, whose largest similarity is far below that of real text.
@@ -195,6 +195,19 @@ def p6_p7_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.retrieve(I.vectors(spark, d), _queries(spark, d), 5, 0.25, "cosine", c("label") >= 2).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLES["c24_w12_search"])
+def c24_cell_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same search through an index of cells."""
+    return cells.search(cells.build(I.vectors(spark, d)), _queries(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(ORACLES["p6_p7_retrieve"])
+def p7_cell_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """The same retrieval through an index of cells, whose cells are chosen by the rows that the filter leaves."""
+    index = cells.build(I.vectors(spark, d), metric="cosine")
+    return cells.search(index, _queries(spark, d), 5, c("label") >= 2, 0.25).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {I.CHUNKS} SELECT doc_id, chunk_index, total_chunks, md5(chunk) AS text FROM ch WHERE chunk <> ''")
 def c25_index_rows(spark: SparkSession, d: str) -> DataFrame:
     from loomgraph.functions import text as T
