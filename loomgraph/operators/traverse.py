@@ -66,15 +66,81 @@ def bfs(edge_rows: DataFrame, starts: DataFrame, most: int | None = None, direct
     return seen
 
 
-def diameter(node_rows: DataFrame, edge_rows: DataFrame, below: int = 1000) -> DataFrame:
-    """One row (diameter): of the undirected graph, null if it is not connected
-    or has ``below`` nodes or more (then nothing is searched)."""
+#: Starts that one long holds, a bit each.
+WORD = 64
+
+
+def _hops(edge_rows: DataFrame, directed: bool) -> DataFrame:
+    hops = edge_rows.select("src", "dst").where("src != dst")
+    if not directed:
+        hops = hops.unionByName(hops.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return settle(hops.distinct())
+
+
+def _bit_levels(hops: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(word, id, d, bits): the starts (word, bit, id) that are ``d`` edges from a
+    node.  A word's 64 searches go together: what comes over several edges is one
+    OR, which is formed before the shuffle, and a node has a row for each distance
+    it lies at, not for each start."""
+    seen = front = settle(starts.groupBy("word", "id").agg(F.lit(0).alias("d"), F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+    for d in count(1) if most is None else range(1, most + 1):
+        reach = front.join(hops, front["id"] == hops["src"]).groupBy("word", F.col("dst").alias("id")).agg(F.bit_or("bits").alias("bits"))
+        old = seen.groupBy("word", "id").agg(F.bit_or("bits").alias("old"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        front = settle(reach.join(old, ["word", "id"], "left").select("word", "id", F.lit(d).alias("d"), fresh.alias("bits")).where("bits != 0"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front) if d % 5 else settle(seen.unionByName(front))
+    return seen
+
+
+def _per_start(levels: DataFrame) -> DataFrame:
+    """(word, bit, id, d) of the levels."""
+    return levels.select("word", F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), i -> getbit(bits, i) = 1)")).alias("bit"), "id", "d")
+
+
+def distances(edge_rows: DataFrame, starts: DataFrame, most: int | None = None, directed: bool = True) -> DataFrame:
+    """(start, id, d): as ``bfs``, without parents.  64 starts are searched
+    together as the bits of one number."""
+    at = F.monotonically_increasing_id()  # 64 divides the first one of each partition
+    dealt = settle(settle(starts.select("id").distinct()).select("id", at.alias("at")).select("id", F.floor(F.col("at") / WORD).alias("word"), (F.col("at") % WORD).cast("int").alias("bit")))
+    levels = _bit_levels(_hops(edge_rows, directed), dealt, most)
+    return _per_start(levels).join(dealt.withColumnRenamed("id", "start"), ["word", "bit"]).select("start", "id", "d")
+
+
+def diameter(node_rows: DataFrame, edge_rows: DataFrame, below: int | None = 1000) -> DataFrame:
+    """One row (diameter): of the undirected graph, null if it has no nodes, is
+    not connected, or has ``below`` nodes or more (then nothing is searched; None
+    lifts that).
+
+    Every node carries bounds of its eccentricity, from the distances to 64
+    searched nodes a round: ``e - d`` and ``d`` from below, ``e + d`` from above.
+    Nodes that cannot exceed the largest lower bound need no search of their own,
+    so a few rounds do, and there is no state for pairs of nodes.
+    """
     spark = node_rows.sparkSession
     n = node_rows.count()
-    if not 0 < n < below:
+    if n == 0 or (below is not None and n >= below):
         return spark.createDataFrame([(None,)], "diameter int")
-    found = bfs(edge_rows, node_rows, directed=False)
-    return found.agg(F.when(F.count(F.lit(1)) == n * n, F.max("d")).alias("diameter"))
+    hops = _hops(edge_rows, False)
+    degree = hops.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    bounds = settle(node_rows.select("id").join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(0).alias("low"), F.lit(n).alias("high")))
+    best = 0
+    while True:
+        left = bounds.where(F.col("high") > best)
+        far = left.orderBy(F.desc("high"), F.desc("degree"), "id").limit(WORD * 3 // 4).collect()  # 48 rows
+        near = left.orderBy("low", F.desc("degree"), "id").limit(WORD // 4).collect()  # 16 rows
+        chosen = sorted({r["id"] for r in far + near})
+        if not chosen:
+            return spark.createDataFrame([(best,)], "diameter int")
+        starts = spark.createDataFrame([(0, i, x) for i, x in enumerate(chosen)], "word long, bit int, id string")
+        each = settle(_per_start(_bit_levels(hops, starts)))
+        reached = each.groupBy("bit").agg(F.max("d").alias("e"), F.count(F.lit(1)).alias("n"))  # 64 rows
+        if reached.where(F.col("n") != n).count():
+            return spark.createDataFrame([(None,)], "diameter int")
+        now = each.join(F.broadcast(reached), "bit").groupBy("id").agg(F.max(F.greatest(F.col("e") - F.col("d"), "d")).alias("l"), F.min(F.col("e") + F.col("d")).alias("h"))
+        bounds = settle(bounds.join(now, "id").select("id", "degree", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high")))
+        best = bounds.agg(F.max("low")).first()[0]
 
 
 def simple_paths(edge_rows: DataFrame, src: str, dst: str, most: int = 3) -> DataFrame:

@@ -192,7 +192,7 @@ DISTANCES = """,
 @query(I.business('SELECT start, id, CAST(min(d) AS INTEGER) AS d FROM bd GROUP BY start, id', DISTANCES))
 def c5_distances(spark: SparkSession, d: str) -> DataFrame:
     n, e = I.business_graph(spark, d)
-    return traverse.bfs(e, n).select("start", "id", "d")
+    return traverse.distances(e, n)
 
 
 @query(I.business("SELECT CAST(NULL AS INTEGER) AS diameter"))
@@ -216,6 +216,26 @@ def c6_diameter(spark: SparkSession, d: str) -> DataFrame:
     return traverse.diameter(*_parts(spark, d))
 
 
+#: wv (i, v, b): the nodes of the largest component, numbered, and as bits those within i edges; until all are.
+_WAVES = I.KEYED_COMPONENTS + """,
+  bg AS MATERIALIZED (SELECT arg_max(component, (n, component)) AS component FROM (SELECT component, count(*) AS n FROM cc GROUP BY component)),
+  bn AS MATERIALIZED (SELECT id, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS k, CAST(count(*) OVER () AS INTEGER) AS n FROM cc JOIN bg USING (component)),
+  be AS MATERIALIZED (SELECT DISTINCT x.k AS a, y.k AS b FROM sy JOIN bn x ON x.id = sy.a JOIN bn y ON y.id = sy.b UNION SELECT k, k FROM bn),
+  wv AS (SELECT 0 AS i, k AS v, set_bit(CAST(repeat('0', n) AS BIT), k - 1, 1) AS b FROM bn UNION ALL
+    SELECT wv.i + 1, be.b, bit_or(wv.b) FROM wv JOIN be ON be.a = wv.v WHERE EXISTS (SELECT 1 FROM wv WHERE bit_count(b) < bit_length(b)) GROUP BY wv.i, be.b)"""
+
+
+@query(I.docs_graph("SELECT CAST(max(i) AS INTEGER) AS diameter FROM wv", _WAVES))
+def c6_document_diameter(spark: SparkSession, d: str) -> DataFrame:
+    """Of the largest component of the documents' graph, whatever its size."""
+    t = I.settle(I.doc_triples(spark, d))
+    n, e = I.settle(G.nodes(t)), I.settle(G.edges(t))
+    parts = I.settle(traverse.components(n, e))
+    sizes = traverse.component_sizes(parts).orderBy(F.desc("size"), F.desc("component")).limit(1)
+    ids = I.settle(parts.join(sizes, "component").select("id"))
+    return traverse.diameter(ids, G.induced(e, ids), below=None)
+
+
 #: All shortest paths, and how much of those of each pair of ends lies on a node.
 BETWEENNESS = DISTANCES + """,
   ds AS MATERIALIZED (SELECT start, id, min(d) AS d FROM bd GROUP BY start, id),

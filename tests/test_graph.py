@@ -174,6 +174,9 @@ def test_traversal_equals_plain_python(spark, seed):
     adj = adjacency(rows)
     got = {(r.start, r.id): r.d for r in traverse.bfs(e, n).collect()}
     assert got == {(s, t): d for s in adj for t, d in distances(adj, s).items()}
+    assert {(r.start, r.id): r.d for r in traverse.distances(e, n).collect()} == got
+    near = {k: v for k, v in got.items() if v <= 1}
+    assert {(r.start, r.id): r.d for r in traverse.distances(e, n, 1).collect()} == near
     both = defaultdict(list)
     for s, ts in adj.items():
         for t in ts:
@@ -187,6 +190,28 @@ def test_traversal_equals_plain_python(spark, seed):
     assert traverse.diameter(n, e).first()["diameter"] == want
 
 
+def test_diameter_of_larger_graphs(spark):
+    ids = spark.range(150).selectExpr("concat('n', id) AS id")
+    pick = random.Random(9)
+    ring = [(i, (i + 1) % 12) for i in range(12)] + [(i, i + 1) for i in range(12, 15)] + [(7, 12), (7, 7)]  # a ring, and a tail of four at its seventh node
+    chords = [(pick.randrange(12), pick.randrange(12)) for _ in range(3)]
+    leaves = [(pick.randrange(14), i) for i in range(16, 150)]
+    for rows in (ring + leaves, ring + leaves + chords, [(0, i) for i in range(1, 150)], ring):
+        e = spark.createDataFrame([(f"n{a}", f"n{b}", i) for i, (a, b) in enumerate(rows)], "src string, dst string, edge_seq long")
+        both = {f"n{i}": set() for i in range(150)}
+        for a, b in rows:
+            both[f"n{a}"].add(f"n{b}")
+            both[f"n{b}"].add(f"n{a}")
+        every = [distances(both, x) for x in both]
+        want = max(max(x.values()) for x in every) if all(len(x) == 150 for x in every) else None
+        assert traverse.diameter(ids, e).first()["diameter"] == want
+    assert traverse.diameter(ids, e, below=150).first()["diameter"] is None
+    assert traverse.diameter(ids.limit(1), e.limit(0)).first()["diameter"] == 0
+    assert traverse.diameter(ids.limit(0), e.limit(0), None).first()["diameter"] is None
+    every = traverse.distances(e, ids, directed=False)
+    assert every.count() == sum(len(distances(both, x)) for x in both)
+
+
 def brandes(adj):
     score = dict.fromkeys(adj, 0.0)
     for s in adj:
