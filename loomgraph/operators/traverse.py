@@ -227,53 +227,67 @@ def betweenness(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
         total = _brandes_frames(node_rows, hops)
     else:
         spark = node_rows.sparkSession
-        ids = [r["id"] for r in node_rows.select("id").orderBy("id").collect()]
-        index = {x: i for i, x in enumerate(ids)}
-        rows = hops.select("src", "dst").orderBy("src", "adj_seq", "dst").collect()
-        heads = np.array([index[r["src"]] for r in rows if r["src"] in index and r["dst"] in index], np.int64)
-        tails = np.array([index[r["dst"]] for r in rows if r["src"] in index and r["dst"] in index], np.int64)
-        sent = spark.sparkContext.broadcast((ids, heads, tails))
+        ids = node_rows.select("id").orderBy("id").toArrow()["id"].to_pandas()
+        ends = hops.select("src", "dst").orderBy("src", "adj_seq", "dst").toArrow()
+        place = pd.Index(ids)
+        heads, tails = (place.get_indexer(ends[x].to_pandas()) for x in ("src", "dst"))
+        inside = (heads >= 0) & (tails >= 0)
+        heads, tails = heads[inside], tails[inside]
+        first = np.searchsorted(heads, np.arange(n + 1))  # the edges of node i are first[i] to first[i + 1]
+        sent = spark.sparkContext.broadcast((ids.to_numpy(), first, tails))
 
         def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, a, b = sent.value
-            at = {x: i for i, x in enumerate(names)}
-            sums = np.zeros(len(names))
+            names, first, tails = sent.value
+            search = _Dependencies(first, tails)
+            place = pd.Index(names)
             for pdf in batches:
-                for s in pdf["id"]:
-                    sums += _dependencies(len(names), a, b, at[s])
-            hit = np.flatnonzero(sums)
-            yield pd.DataFrame({"id": pd.Series([names[i] for i in hit], dtype=object), "part": sums[hit]})
+                for s in place.get_indexer(pdf["id"]):
+                    search.add(int(s))
+            hit = np.flatnonzero(search.sums)
+            yield pd.DataFrame({"id": pd.Series(names[hit], dtype=object), "part": search.sums[hit]})
 
         parts = spark.sparkContext.defaultParallelism
         total = node_rows.select("id").repartition(parts, "id").mapInPandas(accumulate, "id string, part double").groupBy("id").agg(F.sum("part").alias("b"))
     return node_rows.select("id").join(total, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def _dependencies(n: int, heads: np.ndarray, tails: np.ndarray, source: int) -> np.ndarray:
-    """How much each node lies on shortest paths from ``source``: counts of
-    paths forward level by level, shares of them backward."""
-    dist = np.full(n, -1)
-    sigma = np.zeros(n)
-    dist[source], sigma[source] = 0, 1
-    levels = []
-    d = 0
-    while True:
-        use = dist[heads] == d
-        a, b = heads[use], tails[use]
-        fresh = dist[b] < 0
-        dist[b[fresh]] = d + 1
-        on = dist[b] == d + 1
-        if not on.any():
-            break
-        a, b = a[on], b[on]
-        np.add.at(sigma, b, sigma[a])
-        levels.append((a, b))
-        d += 1
-    delta = np.zeros(n)
-    for a, b in reversed(levels):
-        np.add.at(delta, a, sigma[a] / sigma[b] * (1 + delta[b]))
-    delta[source] = 0
-    return delta
+class _Dependencies:
+    """How much each node lies on shortest paths from the sources added so far.
+
+    Counts of paths go forward from frontier to frontier, shares of them
+    backward; only edges of reached nodes are touched, and only those nodes are
+    reset for the next source.
+    """
+
+    def __init__(self, first: np.ndarray, tails: np.ndarray):
+        n = len(first) - 1
+        self.first, self.tails = first, tails
+        self.sums, self.sigma, self.delta = np.zeros(n), np.zeros(n), np.zeros(n)
+        self.dist = np.full(n, -1)
+
+    def add(self, source: int) -> None:
+        self.dist[source], self.sigma[source] = 0, 1
+        fronts, levels = [np.array([source])], []
+        while True:
+            front = fronts[-1]
+            size = self.first[front + 1] - self.first[front]
+            a = np.repeat(front, size)
+            b = self.tails[np.arange(len(a)) + np.repeat(self.first[front] - (np.cumsum(size) - size), size)]
+            fresh = np.unique(b[self.dist[b] < 0])
+            if not len(fresh):
+                break
+            self.dist[fresh] = len(fronts)
+            on = self.dist[b] == len(fronts)
+            a, b = a[on], b[on]
+            np.add.at(self.sigma, b, self.sigma[a])
+            levels.append((a, b))
+            fronts.append(fresh)
+        for a, b in reversed(levels):
+            np.add.at(self.delta, a, self.sigma[a] / self.sigma[b] * (1 + self.delta[b]))
+        self.delta[source] = 0
+        seen = np.concatenate(fronts)
+        self.sums[seen] += self.delta[seen]
+        self.dist[seen], self.sigma[seen], self.delta[seen] = -1, 0, 0
 
 
 def _brandes_frames(node_rows: DataFrame, hops: DataFrame) -> DataFrame:

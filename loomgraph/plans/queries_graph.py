@@ -237,13 +237,19 @@ def c6_document_diameter(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: All shortest paths, and how much of those of each pair of ends lies on a node.
-BETWEENNESS = DISTANCES + """,
-  ds AS MATERIALIZED (SELECT start, id, min(d) AS d FROM bd GROUP BY start, id),
-  pa AS (SELECT id AS start, id AS goal, [id] AS p FROM nd UNION ALL SELECT pa.start, pr.dst, list_append(p, pr.dst) FROM pa JOIN pr ON pr.src = pa.goal JOIN ds ON ds.start = pa.start AND ds.id = pr.dst AND ds.d = len(p)),
+_LEANING = """,
+  dm AS MATERIALIZED (SELECT start, id, min(d) AS d FROM bd GROUP BY start, id),
+  pa AS (SELECT id AS start, id AS goal, [id] AS p FROM nd UNION ALL SELECT pa.start, pr.dst, list_append(p, pr.dst) FROM pa JOIN pr ON pr.src = pa.goal JOIN dm ON dm.start = pa.start AND dm.id = pr.dst AND dm.d = len(p)),
   pm AS MATERIALIZED (SELECT * FROM pa WHERE len(p) > 2), pc AS (SELECT start, goal, count(*) AS k FROM pm GROUP BY start, goal),
   bn AS (SELECT v, sum(1.0 / k) AS b FROM (SELECT start, goal, unnest(p[2:len(p) - 1]) AS v FROM pm) JOIN pc USING (start, goal) GROUP BY v),
   bw AS MATERIALIZED (SELECT id, label, node_seq, coalesce(b, 0) / ((n - 1) * (n - 2)) AS betweenness FROM nd LEFT JOIN bn ON v = id, (SELECT count(*) AS n FROM nd))"""
 
+BETWEENNESS = DISTANCES + _LEANING
+#: For larger graphs: distances without a bound, each pair once.
+KEYED_BETWEENNESS = """,
+  bd(start, id, d) USING KEY (start, id) AS (SELECT id, id, 0 FROM nd UNION SELECT bd.start, pr.dst, min(bd.d) + 1 FROM bd JOIN pr ON pr.src = bd.id
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.bd AS had WHERE had.start = bd.start AND had.id = pr.dst) GROUP BY bd.start, pr.dst)""" + _LEANING
+
 
 @query(I.business("SELECT id, round(betweenness, 9) AS betweenness FROM bw", BETWEENNESS))
 def c7_betweenness(spark: SparkSession, d: str) -> DataFrame:
@@ -251,6 +257,13 @@ def c7_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return b.select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
+@query(I.docs_graph("SELECT id, round(betweenness, 10) AS betweenness FROM bw", KEYED_BETWEENNESS))
+def c7_document_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    t = I.settle(I.doc_triples(spark, d))
+    b = traverse.betweenness(I.settle(G.nodes(t)), I.settle(G.edges(t)))
+    return b.select("id", F.round("betweenness", 10).alias("betweenness"))
+
+
 PAGERANK = """,
   pn AS MATERIALIZED (SELECT count(*) AS n FROM nd), oc AS (SELECT src, count(*) AS o FROM ed GROUP BY src),
   sh AS MATERIALIZED (SELECT src, dst, sum(w) AS w FROM (SELECT ed.src, ed.dst, 1.0 / o AS w FROM ed JOIN oc USING (src)
