@@ -430,6 +430,28 @@ def test_average_linkage_of_large_components(spark, monkeypatch):
         assert {r.id: r.cluster for r in got} == want and {r.linkage for r in got} == {"average"}
 
 
+def test_dense_rounds_keep_no_pairs(spark, monkeypatch):
+    """Rounds over blocks give the tree without pairs of rows; copies and vectors without a length do no harm."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + rng.normal(size=(25, 6)) * 0.5 for c in rng.normal(size=(4, 6))])
+    x = np.concatenate([x, np.repeat(x[:1], 40, axis=0), x[1:2] * 2, x[1:2] * (1 + 1e-9 * rng.normal(size=(30, 6)))])
+    rows = [(i * 5 % 977, v.tolist()) for i, v in enumerate(x)]
+    ids = np.array([i for i, _ in rows])
+    order = np.argsort(ids)
+    want = dict(zip(ids[order].tolist(), link.average_linkage(x[order], ids[order], 0.4).tolist(), strict=True))
+    odd = {1001: [0.0] * 6, 1002: None, 1003: [float("nan")] * 6, 1004: []}
+    df = spark.createDataFrame(rows + list(odd.items()), "id long, vec array<double>")
+    monkeypatch.setattr(link, "similar_pairs", None)  # would keep all close pairs
+    for most, block in ((4000, 2048), (30, 7)):
+        monkeypatch.setattr(link, "MOST_MEMBERS", most)
+        monkeypatch.setattr(link, "BLOCK", block)
+        got = link.agglomerative(df, 0.4).collect()
+        assert {r.id: r.cluster for r in got} == want | {i: i for i in odd} and len(got) == len(rows) + 4
+    assert link.agglomerative(df.where("id > 1000"), 0.4).count() == 4
+
+
 def test_pairs_in_blocks(spark, monkeypatch):
     import numpy as np
 
