@@ -87,8 +87,7 @@ def s13_k1_json_documents(spark: SparkSession, d: str) -> DataFrame:
 def s1_s4_text_files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files of text, scanned and cleaned."""
     at = _folder(spark, "files")
-    rows = table(spark, d, "documents").where("text IS NOT NULL")
-    rows.select("lang", "doc_id", "text").write.partitionBy("lang", "doc_id").text(at)
+    sinks.write_texts(table(spark, d, "documents").where("text IS NOT NULL").select("lang", "text"), at, "lang")
     found = files.scan(spark, at)
     text = T.clean(F.decode("content", "UTF-8"))
     return found.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length(text)).alias("n_chars"))
@@ -111,7 +110,7 @@ def s2_s3_readers(spark: SparkSession, d: str) -> DataFrame:
 def s14_file_stats(spark: SparkSession, d: str) -> DataFrame:
     """Types and sizes of files, each the text of a document and a line end; their contents are not read."""
     at = _folder(spark, "stats")
-    table(spark, d, "documents").where("text IS NOT NULL").select("lang", "doc_id", "text").write.partitionBy("lang", "doc_id").text(at)
+    sinks.write_texts(table(spark, d, "documents").where("text IS NOT NULL").select("lang", "text"), at, "lang")
     found = files.scan(spark, at).withColumn("folder", F.regexp_extract("path", "lang=([^/]*)/", 1))
     return found.groupBy("folder", "file_type", "reader").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("size_bytes"))
 

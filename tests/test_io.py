@@ -68,6 +68,21 @@ def test_documents_of_a_folder(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "triples")).count() == found.count()
 
 
+def test_many_small_files(spark, tmp_path, monkeypatch):
+    """A file for each text without a folder of its own, and few tasks that read them all."""
+    at = tmp_path / "texts"
+    sinks.write_texts(spark.createDataFrame([(f"l{i % 3}", f"text {i}\nwith lines") for i in range(300)], "lang string, text string"), str(at), "lang")
+    assert sorted(p.name for p in at.iterdir() if p.is_dir()) == ["lang=l0", "lang=l1", "lang=l2"] and len(list(at.glob("*/*.txt"))) == 300
+    assert len(list(at.rglob("*.txt"))) == 300
+    every = files.scan(spark, str(at))
+    parts = every.rdd.getNumPartitions()
+    assert parts > 4
+    monkeypatch.setattr(files, "SCAN_TASKS", 4)
+    joined = files.scan(spark, str(at))
+    assert joined.rdd.getNumPartitions() == 4
+    assert sorted(bytes(r.content).decode() for r in joined.collect()) == sorted(f"text {i}\nwith lines\n" for i in range(300))
+
+
 def test_graph_files(spark, data, tmp_path):
     n, e = inputs.business_graph(spark, data)
     want = {(r.src, r.dst, r.relation) for r in e.collect()}
