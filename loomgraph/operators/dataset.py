@@ -13,7 +13,8 @@ INSTRUCTION = "Extract knowledge triples from the text."
 
 def paragraphs(docs: DataFrame, least: int = 100, most: int | None = None) -> DataFrame:
     """(doc_id, pos, paragraph): blocks between blank lines longer than ``least``, the first ``most`` of a document."""
-    parts = F.filter(F.transform(F.split("text", "\n\n"), F.trim), lambda p: F.length(p) > least)
+    # a lambda: given F.trim itself, transform hands it the position as the characters to trim
+    parts = F.filter(F.transform(F.split("text", "\n\n"), lambda p: F.regexp_replace(p, r"\A\p{Zs}+|\p{Zs}+\z", "")), lambda p: F.length(p) > least)
     return docs.select("doc_id", F.posexplode(parts if most is None else F.slice(parts, 1, most)).alias("pos", "paragraph"))
 
 
