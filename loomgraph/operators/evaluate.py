@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomgraph.functions import text as T
 from loomgraph.operators import traverse
@@ -68,8 +70,15 @@ def advice(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("advice", F.array_join(lines, "\n"))
 
 
+@F.pandas_udf(StringType())
+def shown(numbers: pd.Series) -> pd.Series:
+    """Doubles by their shortest digits, with an exponent only below 1e-4 and from 1e16 on."""
+    return numbers.map(lambda x: repr(float(x)))
+
+
 def report(metrics: DataFrame) -> DataFrame:
     """The metrics as one text (column ``value``)."""
     fields = [c for c in metrics.columns]
-    lines = [F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in fields]
+    as_text = lambda c: F.when(F.col(c).isNotNull(), shown(c)) if metrics.schema[c].dataType.typeName() == "double" else F.col(c).cast("string")
+    lines = [F.concat(F.lit(f"{c}: "), as_text(c)) for c in fields]
     return advice(metrics).select(F.concat_ws("\n", F.lit("Evaluation"), *lines, F.nullif(F.col("advice"), F.lit(""))).alias("value"))

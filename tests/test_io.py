@@ -7,7 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import capture, dataset
+from loomgraph.operators import capture, dataset, evaluate
 from loomgraph.operators import graph as G
 from loomgraph.plans import inputs, pipelines
 from loomgraph.sources import files, graph_io, sinks
@@ -83,6 +83,24 @@ def test_many_small_files(spark, tmp_path, monkeypatch):
     assert sorted(bytes(r.content).decode() for r in joined.collect()) == sorted(f"text {i}\nwith lines\n" for i in range(300))
 
 
+def test_paragraphs_keep_their_ends(spark):
+    """Only blanks at the ends go, not digits that are the paragraph's place."""
+    parts = ["0" * 101, "x1" * 60 + "1", "\u00a0 " + "y2" * 60 + "2 \u3000", "\t" + "z" * 100]
+    rows = spark.createDataFrame([(1, "\n\n".join(parts)), (2, None)], "doc_id long, text string")
+    got = dataset.paragraphs(rows).orderBy("pos").collect()
+    assert [(r.pos, r.paragraph) for r in got] == [(0, parts[0]), (1, parts[1]), (2, parts[2].strip("\u00a0 \u3000")), (3, parts[3])]
+
+
+def test_report_writes_numbers_as_sql_does(spark):
+    import duckdb
+
+    numbers = [0.00031, 0.00099999, 1e-4, 1.25e-7, 2.0e-3, 1.0, 12345678.5, 1e7, 1e15, 1e16, 2.3e22, -0.0005, 0.1 + 0.2]
+    names = ["graph_density", "connectivity", "coverage", *[f"v{i}" for i in range(len(numbers))]]
+    one = spark.createDataFrame([(7, 1.0, 1.0, 1.0, *numbers, None)], "n long, " + ", ".join(f"{x} double" for x in [*names, "none"]))
+    want = duckdb.sql("SELECT " + ", ".join(f"CAST({x!r} AS DOUBLE) || ''" for x in numbers)).fetchall()[0]
+    assert evaluate.report(one).first().value.split("\n") == ["Evaluation", "n: 7", *[f"{x}: 1.0" for x in names[:3]], *[f"v{i}: {x}" for i, x in enumerate(want)]]
+
+
 def test_graph_files(spark, data, tmp_path):
     n, e = inputs.business_graph(spark, data)
     want = {(r.src, r.dst, r.relation) for r in e.collect()}
