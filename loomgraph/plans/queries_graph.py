@@ -229,11 +229,7 @@ _WAVES = I.KEYED_COMPONENTS + """,
 def c6_document_diameter(spark: SparkSession, d: str) -> DataFrame:
     """Of the largest component of the documents' graph, whatever its size."""
     t = I.settle(I.doc_triples(spark, d))
-    n, e = I.settle(G.nodes(t)), I.settle(G.edges(t))
-    parts = I.settle(traverse.components(n, e))
-    sizes = traverse.component_sizes(parts).orderBy(F.desc("size"), F.desc("component")).limit(1)
-    ids = I.settle(parts.join(sizes, "component").select("id"))
-    return traverse.diameter(ids, G.induced(e, ids), below=None)
+    return traverse.largest_diameter(G.nodes(t), G.edges(t))
 
 
 #: All shortest paths, and how much of those of each pair of ends lies on a node.

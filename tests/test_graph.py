@@ -212,6 +212,28 @@ def test_diameter_of_larger_graphs(spark):
     assert every.count() == sum(len(distances(both, x)) for x in both)
 
 
+def test_diameter_of_the_largest_component(spark, monkeypatch):
+    pick = random.Random(4)
+    tree = [(f"n{pick.randrange(max(0, i - 4), i)}", "r", f"n{i}") for i in range(1, 60)]
+    chords = [(f"n{pick.randrange(30)}", "r", f"n{pick.randrange(30)}") for _ in range(8)]
+    other = [(f"z{i}", "r", f"z{i + 1}") for i in range(40)]
+    with monkeypatch.context() as patch:
+        patch.setattr(traverse, "_bit_levels", None)  # rounds of joins over all nodes
+        patch.setattr(traverse, "components", None)
+        for rows in (tree, tree + chords + other):
+            both = defaultdict(set)
+            for a, _, b in rows:
+                both[a].add(b)
+                both[b].add(a)
+            most = max((distances(both, x) for x in both), key=len)
+            want = max(max(distances(both, x).values()) for x in most)
+            assert traverse.largest_diameter(*graph(spark, rows)).first()["diameter"] == want
+    equal = [("a", "r", "b"), ("b", "r", "c"), ("c", "r", "a"), ("x", "r", "y"), ("y", "r", "z")]
+    assert traverse.largest_diameter(*graph(spark, equal)).first()["diameter"] == 2  # of the larger name
+    monkeypatch.setattr(traverse, "BROADCAST_NODES", 1)
+    assert traverse.largest_diameter(*graph(spark, equal[:3])).first()["diameter"] == 1
+
+
 def brandes(adj):
     score = dict.fromkeys(adj, 0.0)
     for s in adj:
