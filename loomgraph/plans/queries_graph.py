@@ -256,8 +256,9 @@ def c7_betweenness(spark: SparkSession, d: str) -> DataFrame:
 @query(I.docs_graph("SELECT id, round(betweenness, 10) AS betweenness FROM bw", KEYED_BETWEENNESS))
 def c7_document_betweenness(spark: SparkSession, d: str) -> DataFrame:
     t = I.settle(I.doc_triples(spark, d))
-    b = traverse.betweenness(I.settle(G.nodes(t)), I.settle(G.edges(t)))
-    return b.select("id", F.round("betweenness", 10).alias("betweenness"))
+    n, e = I.settle(G.nodes(t)), I.settle(G.edges(t))
+    I.drop(t)
+    return traverse.betweenness(n, e).select("id", F.round("betweenness", 10).alias("betweenness"))
 
 
 PAGERANK = """,

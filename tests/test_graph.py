@@ -276,6 +276,18 @@ def test_betweenness_of_many_nodes_keeps_no_pairs(spark, monkeypatch):
     assert traverse.betweenness(nodes, edges).count() == 250_000
 
 
+def test_betweenness_leaves_count_without_state(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "_brandes_frames", None)  # would hold each pair of source and reached node
+    monkeypatch.setattr(traverse, "BROADCAST_NODES", 60)
+    pick = random.Random(5)
+    rows = [(pick.choice("abcdefgh"), pick.choice("abcdefgh")) for _ in range(16)] + [(pick.choice("abcdefgh"), f"leaf{i}") for i in range(200)]
+    rows += [(x, f"end{i}") for i in range(12) for x in pick.sample("abcdefgh", 1 + i % 4)] + [(f"p{i}", x) for i in range(24) for x in pick.sample("abcdefgh", 1 + i % 3)]
+    rows += [(f"p{i}", f"end{i % 12}") for i in range(24)] + [("p1", "leaf201"), ("p1", "p1")]
+    n, e = graph(spark, [(a, "r", b) for a, b in rows])
+    got = {r.id: r.betweenness for r in traverse.betweenness(n, e).collect()}
+    assert got == pytest.approx(brandes(adjacency([(a, "r", b) for a, b in rows])))
+
+
 def test_pagerank_sums_to_one(spark):
     n, e = graph(spark, random_graph(4))
     ranks = [r["rank"] for r in traverse.pagerank(n, e).collect()]
